@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .arrow_sequences import op3_arrow_sequences
 from .media import op1_media
+from .packing import op4_packing
+from .quality_model import op2_quality_model
+from .secrets import op5_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_quality_model": op2_quality_model,
+    "op3_arrow_sequences": op3_arrow_sequences,
+    "op4_packing": op4_packing,
+    "op5_secrets": op5_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
