@@ -8,16 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .arrow_sequences import op3_arrow_sequences
 from .media import op1_media
+from .mixing import op6_mixing
+from .ngram_join import op7_ngram_join
 from .packing import op4_packing
 from .quality_model import op2_quality_model
+from .quality_rules import op9_quality_rules
 from .secrets import op5_secrets
+from .sharding import op10_sharding
+from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_media": op1_media,
-    "op2_quality_model": op2_quality_model,
-    "op3_arrow_sequences": op3_arrow_sequences,
-    "op4_packing": op4_packing,
-    "op5_secrets": op5_secrets,
+    q.__name__: q
+    for q in (op1_media, op2_quality_model, op3_arrow_sequences, op4_packing, op5_secrets, op6_mixing, op7_ngram_join, op8_warc, op9_quality_rules, op10_sharding)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries are tested against brute force, round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+        SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100""",
+}

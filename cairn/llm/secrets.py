@@ -134,18 +134,17 @@ def markov_spans(text: Column, base: Column, ratios: list[float], least: float)
     return F.filter(judged, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
-def scan(docs: DataFrame, ratios: list[float], least: float = 15.0) -> DataFrame:
-    """The rows with columns base_spans and spans (start, kind, end); a null text is empty and has none."""
+def scan(docs: DataFrame, ratios: list[float], least: float = 15.0, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+    """The rows with two more columns, the base spans and all spans (start, kind, end); a null text is empty and has none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("base_spans", base_spans(text))
-    return found.withColumn("spans", F.sort_array(F.concat("base_spans", markov_spans(text, F.col("base_spans"), ratios, least))))
+    found = docs.withColumn(names[0], base_spans(text))
+    return found.withColumn(names[1], F.sort_array(F.concat(names[0], markov_spans(text, F.col(names[0]), ratios, least))))
 
 
 def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]", least: float = 15.0) -> DataFrame:
-    """The rows with each secret in text replaced by mark; a null text stays null."""
-    names = docs.columns
-    found = scan(docs, ratios, least)
-    return found.withColumn("text", F.when(F.col("text").isNotNull(), _between(F.col("text"), F.col("spans"), mark))).select(*names)
+    """The rows with each secret in text replaced by mark; a null text stays null. Other columns, whatever their names, stay."""
+    found = scan(docs, ratios, least, ("_secrets_base", "_secrets_all"))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), _between(F.col("text"), F.col("_secrets_all"), mark))).select(*docs.columns)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
