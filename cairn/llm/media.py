@@ -126,7 +126,9 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         return [Range(p, at, min(size, at + self.split)) for p, size in self.archives() for at in range(0, size, self.split)]
 
-    def read(self, part: Range):
+    def read(self, part: Range | None):
+        if part is None:  # there are no archives
+            return
         fs, _ = common.filesystem(self.path)
         handle = fs.open_input_file(part.archive)
         members = sorted((i for i in zipfile.ZipFile(handle).infolist() if part.start <= i.header_offset < part.end), key=lambda i: i.header_offset)
