@@ -1,0 +1,3 @@
+"""Registered queries over the star-schema tables. Importing this package fills the registry."""
+
+from . import baskets, market, texts, users  # noqa: F401

@@ -1,4 +1,4 @@
-"""All registered queries and their SQL, collected from the modules that define them."""
+"""All registered queries and their SQL, collected by a decorator from the modules of ``cairn.plans``."""
 
 from __future__ import annotations
 
@@ -6,5 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[run.__name__] = sql
+        return run
+
+    return add
