@@ -133,9 +133,6 @@ def classify_titles(spark: SparkSession, d: str) -> DataFrame:
     return classify.classify(forms(spark, d).select("title"), aliases(spark, d))
 
 
-LINK = r"<a href=\"([^\"]*)\">([^<]*)</a>"
-
-
 @query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS href FROM pages),
 u AS (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS host FROM l)
 SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || href
@@ -146,7 +143,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("page_id", text.absolute(F.col("href"), F.col("url")).alias("link")).agg(F.count("*").alias("n"))
 
 
-ARTICLE = feeds.Listing(blocks=(r"(?s)<article>.*?</article>", r"(?s)<body>.*</body>"), title=(r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<a [^>]*>(.*?)</a>"), href=(r'<a [^>]*?href="([^"]*)"',), price=(r"(?s)^(.*)$",))
+ARTICLE = feeds.Listing(blocks=(r"(?s)<body>.*</body>",), title=(r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<a [^>]*>(.*?)</a>"), href=(r'<a [^>]*?href="([^"]*)"',), price=(r"(?s)^(.*)$",))
 
 
 @query(None)
