@@ -38,8 +38,8 @@ class Params:
     threshold: float = 0.8
     hashes: int = 64
     recall: float = 0.9999
-    depth: int = 3
-    limit: int = 48
+    depth: int = 2
+    limit: int = 256
     block: int = 1500  # classes a block of a large bucket
     exact_block: int = 300_000  # n-grams a block of a candidate group
     first_runs: int = 4
@@ -155,39 +155,48 @@ def _children(paths: np.ndarray, tokens: np.ndarray, params: Params, least: int
     return row, key.view(np.int64)
 
 
+LEVEL = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+
 def _first_level(classes: DataFrame, runs: range, params: Params) -> DataFrame:
-    """(key, id, group) of all classes and runs."""
-    out = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("group", pa.int64())])
+    """(key, id) of all classes and runs."""
 
     def run(batches):
         roots = _mix(np.array([params.seed * 1_000_003 + r for r in runs], np.uint64))
         for b in batches:
-            tokens, ids, groups = _tokens(b.column("sketch"), params.hashes), b.column("id").to_numpy(), b.column("group").to_numpy()
+            tokens, ids = _tokens(b.column("sketch"), params.hashes), b.column("id").to_numpy()
             for root in roots:
                 row, key = _children(np.full(len(ids), root, np.uint64), tokens, params, least=1)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(groups[row])], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row])], schema=LEVEL)
 
-    return classes.select("id", "group", "sketch").mapInArrow(run, "key long, id long, group long")
+    return classes.select("id", "sketch").mapInArrow(run, "key long, id long")
 
 
 def _next_level(rows: DataFrame, params: Params) -> DataFrame:
-    """(key, id, group) one level down, of rows (key, id, group, sketch)."""
-    out = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("group", pa.int64())])
+    """(key, id) one level down, of rows (key, id, sketch)."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 row, key = _children(b.column("key").to_numpy().view(np.uint64), _tokens(b.column("sketch"), params.hashes), params)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.column("id").to_numpy()[row]), pa.array(b.column("group").to_numpy()[row])], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.column("id").to_numpy()[row])], schema=LEVEL)
 
-    return rows.select("key", "id", "group", "sketch").mapInArrow(run, "key long, id long, group long")
+    return rows.select("key", "id", "sketch").mapInArrow(run, "key long, id long")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of keys with two classes or more that aren't all connected yet, with the number n of the key's rows."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("n > 1 and lo < hi").select("key", "n")
-    return common.written(rows.join(sizes, "key"), "buckets")
+def _shared(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows of keys with two classes or more that groups (id, component) don't connect all, with the number n of the key's rows.
+
+    Most keys have one class and end here: only two numbers a row are shuffled before that.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    kept = common.written(rows.join(sizes, "key"), "buckets")
+    if groups is None:
+        return kept
+    own = kept.join(groups, "id", "left").select("key", F.coalesce("component", "id").alias("group"))
+    mixed = own.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
+    return common.written(kept.join(mixed, "key", "left_semi"), "buckets")
 
 
 def _stars(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -251,10 +260,11 @@ def _bucket_edges(rows: DataFrame, params: Params) -> DataFrame:
     return rows.select("key", "i", "j", "id", "sketch").mapInArrow(run, "a long, b long")
 
 
-def _run(classes: DataFrame, runs: range, params: Params) -> DataFrame:
-    """Edges that the runs find among classes (id, group, sketch)."""
-    level, leaves = _shared(_first_level(classes, runs, params)), []
-    sketches = classes.select("id", "sketch")
+def _run(classes: DataFrame, runs: range, params: Params, groups: DataFrame | None = None) -> DataFrame:
+    """Edges that the runs find among classes (id, sketch), but for those within groups."""
+    level, leaves = _shared(_first_level(classes, runs, params), groups), []
+    # from here on only the classes that met another count
+    sketches = common.written(classes.select("id", "sketch").join(level.select("id").distinct(), "id", "left_semi"), "sketches")
     for depth in range(1, params.depth + 1):
         small = level.filter(F.col("n") <= params.limit)
         leaves.append(small.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id"))
@@ -262,7 +272,7 @@ def _run(classes: DataFrame, runs: range, params: Params) -> DataFrame:
         if large.isEmpty():
             break
         if depth < params.depth:
-            level = _shared(_next_level(large.join(sketches, "id"), params))
+            level = _shared(_next_level(large.join(sketches, "id"), params), groups)
         else:
             blocks = F.ceil(F.col("n") / params.block).cast("int")
             own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
@@ -277,12 +287,11 @@ def _run(classes: DataFrame, runs: range, params: Params) -> DataFrame:
 
 def candidate_groups(classes: DataFrame, params: Params) -> DataFrame:
     """(id, component) of the classes (id, sketch) that may be like another."""
-    own = classes.withColumn("group", F.col("id"))
-    edges = common.written(_run(own, range(params.first_runs), params), "links")
+    first = min(params.first_runs, params.runs)
+    edges = common.written(_run(classes, range(first), params), "links")
     groups = components(edges)
-    if params.runs > params.first_runs:
-        known = classes.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).select("id", "sketch", "group")
-        more = common.written(_run(known, range(params.first_runs, params.runs), params), "links")
+    if params.runs > first:
+        more = common.written(_run(classes, range(first, params.runs), params, groups), "links")
         groups = components(edges.unionByName(more))
     return groups
 
@@ -337,7 +346,8 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, params:
     members = common.written(classes.join(groups, "id"), "members")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("grams") / params.exact_block).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    wanted = members.select(F.col("id"), F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    # members grow with the documents: a merge join at every size
+    wanted = members.select(F.col("id"), F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).hint("merge")
     found = texts.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text").mapInArrow(sets, "id long, grams binary").dropDuplicates(["id"])
     dealt = members.select("id", "component").join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
