@@ -226,8 +226,17 @@ def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, CAPTURES)
 
 
-def read(captures: DataFrame, path: str, payloads: bool = True) -> DataFrame:
-    """The records of captures, by range reads in the order of the files."""
+def tasks_for(captures: DataFrame, task_bytes: int = 16 << 20) -> int:
+    """Tasks that read captures of a written table at about task_bytes of archive each."""
+    return max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+
+
+def read(captures: DataFrame, path: str, payloads: bool = True, tasks: int | None = None) -> DataFrame:
+    """The records of captures, by range reads in the order of the files.
+
+    Rows of captures are small and what they stand for is not: the number of tasks follows
+    the archives' bytes (see ``tasks_for``), not the rows'.
+    """
     schema = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads
     out = pa.schema(schema)
 
@@ -249,7 +258,8 @@ def read(captures: DataFrame, path: str, payloads: bool = True) -> DataFrame:
             if rows:
                 yield _batch(rows, out)
 
-    ordered = captures.select("filename", "offset", "length").repartitionByRange("filename", "offset").sortWithinPartitions("filename", "offset")
+    tasks = tasks or tasks_for(captures)
+    ordered = captures.select("filename", "offset", "length").repartitionByRange(tasks, "filename", "offset").sortWithinPartitions("filename", "offset")
     return ordered.mapInArrow(run, RECORDS if payloads else RECORDS.rpartition(",")[0])
 
 
@@ -257,6 +267,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records, indexed, looked up by their URLs' keys and read back: a row per page."""
     pages = common.table(spark, sf_dir, "pages")
     path = common.new_folder(spark, "warc")
-    shards = index(write(pages, path), path)
+    captures = write(pages, path)
+    shards = index(captures, path)
     found = lookup(shards, pages.select(urlkey(F.col("url")).alias("urlkey")))
-    return read(found, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(found, path, payloads=False, tasks=tasks_for(captures)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
