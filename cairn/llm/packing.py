@@ -12,7 +12,6 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,13 +95,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     # dealt out by row number: no document or length can fill a group
     rest = rest.withColumn("_group", F.monotonically_increasing_id() % groups)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="_group").sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        place, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=((int(key[0]) << 32) + place) * 2 + 1, offset=offset)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns(["_group"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        place, offset = sum_of_squares(rows.column("length").to_numpy(), capacity)
+        return rows.append_column("sequence_id", pa.array(((key[0].as_py() << 32) + place) * 2 + 1)).append_column("offset", pa.array(offset))
 
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    packed = rest.groupBy("_group").applyInPandas(run, f"{typed}, sequence_id long, offset long")
+    packed = rest.groupBy("_group").applyInArrow(run, f"{typed}, sequence_id long, offset long")
     return whole.unionByName(packed)
 
 

@@ -110,3 +110,10 @@ def test_sum_of_squares_takes_the_best_place(lengths):
         assert gaps.get(p, 12) >= s and 12 - gaps.get(p, 12) == o
         gaps[p] = gaps.get(p, 12) - s
         assert score(gaps) == best
+
+
+def test_packing_keeps_large_ids_beside_null_ones(spark):
+    big = (1 << 62) + 1
+    rows = spark.createDataFrame([(big, "a b c"), (None, "d e f"), (big + 2, None)], "doc_id long, text string")
+    out = packing.pack(common.written(packing.pieces(rows, default_tokenizer()), "p")).collect()
+    assert {r["doc_id"] for r in out} == {big, None, big + 2}
