@@ -39,7 +39,7 @@ class Params:
     hashes: int = 64
     recall: float = 0.9999
     depth: int = 2
-    limit: int = 256
+    limit: int = 1000
     block: int = 1500  # classes a block of a large bucket
     exact_block: int = 300_000  # n-grams a block of a candidate group
     first_runs: int = 4
