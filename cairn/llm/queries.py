@@ -31,4 +31,24 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
         FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100""",
+    "op9_quality_rules": r"""
+        WITH w AS (SELECT doc_id, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS s, coalesce(text, '') AS t,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+        q AS (SELECT w.doc_id, s, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                     CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+                     length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
+        v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                     [CASE WHEN word_chars > 0 THEN least(1000, floor(1000 * n_symbols / word_chars)) ELSE 0 END, CASE WHEN n_words > 0 THEN least(1000, floor(1000 * n_repeat_words / n_words)) ELSE 0 END,
+                      CASE WHEN n_lines > 0 THEN least(1000, floor(1000 * n_dup_lines / n_lines)) ELSE 0 END, CASE WHEN word_chars > 0 THEN least(1000, floor(1000 * n_capitals / word_chars)) ELSE 0 END,
+                      CASE WHEN n_words > 0 THEN least(1000, floor(20 * word_chars / n_words)) ELSE 100 END, CASE WHEN n_words > 0 THEN greatest(0, 200 - floor(20 * word_chars / n_words)) ELSE 100 END] AS vals FROM q),
+        good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+        h AS (SELECT s, r, vals[r] AS val FROM v JOIN good USING (doc_id), (SELECT unnest(range(1, 7)) AS r) WHERE NOT base_failed),
+        tried AS (SELECT s, r, c, count(*) AS n, count(*) FILTER (val > c) AS k FROM h, (SELECT unnest(range(0, 1000, 20)) AS c) GROUP BY ALL),
+        chosen AS (SELECT s, r, min(c) AS c FROM tried
+                   WHERE k < n * 0.005 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) <= 0.05 / (5 * 6 * 50) GROUP BY ALL)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT EXISTS (SELECT 1 FROM chosen WHERE chosen.s = v.s AND v.vals[chosen.r] > chosen.c) AS kept FROM v""",
 }
