@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import classify, offers
+from cairn.operators import classify, offers, runs
 from cairn.registry import query
 from cairn.rules import titles as T
 from cairn.sources import feeds, tables
@@ -175,3 +175,13 @@ def fx_last_obs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def event_latest(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+
+
+@query(tables.SQL + ", " + FORM_SQL.removeprefix("WITH ") + f""", c AS (SELECT n.product_key, {REJECT_SQL} IS NULL AS ok, n.product_key % 7 = 0 AS matched FROM n)
+SELECT count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected, 0 AS no_rate, count(DISTINCT c.product_key) FILTER (ok AND NOT matched) AS unmatched FROM offers JOIN c USING (product_key)""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a run whose titles pass or fail the ladder of rejections."""
+    from cairn.plans.market import landed
+
+    judged = forms(spark, d).select("product_key", classify.rejection(F.col("norm"), F.col("title")).isNull().alias("accepted"), (F.col("product_key") % 7 == 0).alias("set_matched"))
+    return runs.counters(landed(spark, d).join(judged, "product_key"))

@@ -103,21 +103,16 @@ ALIAS_LANGUAGES = ("de", "fr", "es", "it")
 
 # Words that are no part of a set's name.
 NOISE = (
-    "pokemon", "pokmon", "tcg", "trading", "card", "game", "sammelkartenspiel", "kortspil", "kaartspel", "kortspel", "booster", "box", "boxes", "bundle", "bundles",
-    "display", "displays", "elite", "trainer", "top", "toptrainer", "trainerbox", "etb", "ttb", "upc", "ultra", "premium", "collection", "kollektion", "collectie",
-    "samling", "new", "nyhed", "neu", "nieuw", "ny", "sealed", "forseglet", "versiegelt", "verzegeld", "forseglad", "preorder", "forudbestilling", "vorbestellung",
-    "reservering", "release", "udgivelse", "the", "of", "and", "a", "an",
-    "scarlet", "violet", "karmesin", "purpur", "ecarlate", "base", "basis", "center", "centre", "pakker", "pakke", "stk", "stuck", "stuecke",
-    "editie", "edition", "ausgabe", "udgave", "engelse", "boosters", "brick", "6er", "10er", "12er", "20er", "24er", "30er", "36er", "limit", "kunde", "kunden",
-    "max", "maks", "pr", "alm", "moms", "brugtmoms", "normal", "sets", "sellada", "sobres", "sobre", "caja", "cajas", "buste", "bustine", "busta", "completo",
-    "coffret", "dresseur", "entrenador", "allenatore", "fuoriclasse", "coleccion", "collezione", "sword", "shield", "schwert", "schild", "zwaard", "svard", "skold",
-)
-NOISE_LANGUAGE = (
-    "en", "eng", "english", "engelsk", "englisch", "engels", "engelska", "de", "ger", "deutsch", "german", "tysk", "duits", "tyska", "jp", "jpn", "jap", "japansk",
-    "japanese", "japans", "japanisch", "japanska", "kor", "korean", "koreansk", "koreanisch", "koreaans", "cn", "chn", "chinese", "kinesisk", "chinesisch", "chinees",
-    "fr", "fra", "french", "francais", "franzosisch", "fransk", "frans", "japones", "coreano", "chino", "simplificado", "simplified", "tradicional", "traditional",
-    "ingles", "inglese", "espanol", "italiano", "ita", "frances", "francese", "giapponese", "cinese", "spagnolo", "anglais", "chinois", "coreen",
-    "del", "la", "el", "con", "da", "di", "le", "et", "d", "l", "it", "es",
+    "pokemon", "pokmon", "tcg", "trading", "card", "game", "sammelkartenspiel", "kortspil", "kaartspel", "kortspel", "booster", "box", "boxes", "bundle", "bundles", "display", "displays", "elite", "trainer",
+    "top", "toptrainer", "trainerbox", "etb", "ttb", "upc", "ultra", "premium", "collection", "kollektion", "collectie", "samling", "new", "nyhed", "neu", "nieuw", "ny", "sealed", "forseglet", "versiegelt",
+    "verzegeld", "forseglad", "preorder", "forudbestilling", "vorbestellung", "reservering", "release", "udgivelse", "the", "of", "and", "a", "an",
+    "en", "eng", "english", "engelsk", "englisch", "engels", "engelska", "de", "ger", "deutsch", "german", "tysk", "duits", "tyska", "jp", "jpn", "jap", "japansk", "japanese", "japans", "japanisch", "japanska",
+    "kor", "korean", "koreansk", "koreanisch", "koreaans", "cn", "chn", "chinese", "kinesisk", "chinesisch", "chinees", "fr", "fra", "french", "francais", "franzosisch", "fransk", "frans",
+    "scarlet", "violet", "karmesin", "purpur", "ecarlate", "base", "basis", "center", "centre", "pakker", "pakke", "stk", "stuck", "stuecke", "editie", "edition", "ausgabe", "udgave", "engelse", "boosters", "brick",
+    "6er", "10er", "12er", "20er", "24er", "30er", "36er", "limit", "kunde", "kunden", "max", "maks", "pr", "alm", "moms", "brugtmoms", "normal", "sets", "sellada", "sobres", "sobre", "caja", "cajas", "buste", "bustine",
+    "busta", "completo", "coffret", "dresseur", "entrenador", "allenatore", "fuoriclasse", "coleccion", "collezione", "japones", "coreano", "chino", "simplificado", "simplified", "tradicional", "traditional",
+    "ingles", "inglese", "espanol", "italiano", "ita", "frances", "francese", "giapponese", "cinese", "spagnolo", "anglais", "chinois", "coreen", "del", "la", "el", "con", "da", "di", "le", "et", "d", "l", "it", "es",
+    "sword", "shield", "schwert", "schild", "zwaard", "svard", "skold",
 )
 
 # Set codes that shops add to a name.
@@ -141,5 +136,5 @@ class Rules:
     types: tuple[tuple[str, tuple[str, ...]], ...] = TYPES
     center_words: tuple[str, ...] = CENTER_WORDS
     languages: tuple[tuple[str, tuple[str, ...]], ...] = LANGUAGES
-    noise: tuple[str, ...] = NOISE + NOISE_LANGUAGE
+    noise: tuple[str, ...] = NOISE
     series: tuple[str, ...] = SERIES
