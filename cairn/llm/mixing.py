@@ -46,6 +46,15 @@ def _fitted(targets: dict[str, float], present: set[str]) -> dict[str, float]:
     return {k: v / total for k, v in kept.items()} if total else dict.fromkeys(present, 1 / max(1, len(present)))
 
 
+def language_targets(tokens: dict[str, float], languages: dict[str, float]) -> dict[str, float]:
+    """Shares of the languages that occur: those not listed (null ones too) their token share, the listed ones the rest in proportion to their weights."""
+    total = sum(tokens.values()) or 1.0
+    out = {k: v / total for k, v in tokens.items() if k not in languages}
+    rest, listed = 1.0 - sum(out.values()), {k: max(0.0, languages[k]) for k in tokens if k in languages}
+    weights = sum(listed.values())
+    return out | {k: rest * v / weights if weights else 0.0 for k, v in listed.items()}
+
+
 def rake(cells: list[tuple], targets: list[dict[str, float]], rounds: int = 60, tolerance: float = 1e-6) -> np.ndarray:
     """Weights of cells (key of each axis ..., tokens), to a sum of 1, from the start of their token shares.
 
@@ -112,6 +121,9 @@ def probabilities(cells: DataFrame, keep: float, source_power: float, languages:
     spark = cells.sparkSession
     schema = "source string, lang string, topic string, weight double, probability double"
     n = cells.count()
+    # one row a language
+    spoken = {r["lang"]: float(r["tokens"]) for r in cells.groupBy("lang").agg(F.sum("tokens").alias("tokens")).collect()}
+    languages = language_targets(spoken, languages)
     shares = []
     for axis in (0, 2):
         power = (source_power, None, topic_power)[axis]
@@ -147,7 +159,8 @@ def mix(docs: DataFrame, keep: float = 0.6, source_power: float = 0.7, languages
     """The rows with a struct column _mix: source, lang, topic, tokens, weight, probability and kept.
 
     Null sources and languages are cells of their own, named by the empty string. Sources and
-    topics aim at their token shares raised to a power, languages at the weights given; about
+    topics aim at their token shares raised to a power. Languages without a weight, null ones
+    too, aim at their token share, and the others share the rest by the weights given. About
     ``keep`` of all tokens stay. Whether a document stays depends on doc_id and seed alone,
     so that repeated rows share one fate. Documents of no tokens never stay.
     """

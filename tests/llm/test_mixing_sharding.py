@@ -69,6 +69,20 @@ def test_mixing_edges(edge, empty):
     assert mixing.sample(empty).count() == 0
 
 
+def test_null_and_unlisted_languages_can_stay(spark):
+    words = lambda i: " ".join(f"w{i * 31 + j}" for j in range(40 + i % 50))
+    rows = [(i, words(i), ("en", "de", None, "pt", "en", "fr")[i % 6], "hot" if i % 6 == 2 else f"s{i % 4}") for i in range(600)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("_mix.*").collect()
+    total = sum(r["tokens"] for r in out)
+    for lang in ("", "pt"):
+        own = [r for r in out if r["lang"] == lang]
+        assert all(r["probability"] > 0 for r in own) and any(r["kept"] for r in own)
+        share = sum(r["tokens"] for r in own) / total
+        assert abs(mixing.language_targets({"en": total * (1 - share), lang: total * share}, mixing.LANGUAGES)[lang] - share) < 1e-9
+    assert mixing.language_targets({"en": 60.0, "de": 20.0, "": 20.0}, mixing.LANGUAGES) == pytest.approx({"en": 0.8 * 5 / 7, "de": 0.8 * 2 / 7, "": 0.2})
+    assert mixing.language_targets({"xx": 3.0, "": 1.0}, mixing.LANGUAGES) == pytest.approx({"xx": 0.75, "": 0.25})
+
+
 def test_table_is_filled_by_turns():
     shards, slots = ("c", "a", "b"), 13
     order = {}
