@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -45,19 +46,35 @@ class Params:
     first_runs: int = 4
     seed: int = 1
 
-    @property
-    def runs(self) -> int:
-        """A pair at the threshold shares one child on average; its paths last to ``depth`` with probability q."""
+    def agreement(self, k: int) -> float:
+        """Probability that a pair at the threshold has ``k`` equal tokens in its sketches."""
+        return math.comb(self.hashes, k) * self.threshold**k * (1 - self.threshold) ** (self.hashes - k)
+
+    def met(self, k: int) -> float:
+        """Probability that two sketches of ``k`` equal tokens share a path of ``depth`` nodes in one run."""
         q = 1.0
         for _ in range(self.depth):
-            q = 1 - math.exp(-q)
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - q))
+            q = 1 - (1 - q / (self.threshold * self.hashes)) ** k
+        return q
 
     @property
     def agree(self) -> int:
-        """Least number of equal tokens of a candidate pair: three standard deviations under the threshold."""
-        t = self.threshold
-        return max(1, math.floor(self.hashes * t - 3 * math.sqrt(self.hashes * t * (1 - t))))
+        """Least number of equal tokens of a candidate pair: a pair at the threshold has fewer with half of the probability 1 - recall at most."""
+        least, tail = 0, self.agreement(0)
+        while tail <= (1 - self.recall) / 2:
+            least += 1
+            tail += self.agreement(least)
+        return max(1, least)
+
+    @property
+    def runs(self) -> int:
+        """Runs until the tree's misses, over all numbers of equal tokens (every run reads the same sketch), are less than what ``agree`` leaves of 1 - recall."""
+        pairs = [(self.agreement(k), 1 - self.met(k)) for k in range(self.agree, self.hashes + 1)]
+        rest = max((1 - self.recall) / 2, 1 - self.recall - sum(self.agreement(k) for k in range(self.agree)))
+        runs = 1
+        while sum(p * miss**runs for p, miss in pairs) > rest:
+            runs += 1
+        return runs
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -313,13 +330,16 @@ def _linked(sets: list[np.ndarray], own: np.ndarray, i: int, j: int, threshold:
     order = np.argsort(code, kind="stable")
     code, row = code[order], row[order]
     rows_i, rows_j = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    common_grams = np.zeros((len(rows_i), len(rows_j)), np.float32)
+    common_grams = np.zeros((len(rows_i), len(rows_j)), np.int64)
     for at in range(0, int(often.sum()), 2048):
         lo, hi = np.searchsorted(code, (at, at + 2048))
         dense = np.zeros((len(sets), min(2048, int(often.sum()) - at)), np.float32)
         dense[row[lo:hi], code[lo:hi] - at] = 1
-        common_grams += dense[rows_i] @ dense[rows_j].T
-    links = common_grams * (1 + threshold) >= threshold * (sizes[rows_i][:, None] + sizes[rows_j][None, :]) - 1e-6
+        common_grams += (dense[rows_i] @ dense[rows_j].T).astype(np.int32)  # 2048 at most: exact
+    # whole numbers, so that pairs at the threshold itself are links: common / union >= n / d
+    n, d = Fraction(str(threshold)).limit_denominator(10**6).as_integer_ratio()
+    common_grams *= n + d
+    links = common_grams >= n * (sizes[rows_i][:, None] + sizes[rows_j][None, :])
     if i == j:
         np.fill_diagonal(links, False)
     count = np.zeros(len(sets), np.int64)

@@ -99,6 +99,37 @@ def test_one_of_each_and_edges(spark, edge, empty):
     assert {r["doc_id"] for r in ngram_join.one_of_each(rows).collect()} == {k for k, v in want.items() if v[0] == k}
 
 
+def test_pairs_at_the_threshold_are_links():
+    for k in (*range(1, 400), 1999, 4000):
+        whole = np.arange(5 * k, dtype=np.uint64)
+        for own, i, j in (([0, 0], 0, 0), ([0, 1], 0, 1)):
+            assert ngram_join._linked([whole[: 4 * k], whole], np.array(own), i, j, 0.8)[0].tolist() == [1, 1]
+            assert ngram_join._linked([whole[: 4 * k - 1], whole], np.array(own), i, j, 0.8)[0].tolist() == [0, 0]
+
+
+def test_texts_at_the_threshold_are_links(spark):
+    texts = {}
+    for k in (3, 6, 7, 12, 25):
+        words = [f"t{k}x{i}" for i in range(5 * k + 4)]
+        texts[10 * k], texts[10 * k + 1] = " ".join(words[: 4 * k + 4]), " ".join(words)
+    assert brute(texts) == {d: (d - d % 10, d, 1) for d in texts}
+    assert result(spark, texts) == brute(texts)
+
+
+def test_recall_at_the_threshold():
+    from math import comb
+
+    params = ngram_join.Params()
+    chance = [comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(65)]
+    rng, missed = np.random.default_rng(5), 0.0
+    for k, c in enumerate(chance):
+        # the tree by simulation: shared children of a root, and theirs
+        shared = rng.binomial(k, 1 / (0.8 * 64), 200_000)
+        alive = rng.random(200_000) < 1 - (1 - 1 / (0.8 * 64)) ** (k * shared.astype(float)) if params.depth == 2 else shared > 0
+        missed += c * (1.0 if k < params.agree else (1 - alive.mean()) ** params.runs)
+    assert missed <= 1.1 * (1 - params.recall)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "cc", " ", "\n", "é", "\t\t"]), max_size=60))
 def test_shingles(parts):
