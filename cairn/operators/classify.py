@@ -120,8 +120,8 @@ def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
     x = long(a, "word").withColumn("_pair", F.explode(key(F.col("word"))))
     y = long(b, "other").withColumn("_pair", F.explode(key(F.col("other"))))
     met = x.join(y, "_pair").filter((F.col("word") != F.col("other")) & (F.abs(F.length("word") - F.length("other")) * 9 <= F.length("word") + F.length("other"))).select("word", "other").distinct()
-    # similarity r leaves at most (1 - r) of the letters of both words to insert or delete
-    bound = F.floor((F.length("word") + F.length("other")) * (1 - NEAR_RATIO / 100)).cast("int")
+    # similarity r leaves at most (1 - r) of the letters of both words to insert or delete; in whole numbers, 1 - 0.9 being less than 0.1
+    bound = F.floor((F.length("word") + F.length("other")) * int(100 - NEAR_RATIO) / 100).cast("int")
     met = met.filter(F.levenshtein("word", "other") <= bound)
     return same.unionByName(met.filter(text.indel_ratio(F.col("word"), F.col("other")) >= NEAR_RATIO))
 

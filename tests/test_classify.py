@@ -99,3 +99,22 @@ def test_similarity(spark):
     rows = spark.createDataFrame(pairs, "a string, b string").withColumn("r", text.indel_ratio(F.col("a"), F.col("b")))
     for r in rows.collect():
         assert abs(r["r"] - indel(r["a"], r["b"])) < 1e-9
+
+
+def test_near_words_keep_exchanged_letters(spark):
+    """Every near pair by brute force, words of ten and twenty letters with two neighbours exchanged among them."""
+    words = ["collection", "collectoin", "colection", "collections", "masquerade", "masqeurade", "characterisationally", "characterisatoinally", "hcaracterisatoinally", "hcaracterisationally", "sparks", "spakrs"]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if c == d else max(row[j], new[-1]))
+            row = new
+        return row[-1]
+
+    want = {(a, b) for a in words for b in words if 200 * lcs(a, b) >= 90 * (len(a) + len(b))}
+    assert ("collection", "collectoin") in want
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {tuple(r) for r in classify.near_words(df, df).collect()} == want
