@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +39,10 @@ class _Shard:
         self.writer = ipc.new_file(sink, self.schema)
         self.ids, self.last, self.held, self.tokens, self.sequences = [], [], 0, 0, 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents' ids in a row; ``bounds`` has where each begins, and the total."""
         last = np.zeros(len(ids), bool)
-        last[-1] = True
+        last[bounds[1:] - 1] = True
         self.ids.append(ids)
         self.last.append(last)
         self.held += len(ids)
@@ -90,16 +90,16 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, length: int
         fs.create_dir(folder, recursive=True)
         name = uuid.uuid4().hex
         shard = docs = None
-        end, count = array("I", [end_id]).tobytes(), 0
+        count = 0
         for whole in batches:
             for b in common.slices(whole, "text", 4 << 20):
                 if shard is None:
                     sink, docs_sink = fs.open_output_stream(f"{folder}/ids-{name}.arrow"), fs.open_output_stream(f"{folder}/docs-{name}.arrow")
                     shard, docs = _Shard(sink, length, rows, kind), ipc.new_file(docs_sink, pa.schema([("doc_id", pa.int64())]))
                 docs.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id")], names=["doc_id"]))
-                for ids in encoder.encode(b.column("text").to_pylist()):
-                    shard.add(np.frombuffer(ids + end, "<u4").astype(kind.to_pandas_dtype()))
-                    count += 1
+                ids, bounds = encoder.encode(b.column("text"), end_id)
+                shard.add(ids.astype(kind.to_pandas_dtype()), bounds)
+                count += b.num_rows
         if shard is not None:
             shard.close()
             docs.close()

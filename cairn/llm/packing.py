@@ -9,7 +9,6 @@ that packing is a distributed job; what a group loses is a few open sequences at
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -61,24 +60,26 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     out = pa.schema(fields)
-    end = array("I", [end_id]).tobytes()
 
     def run(batches):
         encoder = Encoder.of(tokenizer)
         for whole in batches:
             for b in common.slices(whole, "text", 4 << 20):
-                rows = []
-                for key, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    count = -(-n // capacity)
-                    first = n - (count - 1) * capacity
-                    for k in range(count):
-                        start, length = (0, first) if k == 0 else (first + (k - 1) * capacity, capacity)
-                        part = ids[4 * start : 4 * (start + length)]
-                        rows.append((key, k, start, length, zlib.crc32(part)) + ((np.frombuffer(part, "<i4"),) if with_ids else ()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), out)], schema=out)
+                ids, bounds = encoder.encode(b.column("text"), end_id)
+                n = np.diff(bounds)
+                count = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                first = (n - (count - 1) * capacity)[row]
+                start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+                length = np.where(piece == 0, first, capacity)
+                at = bounds[:-1][row] + start
+                data, ends = memoryview(ids.astype("<u4").tobytes()), (at + length) * 4
+                crc = [zlib.crc32(data[i:j]) for i, j in zip((at * 4).tolist(), ends.tolist())]
+                columns = [b.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:  # the pieces lie one after another in ids
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, bounds[-1]), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 

@@ -1,17 +1,20 @@
-"""Token ids by a public byte-level BPE vocabulary, cached per chunk of text."""
+"""Token ids by a public byte-level BPE vocabulary, each distinct chunk of text encoded once.
+
+A batch of texts is cut into chunks where no token can reach across, the chunks are
+dictionary-encoded by Arrow, and the ids of all texts are gathered from those of the
+distinct chunks: no Python object per word or per document.
+"""
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
-
-LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: The byte-level pre-tokenizer never joins these chunks, so that ids of a text are the ids of its chunks in a row.
-CHUNK = re.compile(rf" ?[{LETTERS}]++(?![^\x00-\x7f])| ?\S+|\s+(?!\S)|\s+")
-#: Separators that Python counts as white space and the pre-tokenizer does not; such texts are encoded whole.
-ODD = "\x1c\x1d\x1e\x1f"
+
+import numpy as np
+import pyarrow as pa
+
+#: Chunks that a worker remembers, and the longest of them in bytes.
 MOST_CHUNKS = 400_000
+LONGEST = 128
 
 
 def default_tokenizer() -> str:
@@ -20,12 +23,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 text, whether a chunk begins there.
+
+    The byte-level pre-tokenizer's pieces hold white space only at their beginning, and before a
+    visible character only one blank of it. So a piece begins at a blank before a visible
+    character, at a line feed after one, and after a line feed between two of them.
+    Bytes that may belong to white space outside ASCII count as neither.
+    """
+    out = np.zeros(len(data), bool)
+    seen = (data > 32) & (data < 127)
+    # the first bytes of the characters that white space outside ASCII may begin with don't count
+    begins = seen | ((data >= 0xC3) & (data != 0xE1) & (data != 0xE2) & (data != 0xE3))
+    out[:-1] |= (data[:-1] == 32) & begins[1:]
+    feed = data == 10
+    out[1:] |= feed[1:] & seen[:-1]
+    out[2:] |= seen[2:] & feed[1:-1] & seen[:-2]
+    return out
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The slices values[start:start + count], one after another."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - ends + counts, counts) + np.arange(total)]
+
+
 class Encoder:
-    """``encode`` gives each text's ids as little-endian unsigned 32-bit integers.
+    """Ids of whole texts, equal to those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Ids equal those of encoding the whole text with ``add_special_tokens=False``;
-    the strings of special tokens in a text count as ordinary text. Chunks already
-    seen by this worker come from a cache of bounded size.
+    A text that holds the string of a special token is encoded whole, by that call. The cache of
+    chunks is of bounded size; when it is full the older chunks go, down to half.
     """
 
     _made: dict[str, Encoder] = {}
@@ -35,8 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache: dict[bytes, np.ndarray] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -44,19 +72,56 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [x or "" for x in texts]
-        odd = {i for i, x in enumerate(texts) if any(c in x for c in ODD)}
-        chunks = [[] if i in odd else CHUNK.findall(x) for i, x in enumerate(texts)]
+    def _of_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
+        new = [c for c in chunks if c not in self.cache]
+        found = dict(zip(new, self._ids(new)))
+        out = [found[c] if c in found else self.cache[c] for c in chunks]
+        self.cache.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
         if len(self.cache) > MOST_CHUNKS:
-            self.cache.clear()
-        new = list(set().union(*chunks).difference(self.cache)) if chunks else []
-        self.cache.update(zip(new, self._ids(new)))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        for i in odd:
-            out[i] = self._ids([texts[i]])[0]
+            for k in list(self.cache)[: len(self.cache) - MOST_CHUNKS // 2]:
+                del self.cache[k]
         return out
+
+    def _special_rows(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """Rows that hold the string of a special token."""
+        rows = set()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(s) <= offsets[row + 1]:
+                    rows.add(row)
+                    at = raw.find(s, int(offsets[row + 1]))
+                else:
+                    at = raw.find(s, at + 1)
+        return sorted(rows)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with end_id after it; where each text's begin, and their total). Null texts are empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        _, places, data = texts.buffers()
+        offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(texts) else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        begin, full = cuts(raw), np.flatnonzero(np.diff(offsets))
+        begin[offsets[full + 1] - 1] &= raw[offsets[full + 1] - 1] != 32  # a blank that ends a text is before no character
+        begin[offsets[full]] = True
+        starts = np.flatnonzero(begin)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = [*self._of_chunks(chunks.dictionary.to_pylist()), np.array([end_id], np.uint32)]
+        counts = np.array([len(x) for x in distinct], np.int64)
+        # the end is one chunk more of each text
+        code = np.insert(chunks.indices.to_numpy(), np.searchsorted(starts, offsets[1:]), len(distinct) - 1)
+        ids = gathered(np.concatenate(distinct), (np.cumsum(counts) - counts)[code], counts[code])
+        upto = np.concatenate([[0], np.cumsum(counts[code])])
+        bounds = np.concatenate([[0], upto[np.flatnonzero(code == len(distinct) - 1) + 1]])
+        rows = self._special_rows(raw.tobytes(), offsets) if len(raw) else []
+        if rows:
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            for row in rows:
+                parts[row] = np.append(self._ids([raw[offsets[row] : offsets[row + 1]].tobytes()])[0], np.uint32(end_id))
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, bounds.astype(np.int64)

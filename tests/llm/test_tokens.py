@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,21 +13,42 @@ from cairn.llm.tokens import Encoder, default_tokenizer
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_tokenizer())
 
 
 def ids_of(plain, text):
     return plain.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x0b\x1c\x85\xa0'stl.,!9é日ßά_"), st.characters(codec="utf-8")), max_size=60))
-def test_cached_chunks_equal_whole_texts(text):
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    assert np.frombuffer(Encoder.of(default_tokenizer()).encode([text])[0], "<u4").tolist() == ids_of(t, text)
+PARTS = st.one_of(st.sampled_from([" ", "\n", "\t", "  ", "\n\n", "'s", "'ll", "a", "bc", "Zebra", ".", ",!", "9", "2024", "é", "日", "\u3000", "\u2003", "\xa0", "\x85", "\x1c", "\x0b", "<|endoftext|>", "<|endof", "ß", "🙂"]), st.characters(codec="utf-8"))
+TEXT = st.lists(PARTS, max_size=25).map("".join)
+PLAIN = Tokenizer.from_file(default_tokenizer())
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
+def test_batches_equal_the_bare_library_call(batch):
+    ids, bounds = Encoder.of(default_tokenizer()).encode(pa.array(batch, pa.string()), 7)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [PLAIN.encode(t or "", add_special_tokens=False).ids + [7] for t in batch]
+
+
+def test_special_strings_and_slices(plain):
+    batch = pa.array(["x", "a <|endoftext|> b", "<|endof", "text|>", None, "tail  ", "  head", "end\n\n", "\nnext"])
+    for at in range(len(batch)):
+        ids, bounds = Encoder.of(default_tokenizer()).encode(batch.slice(at), 0)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [ids_of(plain, t) + [0] for t in batch.slice(at).to_pylist()]
+    assert 50256 in ids_of(plain, batch[1].as_py())
+
+
+def test_the_cache_stays_bounded(monkeypatch):
+    from cairn.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 50)
+    e = Encoder(default_tokenizer())
+    for i in range(30):
+        text = " ".join(f"w{i // 2 + j // 20}x{j}" for j in range(40))
+        assert e.encode(pa.array([text]), 0)[0].tolist() == PLAIN.encode(text).ids + [0]
+        assert len(e.cache) <= 50
 
 
 def test_sequences_read_back(spark, sf, texts, plain):
