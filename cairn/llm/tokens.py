@@ -8,6 +8,8 @@ distinct chunks: no Python object per word or per document.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A chunk that is one piece of the pre-tokenizer: letters, or marks but for the apostrophe, with a blank before them or none.
+PIECE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+)")
+
+
+def byte_characters() -> dict[int, int]:
+    """The visible character that stands for each byte in a byte-level vocabulary: its own, or the next of those from 256 on."""
+    own = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """For each byte of UTF-8 text, whether a chunk begins there.
 
     The byte-level pre-tokenizer's pieces hold white space only at their beginning, and before a
     visible character only one blank of it. So a piece begins at a blank before a visible
-    character, at a line feed after one, and after a line feed between two of them.
+    character, at a line feed after one, and after a line feed between two of them; and
+    between a letter and a digit or mark, or a mark other than the apostrophe and a letter.
     Bytes that may belong to white space outside ASCII count as neither.
     """
     out = np.zeros(len(data), bool)
@@ -39,6 +53,14 @@ def cuts(data: np.ndarray) -> np.ndarray:
     feed = data == 10
     out[1:] |= feed[1:] & seen[:-1]
     out[2:] |= seen[2:] & feed[1:-1] & seen[:-2]
+    low = data | 32
+    letter = (low >= 97) & (low <= 122)
+    ends = letter.copy()
+    ends[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    other = seen & ~letter
+    out[1:] |= ends[:-1] & other[1:]
+    mark = other & ((data < 48) | (data > 57)) & (data != 39)
+    out[1:] |= mark[:-1] & letter[1:]
     return out
 
 
@@ -64,7 +86,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.characters = byte_characters()
+        self.cache: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,12 +95,21 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    def _of_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
-        new = [c for c in chunks if c not in self.cache]
-        found = dict(zip(new, self._ids(new)))
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks: the model's own of those that are one piece, and of the rest by the whole tokenizer."""
+        tokenize, out, rest = self.tokenizer.model.tokenize, {}, []
+        for c in chunks:
+            if PIECE.fullmatch(c):
+                out[c] = array("I", [t.id for t in tokenize(c.decode("latin-1").translate(self.characters))]).tobytes()
+            else:
+                rest.append(c)
+        return out | dict(zip(rest, self._ids(rest)))
+
+    def _of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        found = self._new([c for c in chunks if c not in self.cache])
         out = [found[c] if c in found else self.cache[c] for c in chunks]
         self.cache.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
         if len(self.cache) > MOST_CHUNKS:
@@ -111,17 +143,17 @@ class Encoder:
         begin[offsets[full]] = True
         starts = np.flatnonzero(begin)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
-        distinct = [*self._of_chunks(chunks.dictionary.to_pylist()), np.array([end_id], np.uint32)]
-        counts = np.array([len(x) for x in distinct], np.int64)
+        distinct = [*self._of_chunks(chunks.dictionary.to_pylist()), array("I", [end_id]).tobytes()]
+        counts = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
         # the end is one chunk more of each text
         code = np.insert(chunks.indices.to_numpy(), np.searchsorted(starts, offsets[1:]), len(distinct) - 1)
-        ids = gathered(np.concatenate(distinct), (np.cumsum(counts) - counts)[code], counts[code])
+        ids = gathered(np.frombuffer(b"".join(distinct), np.uint32), (np.cumsum(counts) - counts)[code], counts[code])
         upto = np.concatenate([[0], np.cumsum(counts[code])])
         bounds = np.concatenate([[0], upto[np.flatnonzero(code == len(distinct) - 1) + 1]])
         rows = self._special_rows(raw.tobytes(), offsets) if len(raw) else []
         if rows:
             parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
             for row in rows:
-                parts[row] = np.append(self._ids([raw[offsets[row] : offsets[row + 1]].tobytes()])[0], np.uint32(end_id))
+                parts[row] = np.append(np.frombuffer(self._ids([raw[offsets[row] : offsets[row + 1]].tobytes()])[0], np.uint32), np.uint32(end_id))
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, bounds.astype(np.int64)
