@@ -62,6 +62,18 @@ def get_json(uri: str) -> object:
         return json.loads(src.read())
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """Names for columns of an operator's own, none of which ``columns`` has (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

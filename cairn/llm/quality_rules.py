@@ -1,18 +1,25 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
 A document fails the base rules (too few words, or most of them in repeated three-word
-windows), or a rule whose cutoff was selected for its stratum: the strictest cutoff of a
-grid whose rate of rejecting documents labelled good is at most ``risk`` by an exact
-binomial test on the labelled holdout. The error probability ``delta`` is divided by the
-number of tests (strata x rules x cutoffs), so that with probability 1 - delta no
-selected cutoff rejects more. Without labels enough to prove that, there is no cutoff.
+windows), or the rules at the level chosen for its stratum. A level fixes the cutoffs of
+all rules at once, laxer ones first; a document has the level that is the first to reject
+it by any rule. On the labelled holdout, levels are tested in order, from the laxest on,
+by the exact binomial bound: level t stands if at most ``risk`` of the documents labelled
+good are rejected by its rules together, at an error probability of ``delta`` over the
+number of strata. Testing in a fixed order needs no correction for the number of levels,
+and the bound holds for the union of rules, so that with probability 1 - delta no
+stratum's chosen level rejects more than ``risk`` of its good documents.
+
+Strata are languages. Those with fewer good labels than a level needs even without a
+rejection are merged, fewest first, until they have them; the number of merged strata
+divides delta. Where all labels together are too few there is no level, and only the base rules count.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,10 +30,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STRATA = ("en", "de", "fr", "es")
-#: Rules reject values above a cutoff; all are whole numbers, the larger the worse.
-RULES = ("symbols", "repeats", "lines", "capitals", "long_words", "short_words")
-GRID = tuple(range(0, 1000, 20))
-_Q = "_quality"
+#: Rules reject values above a cutoff; all values are whole numbers, the larger the worse. Of each, the cutoffs of the first and of the last level.
+PATH = {"symbols": (200, 10), "repeats": (500, 100), "lines": (500, 150), "capitals": (300, 40), "long_words": (200, 120), "short_words": (160, 115)}
+RULES = tuple(PATH)
+LEVELS = 21
 
 
 def _dropped(text: Column, chars: str) -> Column:
@@ -94,49 +101,79 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(0.0)).otherwise(F.aggregate(terms, start, step)["sum"])
 
 
-def select_cutoffs(good: DataFrame, risk: float, delta: float, grid: tuple[int, ...] = GRID, strata: int = len(STRATA) + 1) -> DataFrame:
-    """(stratum, rule, cutoff): of each stratum and rule with one, the strictest cutoff that passes its test.
+def cutoff(rule: str, level: int) -> int:
+    lax, strict = PATH[rule]
+    return lax - (lax - strict) * level // (LEVELS - 1)
 
-    ``good`` has (stratum, values) of the holdout's documents labelled good.
+
+def level_of(values: Column) -> Column:
+    """The first level whose cutoffs reject the values of RULES; LEVELS if none does."""
+    def first(rule: str, value: Column) -> Column:
+        return LEVELS - F.size(F.filter(F.array(*(F.lit(cutoff(rule, t)) for t in range(LEVELS))), lambda c: c < value))
+
+    return F.least(*(first(r, F.get(values, i)) for i, r in enumerate(RULES)))
+
+
+def labels_needed(risk: float, delta: float, strata: int = len(STRATA) + 1) -> int:
+    """Good labels without any rejection that prove the risk in each of ``strata`` strata."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-risk))
+
+
+def select_levels(good: DataFrame, risk: float, delta: float, strata: int = len(STRATA) + 1) -> DataFrame:
+    """(stratum, merged, level): for each stratum that has a good label, its merged stratum and the strictest level that passes (null: none does).
+
+    ``good`` has (stratum, level) of the holdout's documents labelled good. Strata, and so all
+    rows after the first sum, are few: their number is that of languages told apart.
     """
-    tests = strata * len(RULES) * len(grid)
-    long = good.select("stratum", F.posexplode("values").alias("rule", "value"))
-    # the cutoffs grid[0:above] reject this value
-    above = F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: c < F.col("value")))
-    counts = long.groupBy("stratum", "rule", above.alias("above")).agg(F.count("*").alias("n"))
-    # at most strata * rules * (grid + 1) rows from here on
-    whole = Window.partitionBy("stratum", "rule")
-    cutoffs = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("above", "n"))).alias("by"))
-    tried = cutoffs.select("stratum", "rule", "n", "by", F.posexplode(F.array(*map(F.lit, grid))).alias("at", "cutoff"))
-    rejected = F.aggregate(F.map_entries("by"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("at"), e["value"]).otherwise(0))
-    tested = tried.withColumn("rejected", rejected).withColumn("log_p", log_binomial_tail(F.col("n"), F.col("rejected"), risk))
-    passed = tested.filter(F.col("log_p") <= math.log(delta / tests))
-    return passed.withColumn("least", F.min("cutoff").over(whole)).filter(F.col("cutoff") == F.col("least")).select("stratum", "rule", "cutoff")
-
-
-def judge(docs: DataFrame, labels: DataFrame, columns: list[str], risk: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """``columns`` of docs, with a struct column of the counts, ``base_failed`` and ``kept``, named _quality.
-
-    Counts of all documents are computed once and written. Null languages are of stratum
-    "other"; a doc_id labelled twice counts as its smaller label; null labels don't count.
-    An empty table gives no rows.
+    counts = good.groupBy("stratum", "level").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("n"))
+    needed = labels_needed(risk, delta, strata)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<stratum:string,merged:int>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        total, out = acc["sum"] + x["n"], F.concat(acc["out"], F.array(F.struct(x["stratum"].alias("stratum"), acc["at"].alias("merged"))))
+        return F.when(total >= needed, F.struct((acc["at"] + 1).alias("at"), F.lit(0).cast("long").alias("sum"), out.alias("out"))).otherwise(F.struct(acc["at"].alias("at"), total.alias("sum"), out.alias("out")))
+
+    dealt = sizes.agg(F.sort_array(F.collect_list(F.struct("n", "stratum"))).alias("s")).select(F.aggregate("s", start, add).alias("g"))
+    # what is left over at the end joins the last stratum that has labels enough
+    last = F.greatest(F.col("g")["at"] - 1, F.lit(0))
+    merged = dealt.select(F.explode("g.out").alias("m"), last.alias("last")).select("m.stratum", F.least("m.merged", "last").alias("merged"), (F.col("last") + 1).alias("strata"))
+    by_level = counts.join(F.broadcast(merged), "stratum").groupBy("merged", "strata").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", "n")).alias("by"))
+    tried = by_level.select("merged", "strata", "n", "by", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"))
+    rejected = F.aggregate("by", F.lit(0).cast("long"), lambda a, e: a + F.when(e["level"] <= F.col("level"), e["n"]).otherwise(0))
+    tested = tried.withColumn("log_p", log_binomial_tail(F.col("n"), rejected, risk))
+    # more rejections never pass where fewer failed: the last level that passes ends the run of passing ones
+    passed = tested.filter(F.col("log_p") <= F.log(F.lit(delta) / F.col("strata"))).groupBy("merged").agg(F.max("level").alias("level"))
+    return merged.select("stratum", "merged").join(F.broadcast(passed), "merged", "left").select("stratum", "merged", "level")
+
+
+def judge(docs: DataFrame, labels: DataFrame, columns: list[str], risk: float = 0.01, delta: float = 0.05, name: str = "quality_rules") -> DataFrame:
+    """``columns`` of docs, with a struct column ``name`` of the counts, ``base_failed`` and ``kept``; columns of any other names stay.
+
+    Counts of all documents are computed once and written. Null and unlisted languages are of stratum
+    "other"; strata without good labels have no level. A doc_id labelled twice counts as its smaller
+    label; null labels don't count; repeated rows are judged alike, each counting as a label where
+    its doc_id has one. A null or empty text has no words and fails the base rules. An empty table gives no rows.
     """
-    q = F.col(_Q)
-    seen = docs.withColumn(_Q, features(F.col("text"))).withColumn("_stratum", stratum(F.col("lang")))
-    seen = common.written(seen.select(*columns, F.col("doc_id").alias("_key"), "_stratum", _Q), "quality").withColumn("_values", rule_values(q))
-    good = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_key")).agg(F.min("quality").alias("quality")).filter("quality = 1")
-    # what fails the base rules is rejected anyway: cutoffs are selected on the rest
-    holdout = seen.filter(~base_failed(q)).select("_key", F.col("_stratum").alias("stratum"), F.col("_values").alias("values")).join(good.select("_key"), "_key", "left_semi")
-    chosen = select_cutoffs(holdout, risk, delta).groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    judged = seen.join(F.broadcast(chosen), "_stratum", "left")  # a row per stratum at most
-    over = F.exists(F.transform("_values", lambda v, i: F.coalesce(v > F.element_at("_cutoffs", i), F.lit(False))), lambda x: x)
-    verdict = ~base_failed(q) & ~F.coalesce(over, F.lit(False))
-    return judged.select(*columns, q.withField("base_failed", base_failed(q)).withField("kept", verdict).alias(_Q))
+    if name in columns:
+        raise ValueError(f"a column is named {name} already")
+    key, group, level, until = common.unused([*docs.columns, name], "key", "stratum", "level", "until")
+    q = F.col(name)
+    seen = docs.select(*columns, F.col("doc_id").alias(key), stratum(F.col("lang")).alias(group), features(F.col("text")).alias(name))
+    seen = common.written(seen, "quality").withColumn(level, level_of(rule_values(q)))
+    good = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("quality").alias("quality")).filter("quality = 1")
+    # what fails the base rules is rejected anyway: levels are selected on the rest
+    holdout = seen.filter(~base_failed(q)).select(key, F.col(group).alias("stratum"), F.col(level).alias("level")).join(good.select(key), key, "left_semi")
+    chosen = select_levels(holdout, risk, delta).select(F.col("stratum").alias(group), F.col("level").alias(until))
+    judged = seen.join(F.broadcast(chosen), group, "left")  # a row per stratum at most
+    verdict = ~base_failed(q) & ~F.coalesce(F.col(level) <= F.col(until), F.lit(False))
+    return judged.select(*columns, q.withField("base_failed", base_failed(q)).withField("level", F.col(level)).withField("kept", verdict).alias(name))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs, labels, docs.columns, **options).filter(F.col(_Q)["kept"]).select(*docs.columns)
+    (name,) = common.unused(docs.columns, "quality")
+    return judge(docs, labels, docs.columns, name=name, **options).filter(F.col(name)["kept"]).select(*docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,4 +181,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     out = judge(docs, labels, ["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(_Q)[n].alias(n) for n in names))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col("quality_rules")[n].alias(n) for n in names))

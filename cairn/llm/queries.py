@@ -44,11 +44,20 @@ ORACLE_SQL: dict[str, str] = {
                      [CASE WHEN word_chars > 0 THEN least(1000, floor(1000 * n_symbols / word_chars)) ELSE 0 END, CASE WHEN n_words > 0 THEN least(1000, floor(1000 * n_repeat_words / n_words)) ELSE 0 END,
                       CASE WHEN n_lines > 0 THEN least(1000, floor(1000 * n_dup_lines / n_lines)) ELSE 0 END, CASE WHEN word_chars > 0 THEN least(1000, floor(1000 * n_capitals / word_chars)) ELSE 0 END,
                       CASE WHEN n_words > 0 THEN least(1000, floor(20 * word_chars / n_words)) ELSE 100 END, CASE WHEN n_words > 0 THEN greatest(0, 200 - floor(20 * word_chars / n_words)) ELSE 100 END] AS vals FROM q),
+        l AS (SELECT *, list_min(list_transform(range(1, 7), lambda r: 21 - len(list_filter(range(0, 21), lambda t: vals[r] > [200, 500, 500, 300, 200, 160][r] - ([190, 400, 350, 260, 80, 45][r] * t) // 20)))) AS lev FROM v),
         good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-        h AS (SELECT s, r, vals[r] AS val FROM v JOIN good USING (doc_id), (SELECT unnest(range(1, 7)) AS r) WHERE NOT base_failed),
-        tried AS (SELECT s, r, c, count(*) AS n, count(*) FILTER (val > c) AS k FROM h, (SELECT unnest(range(0, 1000, 20)) AS c) GROUP BY ALL),
-        chosen AS (SELECT s, r, min(c) AS c FROM tried
-                   WHERE k < n * 0.005 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) <= 0.05 / (5 * 6 * 50) GROUP BY ALL)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND NOT EXISTS (SELECT 1 FROM chosen WHERE chosen.s = v.s AND v.vals[chosen.r] > chosen.c) AS kept FROM v""",
+        h AS (SELECT s, lev FROM l JOIN good USING (doc_id) WHERE NOT base_failed),
+        need AS (SELECT CAST(ceil(ln(0.05 / 5) / ln(1 - 0.01)) AS BIGINT) AS need),
+        sizes AS (SELECT s, row_number() OVER (ORDER BY n, s) AS k, n FROM (SELECT s, count(*) AS n FROM h GROUP BY s)),
+        walk AS (WITH RECURSIVE r AS (
+                   SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS s, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS pos, CAST(0 AS HUGEINT) AS total
+                   UNION ALL
+                   SELECT z.k, z.s, r.pos, CASE WHEN r.total + z.n >= need THEN r.pos + 1 ELSE r.pos END, CASE WHEN r.total + z.n >= need THEN 0 ELSE r.total + z.n END FROM r JOIN sizes z ON z.k = r.k + 1, need)
+                 SELECT * FROM r WHERE k > 0),
+        merged AS (SELECT s, least(m, greatest((SELECT max(pos) FROM walk) - 1, 0)) AS m, greatest((SELECT max(pos) FROM walk), 1) AS strata FROM walk),
+        tried AS (SELECT m, strata, t, count(*) AS n, count(*) FILTER (lev <= t) AS k FROM h JOIN merged USING (s), (SELECT unnest(range(0, 21)) AS t) GROUP BY ALL),
+        chosen AS (SELECT m, max(t) AS t FROM tried
+                   WHERE k < n * 0.01 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) <= 0.05 / strata GROUP BY m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(lev <= chosen.t, false) AS kept
+        FROM l LEFT JOIN merged USING (s) LEFT JOIN chosen USING (m)""",
 }

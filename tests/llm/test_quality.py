@@ -48,8 +48,20 @@ def test_rules_on_documents(spark, sf, texts):
         assert tuple(r[n] for n in NAMES) == c
         assert r["base_failed"] == (c[0] < 50 or 100 * c[4] > 50 * c[0])
         assert not (r["base_failed"] and r["kept"])
-    good = [r for r in got if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
-    assert sum(r["kept"] for r in good) >= 0.98 * len(good)
+
+
+def test_levels_reject_and_keep_their_bound(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = quality_rules.op9_quality_rules(spark, sf).collect()
+    passed = [r for r in got if not r["base_failed"]]
+    bad = [r for r in passed if labels.get(r["doc_id"]) == 0]
+    assert sum(not r["kept"] for r in bad) >= 0.4 * len(bad) > 0
+    assert any(not r["kept"] for r in passed if r["doc_id"] not in labels)
+    for s in {None, *lang.values()}:
+        good = [r for r in passed if labels.get(r["doc_id"]) == 1 and s in (None, lang[r["doc_id"]])]
+        assert sum(not r["kept"] for r in good) <= 0.01 * len(good)
 
 
 def test_binomial_tail(spark):
@@ -66,23 +78,47 @@ def test_binomial_tail(spark):
                 assert math.isclose(r["log_p"], math.log(exact), rel_tol=1e-6, abs_tol=1e-9)
 
 
-def test_cutoffs_are_the_strictest_that_pass(spark):
+def levels_by_hand(good, risk, delta):
+    """stratum -> level, from lists of levels by stratum."""
+    needed = math.ceil(math.log(delta / 5) / math.log(1 - risk))
+    groups, held = [], []
+    for s in sorted(good, key=lambda s: (len(good[s]), s)):
+        held.append(s)
+        if sum(len(good[x]) for x in held) >= needed:
+            groups.append(held)
+            held = []
+    groups = [*groups[:-1], groups[-1] + held] if groups else [held]
+    out = {}
+    for g in groups:
+        all_levels, best = [x for s in g for x in good[s]], None
+        n = len(all_levels)
+        for t in range(quality_rules.LEVELS):
+            k = sum(x <= t for x in all_levels)
+            log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(risk) + (n - i) * math.log1p(-risk)
+            if k >= n * risk or sum(math.exp(log(i)) for i in range(k + 1)) > delta / len(groups):
+                break
+            best = t
+        out |= dict.fromkeys(g, best)
+    return out
+
+
+def test_levels_by_fixed_sequence(spark):
     rng = np.random.default_rng(1)
-    values = [[int(x) for x in v] for v in np.minimum(1000, rng.exponential((40, 10, 200, 5, 90, 1), (4000, 6)))]
-    rows = spark.createDataFrame([("en" if i % 2 else "de", v) for i, v in enumerate(values)], "stratum string, values array<bigint>")
-    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality_rules.select_cutoffs(rows, 0.02, 0.05).collect()}
-    tests = 5 * 6 * len(quality_rules.GRID)
-
-    def passes(v, cutoff):
-        n, k = len(v), sum(x > cutoff for x in v)
-        log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.02) + (n - i) * math.log1p(-0.02)
-        return k < n * 0.02 and sum(math.exp(log(i)) for i in range(k + 1)) <= 0.05 / tests
-
-    for s, odd in (("en", 1), ("de", 0)):
-        for rule in range(6):
-            v = [x[rule] for i, x in enumerate(values) if i % 2 == odd]
-            good = [c for c in quality_rules.GRID if passes(v, c)]
-            assert got.get((s, rule)) == (min(good) if good else None)
+    for sizes in ({"en": 3000, "de": 700, "fr": 500, "es": 90, "other": 3}, {"en": 200, "de": 150}, {"en": 10}, {"en": 900, "de": 100, "es": 100}):
+        good = {s: np.minimum(21, 21 - rng.exponential(1.2, n).astype(int)).clip(0).tolist() for s, n in sizes.items()}
+        rows = spark.createDataFrame([(s, x) for s, v in good.items() for x in v], "stratum string, level int")
+        got = {r["stratum"]: r["level"] for r in quality_rules.select_levels(rows, 0.01, 0.05).collect()}
+        assert got == levels_by_hand(good, 0.01, 0.05)
+    assert quality_rules.select_levels(spark.createDataFrame([], "stratum string, level int"), 0.01, 0.05).count() == 0
+
+
+def test_level_of_values(spark):
+    rng = np.random.default_rng(2)
+    values = [[int(x) for x in v] for v in rng.exponential((60, 120, 150, 50, 90, 90), (500, 6))] + [[0] * 6, [1000] * 6]
+    got = spark.createDataFrame(list(enumerate(values)), "i int, v array<bigint>").select("i", quality_rules.level_of(F.col("v")).alias("t")).collect()
+    for r in got:
+        first = [t for t in range(quality_rules.LEVELS) if any(x > quality_rules.cutoff(k, t) for k, x in zip(quality_rules.RULES, values[r["i"]]))]
+        assert r["t"] == (min(first) if first else quality_rules.LEVELS)
 
 
 def test_rules_on_edges(spark, edge, empty, sf):
@@ -93,6 +129,9 @@ def test_rules_on_edges(spark, edge, empty, sf):
     odd = spark.createDataFrame([(5, None), (5, 1), (5, 0), (None, 1)], "doc_id long, quality int")
     assert quality_rules.judge(edge, odd, ["doc_id"]).count() == edge.count()
     assert quality_rules.keep(empty, none).count() == 0
+    clash = edge.withColumns({c: F.lit(7) for c in ("_quality", "_key", "_stratum", "_level", "_until", "level", "_values")})
+    kept = quality_rules.keep(clash, none)
+    assert kept.columns == clash.columns and {r["_quality"] for r in kept.collect()} == {7}
 
 
 def test_classifier_on_the_held_out_fold(spark):
