@@ -4,13 +4,16 @@
    sketch: ``hashes`` tokens, of which two classes share the more, the more alike they are.
 2. From the root, each node of a random tree chooses some token positions; a class goes
    on to a child for each chosen position, named by the token it has there. Paths that only
-   one class took end. Buckets of at most ``limit`` classes are compared by brute force,
-   larger ones go on down to ``depth``, and those still large then are compared block
+   one class took end. Buckets of at most ``limit`` classes are compared by brute force.
+   In a larger one, classes near a centre (the majority's tokens of a cluster in a sample of
+   the bucket) are linked with it and leave, and so are, but stay, those from which one of
+   these could still be in reach: the number of differing tokens is a metric, so no pair is
+   lost. What stays goes on down to ``depth``; what is still large then is compared block
    against block. Runs repeat until pairs at the threshold are found with the target
    probability. Later runs leave out buckets whose classes are already connected.
 3. Pairs whose sketches may agree connect candidate groups. Within these all pairs are
-   compared exactly, in blocks of bounded size, which gives each class's number of links
-   and the final groups.
+   compared exactly, once, in blocks of bounded numbers of classes and n-grams, which gives
+   each class's number of links and the final groups.
 """
 
 from __future__ import annotations
@@ -42,7 +45,11 @@ class Params:
     depth: int = 2
     limit: int = 1000
     block: int = 1500  # classes a block of a large bucket
+    sample: int = 128  # classes of a large bucket that its centres are made from
+    centres: int = 4  # centres of a large bucket
+    inner: int = 18  # differing tokens up to which a class leaves with a centre
     exact_block: int = 300_000  # n-grams a block of a candidate group
+    exact_classes: int = 3000  # classes a block of a candidate group
     first_runs: int = 4
     seed: int = 1
 
@@ -173,6 +180,7 @@ def _children(paths: np.ndarray, tokens: np.ndarray, params: Params, least: int
 
 
 LEVEL = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+REACHED = pa.schema([*LEVEL, ("centre", pa.int64())])
 
 
 def _first_level(classes: DataFrame, runs: range, params: Params) -> DataFrame:
@@ -216,9 +224,11 @@ def _shared(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     return common.written(kept.join(mixed, "key", "left_semi"), "buckets")
 
 
-def _stars(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest row connected with each of ``count`` rows by the pairs."""
-    label = np.arange(count)
+def _stars(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest row connected with each row, by the pairs or by its ``label`` so far."""
+    own = np.flatnonzero(label != np.arange(len(label)))
+    left, right = np.concatenate([left, own]), np.concatenate([right, label[own]])
+    label = np.arange(len(label))
     while len(left):
         low = np.minimum(label[left], label[right])
         np.minimum.at(label, left, low)
@@ -243,8 +253,18 @@ def _compared(tokens: np.ndarray, sizes: np.ndarray, agree: int) -> tuple[np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
 
 
+def _crossed(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of ``left`` and one of ``right`` whose sketches agree in enough places."""
+    pairs = [np.nonzero((tokens[left[at : at + 64], None] == tokens[right][None]).sum(axis=2) >= agree) for at in range(0, len(left), 64)] if len(right) else []
+    found = [(left[a + 64 * i], right[b]) for i, (a, b) in enumerate(pairs)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
+
+
 def _bucket_edges(rows: DataFrame, params: Params) -> DataFrame:
-    """Edges that connect the classes of each bucket that may be alike, of rows (key, i, j, id, sketch) sorted by bucket."""
+    """Edges that connect the classes of each bucket that may be alike, of rows (key, i, j, own, id, sketch) sorted by bucket.
+
+    Where i and j differ, the classes of block i are compared with those of block j; else all of the bucket.
+    """
 
     def run(batches):
         held: list[pa.Table] = []
@@ -253,9 +273,15 @@ def _bucket_edges(rows: DataFrame, params: Params) -> DataFrame:
             key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
             starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
             sizes = np.diff(np.append(starts, t.num_rows))
-            ids = t.column("id").to_numpy()
-            left, right = _compared(_tokens(t.column("sketch"), params.hashes), sizes, params.agree)
-            label = _stars(len(ids), left, right)
+            ids, tokens, label = t.column("id").to_numpy(), _tokens(t.column("sketch"), params.hashes), np.arange(t.num_rows)
+            whole = key[1, starts] == key[2, starts]
+            rows = np.flatnonzero(np.repeat(whole, sizes))
+            left, right = _compared(tokens[rows], sizes[whole], params.agree)
+            label = _stars(label, rows[left], rows[right])
+            own = t.column("own").to_numpy()
+            for at in np.flatnonzero(~whole):
+                rows = np.arange(starts[at], starts[at] + sizes[at])
+                label = _stars(label, *_crossed(tokens, rows[own[rows] == key[1, starts[at]]], rows[own[rows] == key[2, starts[at]]], params.agree))
             far = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], schema=EDGE)
 
@@ -274,18 +300,87 @@ def _bucket_edges(rows: DataFrame, params: Params) -> DataFrame:
         if held and held[0].num_rows:
             yield edges(held[0])
 
-    return rows.select("key", "i", "j", "id", "sketch").mapInArrow(run, "a long, b long")
+    return rows.select("key", "i", "j", "own", "id", "sketch").mapInArrow(run, "a long, b long")
+
+
+def centres_of(tokens: np.ndarray, params: Params) -> np.ndarray:
+    """Sketches of the majority's tokens of the largest clusters of some rows."""
+    out, rest = [], tokens
+    while len(rest) > 1 and len(out) < params.centres:
+        apart = (rest[:, None] != rest[None]).sum(axis=2)
+        most = int((apart <= params.hashes // 2).sum(axis=1).argmax())
+        near = rest[apart[most] <= params.hashes // 2]
+        if len(near) < 2:
+            break
+        middle = np.empty(params.hashes, np.uint32)
+        for i in range(params.hashes):
+            values, counts = np.unique(near[:, i], return_counts=True)
+            middle[i] = values[counts.argmax()]
+        out.append(middle)
+        rest = rest[(rest != middle).sum(axis=1) > params.hashes // 2] if (apart[most] > params.hashes // 2).any() else rest[:0]
+    return np.array(out, np.uint32).reshape(-1, params.hashes)
+
+
+def _reached(large: DataFrame, sketches: DataFrame, params: Params) -> DataFrame:
+    """(key, id, centre) of the rows of large buckets: a row for each centre that the class is linked with, and one of a null centre if it stays.
+
+    A class leaves with the first centre that differs from it in ``inner`` tokens at most. Any class that may be
+    like it differs from this centre in no more than ``inner`` and the tokens that a candidate pair may differ in, and is linked with it.
+    Rows of a hot bucket are spread over tasks, and its centres repeated for each part.
+    """
+    outer = params.inner + params.hashes - params.agree
+    few = large.filter(F.pmod(F.xxhash64("id", "key"), F.col("n")) < params.sample).join(sketches, "id").select("key", "n", "id", "sketch")
+    found = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("centres", pa.binary())])
+
+    def centres(t: pa.Table) -> pa.Table:
+        made = centres_of(_tokens(t.sort_by("id").column("sketch"), params.hashes), params)
+        return pa.table([t.column("key").slice(0, 1), t.column("n").slice(0, 1), pa.array([made.tobytes()], pa.binary())], schema=found)
+
+    parts = F.ceil(F.col("n") / params.limit).cast("int")
+    at = few.groupBy("key").applyInArrow(centres, "key long, n long, centres binary")
+    at = at.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "centres")
+    rows = large.select("key", "id", F.pmod(F.xxhash64("id", F.lit(3)), parts).cast("int").alias("part")).join(sketches, "id").join(at, ["key", "part"], "left")
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                b = whole.slice(start, 4096)
+                key, ids, tokens = b.column("key").to_numpy(), b.column("id").to_numpy(), _tokens(b.column("sketch"), params.hashes)
+                made = [np.frombuffer(c or b"", np.uint32).reshape(-1, params.hashes) for c in b.column("centres").to_pylist()]
+                stays, out = np.ones(len(ids), bool), []
+                for k in range(params.centres):
+                    rows = np.flatnonzero(stays & np.array([len(m) > k for m in made]))
+                    if not len(rows):
+                        break
+                    apart = (tokens[rows] != np.stack([made[r][k] for r in rows])).sum(axis=1)
+                    near = rows[apart <= outer]
+                    out.append((near, _mix(key[near].view(np.uint64) + np.uint64(k + 1) * MIX).view(np.int64)))
+                    stays[rows[apart <= params.inner]] = False
+                for rows, centre in out:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(ids[rows]), pa.array(centre)], schema=REACHED)
+                rows = np.flatnonzero(stays)
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(ids[rows]), pa.nulls(len(rows), pa.int64())], schema=REACHED)
+
+    return rows.select("key", "id", "sketch", "centres").mapInArrow(run, "key long, id long, centre long")
 
 
 def _run(classes: DataFrame, runs: range, params: Params, groups: DataFrame | None = None) -> DataFrame:
-    """Edges that the runs find among classes (id, sketch), but for those within groups."""
-    level, leaves = _shared(_first_level(classes, runs, params), groups), []
+    """Edges that the runs find among classes (id, sketch), but for those within groups. Centres of large buckets are nodes of edges too."""
+    level, leaves, linked = _shared(_first_level(classes, runs, params), groups), [], []
     # from here on only the classes that met another count
     sketches = common.written(classes.select("id", "sketch").join(level.select("id").distinct(), "id", "left_semi"), "sketches")
+
+    def leaf(rows: DataFrame) -> DataFrame:
+        leaves.append(rows.filter(F.col("n") <= params.limit).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "id"))
+        return rows.filter(F.col("n") > params.limit)
+
     for depth in range(1, params.depth + 1):
-        small = level.filter(F.col("n") <= params.limit)
-        leaves.append(small.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id"))
-        large = level.filter(F.col("n") > params.limit)
+        large = leaf(level)
+        if large.isEmpty():
+            break
+        reached = common.written(_reached(large, sketches, params), "reached")
+        linked.append(reached.filter("centre is not null").select(F.col("id").alias("a"), F.col("centre").alias("b")))
+        large = leaf(_shared(reached.filter("centre is null").select("key", "id"), groups))
         if large.isEmpty():
             break
         if depth < params.depth:
@@ -294,12 +389,15 @@ def _run(classes: DataFrame, runs: range, params: Params, groups: DataFrame | No
             blocks = F.ceil(F.col("n") / params.block).cast("int")
             own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
             dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            leaves.append(dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id"))
+            leaves.append(dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id"))
     buckets = leaves[0]
     for x in leaves[1:]:
         buckets = buckets.unionByName(x)
     ordered = buckets.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return _bucket_edges(ordered, params).distinct()
+    edges = _bucket_edges(ordered, params)
+    for x in linked:
+        edges = edges.unionByName(x)
+    return edges.distinct()
 
 
 def candidate_groups(classes: DataFrame, params: Params) -> DataFrame:
@@ -330,24 +428,27 @@ def _linked(sets: list[np.ndarray], own: np.ndarray, i: int, j: int, threshold:
     order = np.argsort(code, kind="stable")
     code, row = code[order], row[order]
     rows_i, rows_j = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    common_grams = np.zeros((len(rows_i), len(rows_j)), np.int64)
+    common_grams = np.zeros((len(rows_i), len(rows_j)), np.int32)
     for at in range(0, int(often.sum()), 2048):
         lo, hi = np.searchsorted(code, (at, at + 2048))
         dense = np.zeros((len(sets), min(2048, int(often.sum()) - at)), np.float32)
         dense[row[lo:hi], code[lo:hi] - at] = 1
-        common_grams += (dense[rows_i] @ dense[rows_j].T).astype(np.int32)  # 2048 at most: exact
+        for top in range(0, len(rows_i), 512):
+            common_grams[top : top + 512] += (dense[rows_i[top : top + 512]] @ dense[rows_j].T).astype(np.int32)  # 2048 at most: exact
     # whole numbers, so that pairs at the threshold itself are links: common / union >= n / d
     n, d = Fraction(str(threshold)).limit_denominator(10**6).as_integer_ratio()
-    common_grams *= n + d
-    links = common_grams >= n * (sizes[rows_i][:, None] + sizes[rows_j][None, :])
-    if i == j:
-        np.fill_diagonal(links, False)
-    count = np.zeros(len(sets), np.int64)
-    count[rows_i] += links.sum(axis=1)
-    if i != j:
-        count[rows_j] += links.sum(axis=0)
-    left, right = np.nonzero(links)
-    return count, _stars(len(sets), rows_i[left], rows_j[right])
+    count, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for top in range(0, len(rows_i), 512):
+        part = rows_i[top : top + 512]
+        links = common_grams[top : top + 512].astype(np.int64) * (n + d) >= n * (sizes[part][:, None] + sizes[rows_j][None, :])
+        if i == j:
+            links[np.arange(len(part)), np.arange(top, top + len(part))] = False
+        count[part] += links.sum(axis=1)
+        if i != j:
+            count[rows_j] += links.sum(axis=0)
+        left, right = np.nonzero(links)
+        label = _stars(label, part[left], rows_j[right])
+    return count, label
 
 
 def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, params: Params) -> DataFrame:
@@ -364,7 +465,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, params:
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t.as_buffer() if t.is_valid else b"").tobytes() for t in b.column("text")], pa.binary())], schema=out)
 
     members = common.written(classes.join(groups, "id"), "members")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("grams") / params.exact_block).cast("int").alias("blocks"))
+    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("grams") / params.exact_block), F.ceil(F.count("*") / params.exact_classes)).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     # members grow with the documents: a merge join at every size
     wanted = members.select(F.col("id"), F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).hint("merge")

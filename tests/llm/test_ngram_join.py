@@ -78,7 +78,7 @@ def test_equals_brute_force_on_planted_copies(spark):
 
 def test_small_limits_block_against_block(spark):
     texts = planted(4)
-    params = ngram_join.Params(limit=6, block=20, exact_block=2000, depth=2, first_runs=3)
+    params = ngram_join.Params(limit=6, block=20, exact_block=2000, exact_classes=25, sample=8, depth=2, first_runs=3)
     assert result(spark, texts, params) == brute(texts)
 
 
