@@ -395,8 +395,14 @@ def _run(classes: DataFrame, runs: range, params: Params, groups: DataFrame | No
         buckets = buckets.unionByName(x)
     ordered = buckets.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     edges = _bucket_edges(ordered, params)
-    for x in linked:
-        edges = edges.unionByName(x)
+    if linked:
+        both = linked[0]
+        for x in linked[1:]:
+            both = both.unionByName(x)
+        # a class meets a few centres in each run: one edge for the class, the rest between centres, which are few
+        stars = common.written(both.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("all")), "stars")
+        between = stars.select(F.col("all")[0].alias("b"), F.explode("all").alias("a")).filter("a != b").select("a", "b")
+        edges = edges.unionByName(stars.select("a", F.col("all")[0].alias("b"))).unionByName(between)
     return edges.distinct()
 
 

@@ -82,6 +82,71 @@ def test_small_limits_block_against_block(spark):
     assert result(spark, texts, params) == brute(texts)
 
 
+def near_pages(groups, words=120, seed=3):
+    """Groups of near copies with up to three words changed, and pages that share a passage."""
+    rng = random.Random(seed)
+    texts, passage = [], [f"p{i}" for i in range(20)]
+    for size in groups:
+        base = [f"g{size}w{rng.randrange(5000)}" for _ in range(words)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += [" ".join([f"q{rng.randrange(10**6)}" for _ in range(15)] + passage) for _ in range(150)]
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def test_large_buckets_by_centres(spark):
+    texts = near_pages((300, 120))
+    params = ngram_join.Params(limit=40, block=60, exact_classes=90, sample=32)
+    want = brute(texts)
+    assert max(v[2] for v in want.values()) > 50
+    assert result(spark, texts, params) == want
+
+
+def test_centres_lose_no_pair():
+    rng = np.random.default_rng(4)
+    params = ngram_join.Params()
+    base = rng.integers(0, 1 << 32, 64, dtype=np.uint32)
+    rows = np.tile(base, (200, 1))
+    for r in rows:
+        at = rng.permutation(64)[: rng.integers(0, 40)]
+        r[at] = rng.integers(0, 1 << 32, len(at), dtype=np.uint32)
+    made = ngram_join.centres_of(rows[:60], params)
+    assert len(made) >= 1 and (made[0] != base).sum() <= 8
+    apart = (rows[:, None] != made[None]).sum(axis=2)
+    gone = apart <= params.inner
+    near = apart <= params.inner + params.hashes - params.agree
+    alike = (rows[:, None] == rows[None]).sum(axis=2) >= params.agree
+    for a, b in zip(*np.nonzero(alike)):
+        if gone[a].any():
+            k = int(gone[a].argmax())
+            assert near[b, k]
+    assert len(ngram_join.centres_of(rows[:1], params)) == 0
+
+
+def test_recall_just_over_the_threshold(spark):
+    """Pairs of an index of 0.80 to 0.85: nearly all are found."""
+    rng, texts = random.Random(8), {}
+    for i in range(400):
+        words = [f"r{i}w{j}" for j in range(100 + i % 40)]
+        more = rng.randrange(len(words) // 6, len(words) // 5)
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(words + [f"e{i}w{j}" for j in range(more)])
+    want = brute(texts)
+    assert all(v[2] == 1 for v in want.values())
+    got = result(spark, texts)
+    assert sum(got[k] == want[k] for k in want) >= 0.995 * len(want)
+
+
+def test_recall_on_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    got = {r["doc_id"]: (r["class_id"], r["copy_of"], r["n_links"]) for r in ngram_join.join(rows).collect()}
+    assert got == brute(texts)
+
+
 def test_documents(spark, sf, texts):
     got = {r["doc_id"]: (r["class_id"], r["copy_of"], r["n_links"]) for r in ngram_join.op7_ngram_join(spark, sf).collect()}
     assert got == brute(texts)
