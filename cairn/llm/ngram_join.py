@@ -100,7 +100,8 @@ class Shingler:
     def __init__(self, words: int):
         self.words, self.up, self.down = words, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __call__(self, text: bytes) -> np.ndarray:
+    def words_of(self, text: bytes) -> np.ndarray:
+        """A hash of each word."""
         data = np.frombuffer(text, np.uint8)
         n = len(data)
         if len(self.up) <= n:
@@ -117,7 +118,12 @@ class Shingler:
             return np.empty(0, np.uint64)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
-        word = _mix((sums[end] - sums[begin]) * self.down[begin])
+        return _mix((sums[end] - sums[begin]) * self.down[begin])
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        word = self.words_of(text)
+        if not len(word):
+            return word
         k = min(self.words, len(word))
         grams = np.full(len(word) - k + 1, k, np.uint64)
         for i in range(k):
