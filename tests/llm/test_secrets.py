@@ -42,8 +42,15 @@ def test_base_spans_of_made_texts(spark):
     assert {r["i"]: r["s"] for r in rows.collect()} == {i: base(t) for i, t in enumerate(made)}
 
 
+def test_many_matches_in_one_text(spark):
+    for n in (127, 128, 129, 300, 1000):
+        text = " ü ".join(f"token={i:06d}" if i % 3 else f"key AKIA{'X' * 16}{i % 7}" for i in range(n))
+        rows = spark.createDataFrame([(text,)], "text string").select(secrets.as_string(secrets.base_spans(F.col("text"))))
+        assert rows.first()[0] == base(text)
+
+
 @pytest.fixture(scope="module")
-def ratios(documents):
+def model(documents):
     return secrets.train(secrets.samples(documents))
 
 
@@ -55,23 +62,53 @@ def test_documents(spark, sf, texts):
         assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
 
 
-def test_markov_models_tell_random_from_ordinary(spark, ratios, texts):
+def ratio_by_hand(model, token):
+    return sum(model.ratios[ord(a) * 128 + ord(b)] for a, b in zip("\0" + token, token))
+
+
+def spans_by_hand(model, text):
+    """All spans: the base ones, and of each judged token what they leave."""
+    found = [tuple(map(int, x.split(":")[1:])) + (x.split(":")[0],) for x in filter(None, base(text).split(","))]
+    covered, out = {i for a, b, _ in found for i in range(a, b)}, [(a, secrets.KINDS.index(k), b) for a, b, k in found]
+    for m in re.finditer(secrets.TOKEN, text):
+        at = max(i for i, least in enumerate(secrets.LENGTHS) if len(m[0]) >= least)
+        if ratio_by_hand(model, m[0]) >= model.cutoffs[at] - 1e-9:
+            start = None
+            for i in range(m.start(), m.end() + 1):
+                if i < m.end() and i not in covered:
+                    start = i if start is None else start
+                elif start is not None:
+                    out.append((start, 3, i))
+                    start = None
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_markov_spans_against_brute_force(spark, sf, texts, model, documents):
+    for r in secrets.op5_secrets(spark, sf).collect():
+        assert r["spans"] == spans_by_hand(model, texts[r["doc_id"]])
+    made = ["x " + "Zq7" * 9 + "a1b2c3d4" * 4 + "Kx9Q" * 3 + " y", "Q7zK2p" + "f00dbeef" * 3 + "W8vX3m", "zX9kQ2 plain words only here", "AKIA" + "Q" * 18 + "kx7Zq2Pw9L", ""]
+    rows = secrets.scan(spark.createDataFrame([(t,) for t in made], "text string"), model).select("text", secrets.as_string(F.col("spans")).alias("s"))
+    assert all(r["s"] == spans_by_hand(model, r["text"]) for r in rows.collect())
+
+
+def test_markov_models_tell_random_from_ordinary(spark, model, texts):
     import random
 
     rng = random.Random(3)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    random_ones = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(200)]
-    ordinary = list({w for t in texts.values() for w in re.findall(r"[A-Za-z0-9+/_=-]{20,}", re.sub(r"[0-9a-f]{24,}", "", t))})
-    rows = spark.createDataFrame([(t, 1) for t in random_ones] + [(t, 0) for t in ordinary], "token string, y int")
-    table = F.array(*map(F.lit, ratios))
-    got = rows.withColumn("hit", secrets.ratio_of(F.col("token"), table) >= 15).collect()
-    assert sum(r["hit"] for r in got if r["y"]) >= 195
-    assert sum(r["hit"] for r in got if not r["y"]) <= 0.02 * len(ordinary) + 1
+    hit = lambda t: ratio_by_hand(model, t) >= model.cutoffs[max(i for i, least in enumerate(secrets.LENGTHS) if len(t) >= least)]
+    for n, least in ((10, 0.9), (14, 0.95), (32, 0.97)):
+        assert sum(hit("".join(rng.choice(alphabet) for _ in range(n))) for _ in range(400)) >= 400 * least
+    masked = lambda t: "".join(" " if any(a <= i < b for a, b in s) else c for s in [[tuple(map(int, x.split(":")[1:])) for x in filter(None, base(t).split(","))]] for i, c in enumerate(t)) if base(t) else t
+    ordinary = [w for t in texts.values() for w in re.findall(secrets.TOKEN, masked(t))]
+    assert sum(map(hit, ordinary)) <= 0.0005 * len(ordinary) + 2
 
 
-def test_redaction_and_edges(spark, edge, empty, ratios):
+def test_redaction_and_edges(spark, edge, empty, model):
     rows = spark.createDataFrame([(1, 'x token = "abcdef0123456789abcdef0123456789" ü y', 5), (2, None, 5), (3, "", 5)], "doc_id long, text string, spans int")
-    got = {r["doc_id"]: r for r in secrets.redact(rows, ratios).collect()}
+    got = {r["doc_id"]: r for r in secrets.redact(rows, model).collect()}
     assert got[1]["text"] == 'x [SECRET]" ü y' and got[2]["text"] is None and got[3]["text"] == "" and got[1]["spans"] == 5
-    assert secrets.redact(edge, ratios).columns == edge.columns and secrets.redact(edge, ratios).count() == edge.count()
+    assert secrets.redact(edge, model).columns == edge.columns and secrets.redact(edge, model).count() == edge.count()
+    clash = edge.withColumns({c: F.lit(7) for c in ("_base", "_spans", "base_spans", "_secrets_base")})
+    assert secrets.redact(clash, model).columns == clash.columns and {r["_base"] for r in secrets.redact(clash, model).collect()} == {7}
     assert secrets.scan(empty, secrets.train(secrets.samples(empty))).count() == 0
