@@ -139,14 +139,14 @@ def fold(token: Column) -> Column:
 def train(labelled: DataFrame, margin: float = 1.0, floor: float = 6.0) -> Model:
     """The models, from the samples of one fold, and their cutoffs, from those of the other.
 
-    The cutoff of a class of lengths is ``margin`` over the largest ratio of a held-out ordinary token of that class, or
-    over ``floor`` where that is more. Null tokens and other labels don't count.
+    The cutoff of a class of lengths is ``margin`` over the largest ratio of a held-out ordinary token of that class
+    or a shorter one, or over ``floor`` where that is more. Null tokens and other labels don't count.
     """
     labelled = common.written(labelled.filter("token is not null and label in (0, 1)"), "samples")
     ratios = learn(labelled.filter(fold(F.col("token"))))
     held = labelled.filter(~fold(F.col("token")) & (F.col("label") == 0) & F.col("token").rlike(f"^{TOKEN}$")).select("token").distinct()
     got = {r["at"]: r["most"] for r in held.groupBy(length_class(F.col("token")).alias("at")).agg(F.max(ratio_of(F.col("token"), _table(ratios))).alias("most")).collect()}
-    return Model(tuple(ratios), tuple(max(floor, got.get(i, floor) + margin) for i in range(len(LENGTHS))))
+    return Model(tuple(ratios), tuple(margin + max([floor, *(v for k, v in got.items() if k <= i)]) for i in range(len(LENGTHS))))
 
 
 def length_class(token: Column) -> Column:
