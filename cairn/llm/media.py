@@ -129,30 +129,55 @@ class ArchiveReader(DataSourceReader):
     def read(self, part: Range | None):
         if part is None:  # there are no archives
             return
-        fs, _ = common.filesystem(self.path)
-        handle = fs.open_input_file(part.archive)
-        members = sorted((i for i in zipfile.ZipFile(handle).infolist() if part.start <= i.header_offset < part.end), key=lambda i: i.header_offset)
-        rows, size = [], 0
-        for info in members:
-            data, error = None, None
-            for attempt in range(self.attempts):
-                try:
-                    if handle is None:
-                        handle = fs.open_input_file(part.archive)
-                    data = read_member(handle, info)
-                    break
-                except (OSError, ValueError, pa.ArrowException) as e:
-                    handle, error = None, f"{type(e).__name__}: {e}"
-                    time.sleep(0.05 * 2**attempt)
-            if data is None and not self.permissive:
-                raise OSError(f"{part.archive} at {info.header_offset}: {error}")
-            rows.append((info.filename.rpartition(".")[0] or None, part.archive, info.header_offset, data, None if data is not None else error))
-            size += len(data or b"")
-            if size >= self.batch or len(rows) >= 4096:
+        archive = _Archive(common.filesystem(self.path)[0], part.archive, self.attempts)
+        try:
+            members, error = archive.retried(lambda h: zipfile.ZipFile(h).infolist())
+            if members is None:
+                if not self.permissive:
+                    raise OSError(f"{part.archive}: {error}")
+                if part.start == 0:  # one row tells of an archive that has no readable directory
+                    yield _batch([(None, part.archive, 0, None, error)])
+                return
+            rows, size = [], 0
+            for info in sorted((i for i in members if part.start <= i.header_offset < part.end), key=lambda i: i.header_offset):
+                data, error = archive.retried(lambda h, info=info: read_member(h, info))
+                if data is None and not self.permissive:
+                    raise OSError(f"{part.archive} at {info.header_offset}: {error}")
+                rows.append((info.filename.rpartition(".")[0] or None, part.archive, info.header_offset, data, error))
+                size += len(data or b"")
+                if size >= self.batch or len(rows) >= 4096:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
                 yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
+        finally:
+            archive.close()
+
+
+class _Archive:
+    """One archive's handle, opened anew after an error."""
+
+    def __init__(self, fs, path: str, attempts: int):
+        self.fs, self.path, self.attempts, self.handle = fs, path, attempts, None
+
+    def retried(self, read) -> tuple:
+        """(what ``read`` of the handle gives, None), or (None, the last error) after all attempts."""
+        error = None
+        for attempt in range(self.attempts):
+            try:
+                if self.handle is None:
+                    self.handle = self.fs.open_input_file(self.path)
+                return read(self.handle), None
+            except (OSError, ValueError, zipfile.BadZipFile, pa.ArrowException) as e:
+                error = f"{type(e).__name__}: {e}"
+                self.close()
+                time.sleep(0.05 * 2**attempt)
+        return None, error
+
+    def close(self) -> None:
+        if self.handle is not None:
+            self.handle.close()
+            self.handle = None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

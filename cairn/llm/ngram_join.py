@@ -521,17 +521,21 @@ def join(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The documents without near copies: of each class one row of the smallest doc_id stays; texts without words all stay."""
+    """The documents without near copies: of each class one row of the smallest doc_id stays; texts without words (null, empty, blank) all stay.
+
+    Of repeated rows one stays; a null doc_id comes last. Columns of any names stay. An empty table stays empty.
+    """
+    doc, key, text_key = common.unused(docs.columns, "doc", "key", "text_key")
     found = common.written(join(docs, params).filter("component is not null"), "joined")
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))).alias("least")
-    kept = common.written(found.groupBy("component").agg(least).select(F.col("least.doc_id").alias("_doc"), F.col("least.text_key").alias("_key")).distinct(), "kept")
-    same = lambda d, k: (F.col(k) == F.col("_key")) & F.col(d).eqNullSafe(F.col("_doc"))
+    kept = common.written(found.groupBy("component").agg(least).select(F.col("least.doc_id").alias(doc), F.col("least.text_key").alias(key)).distinct(), "kept")
+    same = lambda d, k: (F.col(k) == F.col(key)) & F.col(d).eqNullSafe(F.col(doc))
     repeated = found.join(kept, same("doc_id", "text_key"), "left_semi").groupBy("doc_id", "text_key").count().filter("count > 1")
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
+    rows = docs.withColumn(text_key, F.xxhash64("text"))
     word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    some = rows.filter(word).join(kept, same("doc_id", "_text_key"), "left_semi")
+    some = rows.filter(word).join(kept, same("doc_id", text_key), "left_semi")
     if not repeated.isEmpty():
-        some = some.dropDuplicates(["doc_id", "_text_key"])
+        some = some.dropDuplicates(["doc_id", text_key])
     return some.unionByName(rows.filter(~word)).select(*docs.columns)
 
 

@@ -85,24 +85,26 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """The pieces with sequence_id and offset; other columns stay.
+    """The pieces with sequence_id and offset; columns of these names are replaced, and all others stay.
 
     Reads ``pieces`` twice: give it a written table. Rows need not be distinct: each is
     placed. Every sequence is gapless from 0. An empty table stays empty.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    (dealt,) = common.unused(pieces.columns, "group")
     whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group))
     # dealt out by row number: no document or length can fill a group
-    rest = rest.withColumn("_group", F.monotonically_increasing_id() % groups)
+    rest = rest.withColumn(dealt, F.monotonically_increasing_id() % groups)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["_group"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.drop_columns([dealt]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         place, offset = sum_of_squares(rows.column("length").to_numpy(), capacity)
         return rows.append_column("sequence_id", pa.array(((key[0].as_py() << 32) + place) * 2 + 1)).append_column("offset", pa.array(offset))
 
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    packed = rest.groupBy("_group").applyInArrow(run, f"{typed}, sequence_id long, offset long")
+    packed = rest.groupBy(dealt).applyInArrow(run, f"{typed}, sequence_id long, offset long")
     return whole.unionByName(packed)
 
 

@@ -29,10 +29,10 @@ CHARS = (3, 4, 5)
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds of the fit: per class at most rows labelled rows, none of over chars characters."""
+    """Bounds of the fit: per class at most rows labelled rows, none of over chars characters, so that the driver gets 2 * rows * chars characters at most."""
 
     rows: int = 2500
-    chars: int = 200_000
+    chars: int = 40_000
     bits: int = 18
     width: int = 16
     epochs: int = 6
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", params: Pa
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text (null: empty)."""
+    """doc_id, held_out, score, predicted of every whole text (null: empty); other columns of docs are not looked at. A null doc_id is not held out; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

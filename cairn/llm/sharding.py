@@ -54,7 +54,7 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: Column, shards: tuple[str, ...] = SHARDS, weights: dict[str, int] | None = None, slots: int = SLOTS, names: tuple[str, str] = ("slot", "shard")) -> DataFrame:
-    """The rows with their slot and shard; equal keys go to one shard. Columns of these names are replaced.
+    """The rows with their slot and shard; equal keys go to one shard, and a null key counts as the empty string. Columns of these names are replaced.
 
     No row is shuffled: the table, ``slots`` rows of two values, is broadcast.
     """

@@ -203,7 +203,7 @@ class _Index:
 
 
 def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
-    """All captures of the distinct values of keys.urlkey, found by binary search. Keys that the index lacks give no row.
+    """All captures of the distinct values of keys.urlkey, found by binary search. Keys that the index lacks give no row, and repeated or null keys no more rows.
 
     The driver and each task see one row per shard, as many as there were partitions.
     """

@@ -156,6 +156,9 @@ def test_one_of_each_and_edges(spark, edge, empty):
     kept = ngram_join.one_of_each(edge)
     assert kept.columns == edge.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
+    clash = edge.selectExpr("*", "1 AS _text_key", "2 AS _doc", "3 AS _key", "4 AS text_key")
+    again = ngram_join.one_of_each(clash)
+    assert again.columns == clash.columns and {tuple(r)[-4:] for r in again.collect()} == {(1, 2, 3, 4)} and again.count() == kept.count()
     assert ngram_join.join(edge).count() == edge.count()
     assert ngram_join.one_of_each(empty).count() == 0
     texts = planted(2)

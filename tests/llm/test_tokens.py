@@ -116,6 +116,9 @@ def test_packing_edges(spark, edge, empty):
     whole = {r["sequence_id"]: r for r in packing.sequences(packed).collect()}
     for r in packed.collect():
         assert whole[r["sequence_id"]]["ids"][r["offset"] : r["offset"] + r["length"]] == r["ids"]
+    clash = found.selectExpr("*", "1 AS _group", "2 AS sequence_id", "3 AS `offset`", "4 AS _key")
+    out = packing.pack(common.written(clash, "p"), group=3)
+    assert out.count() == found.count() and {(r["_group"], r["_key"]) for r in out.collect()} == {(1, 4)} and len(set(out.columns)) == len(out.columns)
     assert packing.pack(common.written(packing.pieces(empty, default_tokenizer()), "p")).count() == 0
 
 
