@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sharding
 from .arrow_sequences import op3_arrow_sequences
 from .media import op1_media
 from .mixing import op6_mixing
@@ -22,8 +23,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for q in (op1_media, op2_quality_model, op3_arrow_sequences, op4_packing, op5_secrets, op6_mixing, op7_ngram_join, op8_warc, op9_quality_rules, op10_sharding)
 }
 
+def _sharding_sql() -> str:
+    """One look-up by MD5 in the table of shards, given as a list."""
+    return f"""
+        WITH t AS (SELECT unnest({sharding.fill(sharding.SHARDS).tolist()}) AS shard, unnest(range(0, {sharding.SLOTS})) AS slot),
+        d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
+        SELECT doc_id, slot, printf('shard-%03d', shard) AS shard FROM d JOIN t USING (slot)"""
+
+
 #: The other queries are tested against brute force, round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
+    "op10_sharding": _sharding_sql(),
     "op8_warc": """
         WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
