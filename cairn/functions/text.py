@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,24 +71,49 @@ def price_of(text: Column) -> Column:
     return F.when(number > 0, number)
 
 
-#: Named entities and their characters; & comes last, so that nothing is decoded twice.
-ENTITIES = (("&nbsp;", "\xa0"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
+#: What numeric entities 128 to 159 mean: the bytes of Windows-1252, or themselves where it has none.
+WINDOWS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
+#: An entity: a number, or a name; without a semicolon only the names that HTML knows so.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+
+def _entity_table() -> dict[str, str]:
+    """What each named entity stands for, by Python's own table of HTML."""
+    return {f"&{name}": char for name, char in html5.items()}
 
 
 def unescape(text: Column) -> Column:
-    """Decodes the named entities of ENTITIES and numeric ones in the Basic Multilingual Plane."""
-    numbers = F.regexp_extract_all(text, F.lit(r"&#(?:\d{1,5}|[xX][0-9a-fA-F]{1,4});"), F.lit(0))
-
-    def put(out: Column, e: Column) -> Column:
-        digits = F.regexp_extract(e, r"&#[xX]?([0-9a-fA-F]+);", 1)
-        code = F.when(e.rlike("[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-        # two bytes of UTF-16 are the character, wherever that is one
-        return F.replace(out, e, F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
-
-    out = F.when(F.size(numbers) > 0, F.aggregate(F.array_distinct(numbers), text, put)).otherwise(text)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Decodes HTML entities, each once: all names of HTML, and numbers of any code point.
+
+    Only a text's own distinct entities are looked up, in one constant map. A number of no character gives
+    the replacement character, and 128 to 159 what they mean in Windows-1252. A name without its semicolon is decoded where HTML
+    knows it so; an unknown name stays, but for the longest known beginning of it without a semicolon.
+    """
+    table = F.from_json(F.lit(json.dumps(_entity_table())), "map<string,string>")
+
+    def named(e: Column) -> Column:
+        # names without a semicolon have two letters at least: the longest beginning that is one
+        sizes = F.sequence(F.length(e) - 1, F.lit(3), F.lit(-1))
+        known = F.filter(F.transform(sizes, lambda n: F.substring(e, F.lit(1), n)), lambda x: table[x].isNotNull())
+        first = F.get(known, F.lit(0))
+        shorter = F.when(F.length(e) > 3, F.when(first.isNotNull(), F.concat(table[first], F.substring(e, F.length(first) + 1, F.length(e)))))
+        return F.coalesce(table[e], shorter, e)
+
+    def numbered(e: Column) -> Column:
+        digits = F.regexp_extract(e, r"&#[xX]?0*([0-9a-fA-F]*)", 1)
+        code = F.when(F.length(digits) > 8, F.lit(1 << 32).cast("long")).otherwise(F.coalesce(F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(0).cast("long")))
+        windows = F.element_at(F.array(*(F.lit(WINDOWS[i]) for i in range(32))), (code - 127).cast("int"))
+        big = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        dropped = ((code < 32) & ~code.isin(9, 10, 12, 13) & (code > 0)) | (code == 127) | ((code >= 0xFDD0) & (code <= 0xFDEF)) | (code % 65536 >= 65534) | (code == 11)
+        return (
+            F.when((code == 0) | (code > 0x10FFFF) | ((code >= 0xD800) & (code < 0xE000)), "\ufffd").when((code >= 128) & (code < 160), windows).when(code == 13, "\r").when(dropped, "").otherwise(big)
+        )
+
+    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    value = lambda e: F.when(e.startswith("&#"), numbered(e)).otherwise(named(e))
+    pairs = lambda kinds, rest: F.zip_with(rest, F.concat(F.transform(kinds, value), F.array(F.lit(""))), lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
+    joined = F.element_at(F.transform(F.array(F.struct(found.alias("e"), F.split(text, ENTITY, -1).alias("t"))), lambda x: F.array_join(pairs(x["e"], x["t"]), "")), 1)
+    return F.when(text.contains("&") & text.rlike(ENTITY), joined).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:

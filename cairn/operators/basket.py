@@ -1,15 +1,18 @@
 """Cheapest split of many baskets over shops, one shipping fee for each shop used.
 
 A basket's offers become one row of arrays (one shuffle by basket), and the search over
-its assignments is array functions on that row: every assignment where they are few, else
-the assignments that take each item's cheapest offer within a set of shops. Those sets hold
-all shops, every single shop and all subsets of the ``shops`` most useful ones, so that the
-split is never dearer than per-item cheapest or one shop. Amounts are whole cents inside.
+its assignments is array functions on that row. Where the assignments are at most ``exact``
+the search is exact: item by item all offers are tried, and what can't come under the best
+of the obvious answers (every item where it is cheapest, or all from one shop) even with
+the cheapest rest and no fees is left out. Beyond, the assignments that take each item's
+cheapest offer within a set of shops: all shops, every single shop and all subsets of the
+``shops`` most useful ones, so that the split is never dearer than the obvious answers.
+Amounts are whole cents inside.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import money
@@ -41,21 +44,42 @@ def assignments(items: Column) -> Column:
     return F.aggregate(items, F.lit(1).cast("bigint"), lambda a, x: F.least(F.lit(10**12).cast("bigint"), a * F.size(x["offers"])))
 
 
-def _all(items: Column) -> Column:
-    start = F.array(F.array().cast(PICK))
-    return F.aggregate(items, start, lambda acc, x: F.flatten(F.transform(acc, lambda s: F.transform(x["offers"], lambda o: F.concat(s, F.array(o))))))
+def _all(items: Column, bound: Column) -> Column:
+    """All assignments, in order of items and offers, whose prices alone don't exceed ``bound``."""
+    least = lambda x: F.array_min(F.transform(x["offers"], lambda o: o["price"]))
+    rest = F.transform(items, lambda x, i: F.struct(x["offers"].alias("offers"), _sum(F.transform(F.slice(items, i + 2, F.size(items)), least)).alias("rest")))
+    start = F.array(F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast(PICK).alias("picks")))
+
+    def add(acc: Column, x: Column) -> Column:
+        more = lambda s: F.transform(F.filter(x["offers"], lambda o: s["sum"] + o["price"] + x["rest"] <= bound), lambda o: F.struct((s["sum"] + o["price"]).alias("sum"), F.concat(s["picks"], F.array(o)).alias("picks")))
+        return F.flatten(F.transform(acc, more))
+
+    return F.transform(F.aggregate(rest, start, add), lambda s: s["picks"])
+
+
+def _picks(items: Column, sets: Column) -> Column:
+    """For each set of shops that can supply every item, each item's cheapest offer within it; of equal prices the first."""
+    cheapest = lambda x, s: F.array_min(F.transform(F.filter(x["offers"], lambda o: F.array_contains(s, o["shop"])), lambda o: F.struct(o["price"].alias("p"), o["offer_rank"].alias("r"), o.alias("o"))))["o"]
+    picks = F.transform(sets, lambda s: F.transform(items, lambda x: cheapest(x, s)))
+    return F.filter(picks, lambda p: ~F.exists(p, lambda o: o.isNull())).cast(f"array<{PICK}>")
+
+
+def _shops(items: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(items, lambda x: F.transform(x["offers"], lambda o: o["shop"]))))
+
+
+def _obvious(items: Column) -> Column:
+    """Every item where it is cheapest, and all from each shop that has them all."""
+    return _let(_shops(items), lambda shops: _picks(items, F.concat(F.array(shops), F.transform(shops, lambda s: F.array(s)))))
 
 
 def _subsets(items: Column, most: int) -> Column:
     """Assignments of the sets of shops that can supply every item."""
-    every = F.array_distinct(F.flatten(F.transform(items, lambda x: F.transform(x["offers"], lambda o: o["shop"]))))
     has = lambda x, s: F.exists(x["offers"], lambda o: o["shop"] == s)
     useful = lambda shops: F.slice(F.transform(F.array_sort(F.transform(shops, lambda s: F.struct((-F.size(F.filter(items, lambda x: has(x, s)))).alias("n"), s.alias("s")))), lambda e: e["s"]), 1, most)
     masks = lambda top: F.transform(F.sequence(F.lit(1), F.lit(2**most - 1)), lambda m: F.filter(top, lambda s, i: F.floor(m / F.pow(F.lit(2.0), i)).cast("int") % 2 == 1))
     sets = lambda shops: F.array_distinct(F.concat(F.array(shops), F.transform(shops, lambda s: F.array(s)), _let(useful(shops), masks)))
-    cheapest = lambda x, s: F.array_min(F.transform(F.filter(x["offers"], lambda o: F.array_contains(s, o["shop"])), lambda o: F.struct(o["price"].alias("p"), o["offer_rank"].alias("r"), o.alias("o"))))["o"]
-    picks = F.transform(_let(every, sets), lambda s: F.transform(items, lambda x: cheapest(x, s)))
-    return F.filter(picks, lambda p: ~F.exists(p, lambda o: o.isNull())).cast(f"array<{PICK}>")
+    return _let(_shops(items), lambda shops: _picks(items, sets(shops)))
 
 
 def _fee(subtotal: Column, ship: Column, free_over: Column) -> Column:
@@ -72,18 +96,23 @@ def cost(picks: Column) -> Column:
 def split(baskets: DataFrame, exact: int = EXACT, shops: int = 8) -> DataFrame:
     """(basket_id, method, total, picks) of ``gather``'s rows; of equal totals the first assignment in order of items and offers wins."""
     few = assignments(F.col("items")) <= exact
-    tried = F.when(few, _all(F.col("items"))).otherwise(_subsets(F.col("items"), shops))
+    bound = F.array_min(F.transform(_obvious(F.col("items")), cost))
+    tried = F.when(few, _let(bound, lambda b: _all(F.col("items"), b))).otherwise(_subsets(F.col("items"), shops))
     best = _let(tried, lambda t: _let(F.array_min(F.transform(t, lambda p, i: F.struct(_let(p, cost).alias("cost"), i.alias("i")))), lambda b: F.struct(b["cost"].alias("cost"), F.get(t, b["i"]).alias("picks"))))
     out = baskets.withColumn("_best", best)
     return out.select("basket_id", F.when(few, "exact").otherwise("subset").alias("method"), (F.col("_best.cost") / 100).cast(money.MONEY).alias("total"), F.col("_best.picks").alias("picks"))
 
 
 def orders(solved: DataFrame) -> DataFrame:
-    """Per basket and shop: items, subtotal, shipping and what is missing to free shipping; the largest subtotal is first."""
+    """Per basket and shop: place, items (their positions among the basket's available ones, from 0), subtotal, shipping and what is missing to free shipping.
+
+    place 1 is the order of the largest subtotal; of equal ones the smaller shop is first.
+    """
     rows = solved.select("basket_id", F.posexplode("picks").alias("item", "o")).select("basket_id", "item", "o.*")
-    out = rows.groupBy("basket_id", "shop").agg(F.count("*").alias("items"), F.sum("price").alias("_sub"), F.first("ship").alias("_ship"), F.first("free_over").alias("_free"))
+    out = rows.groupBy("basket_id", "shop").agg(F.array_sort(F.collect_list("item")).alias("items"), F.sum("price").alias("_sub"), F.first("ship").alias("_ship"), F.first("free_over").alias("_free"))
     cents = lambda c: (c / 100).cast(money.MONEY)
-    return out.select("basket_id", "shop", "items", cents(F.col("_sub")).alias("subtotal"), cents(_fee(F.col("_sub"), F.col("_ship"), F.col("_free"))).alias("shipping"), cents(money.to_free_shipping(F.col("_sub"), F.col("_ship"), F.col("_free"))).alias("to_free_shipping"))
+    place = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("_sub"), "shop"))
+    return out.select("basket_id", "shop", place.alias("place"), "items", cents(F.col("_sub")).alias("subtotal"), cents(_fee(F.col("_sub"), F.col("_ship"), F.col("_free"))).alias("shipping"), cents(money.to_free_shipping(F.col("_sub"), F.col("_ship"), F.col("_free"))).alias("to_free_shipping"))
 
 
 def separately(offers: DataFrame, shops: DataFrame) -> DataFrame:

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from cairn.functions import money
 from cairn.operators.offers import ranked
+from cairn.sources.staging import staged
 
 #: Sort modes of a product list: column, whether descending. Nulls come last, ties in the list's own order.
 SORTS = {"set": ("set_order", False), "discount": ("discount_pct", True), "shops": ("shop_count", True), "price_asc": ("total", False), "price_desc": ("total", True)}
 
 
-def search(index: DataFrame, text: str = "", product_type: str | None = None, country: str | None = None, in_stock: bool = False, watchlist: DataFrame | None = None) -> DataFrame:
-    """Faceted search: a substring of title or set name in either case, type, country of any offer, stock, watched products."""
+def search(index: DataFrame, text: str = "", product_type: str | None = None, country: str | None = None, in_stock: bool = False, watchlist: DataFrame | None = None, language: str | None = None) -> DataFrame:
+    """Faceted search: a substring of title or set name in either case, type, language, country of any offer, stock, watched products."""
     out = index
     if text:
         out = out.filter(F.lower(F.concat_ws(" ", "title", "set_name")).contains(text.lower()))
     if product_type is not None:
         out = out.filter(F.col("product_type") == product_type)
+    if language is not None:
+        out = out.filter(F.col("language") == language)
     if country is not None:
         out = out.filter(F.array_contains("countries", country))
     if in_stock:
@@ -31,6 +34,24 @@ def arrange(index: DataFrame, mode: str) -> DataFrame:
     return index.orderBy(F.desc_nulls_last(column) if down else F.asc_nulls_last(column), "set_order")
 
 
+def places(index: DataFrame, mode: str) -> DataFrame:
+    """The rows with their place in a sort mode, from 1: ranges of the order are numbered apart, and each begins where the ones before it end.
+
+    The driver sees one row a range, to add up their sizes.
+    """
+    column, down = SORTS[mode]
+    order = [F.desc_nulls_last(column) if down else F.asc_nulls_last(column), F.asc("set_order")]
+    dealt = staged(index.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dict(sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect()))
+    begins, at = [], 0
+    for k, n in sizes.items():
+        begins.append((k, at))
+        at += n
+    begin = dealt.sparkSession.createDataFrame(begins, "_range int, _begin long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(begin, "_range").withColumn("place", (F.col("_begin") + within).cast("long")).drop("_range", "_begin")
+
+
 def find(index: DataFrame, names: DataFrame) -> DataFrame:
     """(name, product_key): the product whose title is the name in either case, else the first that contains it.
 

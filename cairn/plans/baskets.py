@@ -1,4 +1,4 @@
-"""Queries on baskets. Orders are the baskets, their distinct parts the items; each item has its three best offers."""
+"""Queries on baskets. Orders are the baskets, their distinct parts the items; each item has all its offers in stock."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from cairn.plans.market import SQL, deduped, num
 from cairn.registry import query
 from cairn.sources import tables
 
-#: Offers an item has in a basket, assignments that are tried in full, and shops of which all subsets are tried beyond them.
-OFFERS, EXACT, SHOPS = 3, 250, 6
+#: Assignments up to which the search is exact, and shops of which all subsets are tried beyond them.
+EXACT, SHOPS = 50_000, 6
 
 BASKET_SQL = """, item AS (SELECT basket_id, product_key, row_number() OVER (PARTITION BY basket_id ORDER BY product_key) AS item_pos FROM (SELECT DISTINCT l_orderkey AS basket_id, l_partkey AS product_key FROM lineitem)),
-top AS (SELECT product_key, shop_key AS shop, amount_dkk AS price, row_number() OVER (PARTITION BY product_key ORDER BY total_dkk, s1, s2, s3, s4) AS offer_rank FROM dedup WHERE in_stock QUALIFY offer_rank <= 3),
+top AS (SELECT product_key, shop_key AS shop, amount_dkk AS price, row_number() OVER (PARTITION BY product_key ORDER BY total_dkk, s1, s2, s3, s4) AS offer_rank FROM dedup WHERE in_stock),
 rule AS (SELECT shop_key AS shop, CASE WHEN verified THEN CAST(ship * factor AS DECIMAL(18,2)) ELSE coalesce(assumed, 120) END AS ship, CASE WHEN verified THEN CAST(free_over * factor AS DECIMAL(18,2)) END AS free_over FROM shop),
 bo AS (SELECT basket_id, item_pos, offer_rank, shop, price, ship, free_over FROM item JOIN top USING (product_key) JOIN rule USING (shop))"""
 FEE = "CASE WHEN {1} IS NOT NULL AND {0} >= {1} THEN 0 ELSE coalesce({2}, 0) END"
@@ -27,7 +27,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def basket_offers(spark: SparkSession, d: str) -> DataFrame:
-    top = offers.ranked(deduped(spark, d).filter("in_stock")).filter(F.col("rank") <= OFFERS).select("product_key", F.col("rank").alias("offer_rank"), F.col("shop_key").alias("shop"), F.col("amount_dkk").alias("price"))
+    top = offers.ranked(deduped(spark, d).filter("in_stock")).select("product_key", F.col("rank").alias("offer_rank"), F.col("shop_key").alias("shop"), F.col("amount_dkk").alias("price"))
     return items(spark, d).join(top, "product_key").select("basket_id", "item_pos", "offer_rank", "shop", "price")
 
 
@@ -54,12 +54,18 @@ def basket_single_shop(spark: SparkSession, d: str) -> DataFrame:
     return num(basket.single_shop(basket_offers(spark, d), rules(spark, d)), "total")
 
 
-EXACT_SQL = BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, count(*) AS n FROM bo GROUP BY ALL), small AS (SELECT basket_id, count(*) AS items FROM c GROUP BY basket_id HAVING round(product(n)) <= {EXACT}),
-o AS (SELECT basket_id, dense_rank() OVER (PARTITION BY basket_id ORDER BY item_pos) AS k, items, offer_rank, shop, price, ship, free_over FROM bo JOIN small USING (basket_id)),
+# item by item, without what can't come under the cost of taking every item where it is cheapest
+EXACT_SQL = BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, count(*) AS n, min(price) AS least, arg_min({{'shop': shop, 'ship': ship, 'free_over': free_over}}, (price, offer_rank)) AS f FROM bo GROUP BY ALL),
+small AS (SELECT basket_id, count(*) AS items FROM c GROUP BY basket_id HAVING round(product(n)) <= {EXACT}),
+plain AS (SELECT basket_id, f.shop AS shop, f.ship AS ship, f.free_over AS free_over, sum(least) AS s FROM c GROUP BY ALL),
+bound AS (SELECT basket_id, sum(s + {FEE.format('s', 'free_over', 'ship')}) AS bound FROM plain GROUP BY basket_id),
+r AS (SELECT basket_id, item_pos, coalesce(sum(least) OVER (PARTITION BY basket_id ORDER BY item_pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest FROM c),
+o AS (SELECT basket_id, dense_rank() OVER (PARTITION BY basket_id ORDER BY item_pos) AS k, items, rest, bound, shop, price, ship, free_over FROM bo JOIN small USING (basket_id) JOIN r USING (basket_id, item_pos) JOIN bound USING (basket_id)),
 st AS (
-  SELECT basket_id, k, items, [shop] AS shops, [price] AS prices, [ship] AS ships, [free_over] AS frees FROM o WHERE k = 1
+  SELECT basket_id, k, items, CAST(price AS DECIMAL(38,2)) AS spent, [shop] AS shops, [price] AS prices, [ship] AS ships, [free_over] AS frees FROM o WHERE k = 1 AND price + rest <= bound
   UNION ALL
-  SELECT o.basket_id, o.k, o.items, list_append(shops, o.shop), list_append(prices, o.price), list_append(ships, o.ship), list_append(frees, o.free_over) FROM st JOIN o ON o.basket_id = st.basket_id AND o.k = st.k + 1),
+  SELECT o.basket_id, o.k, o.items, CAST(spent + o.price AS DECIMAL(38,2)), list_append(shops, o.shop), list_append(prices, o.price), list_append(ships, o.ship), list_append(frees, o.free_over)
+  FROM st JOIN o ON o.basket_id = st.basket_id AND o.k = st.k + 1 WHERE spent + o.price + rest <= bound),
 full_ AS (SELECT *, row_number() OVER () AS id FROM st WHERE k = items),
 flat AS (SELECT basket_id, id, unnest(shops) AS shop, unnest(prices) AS price, unnest(ships) AS ship, unnest(frees) AS free_over FROM full_),
 sub AS (SELECT basket_id, id, shop, ship, free_over, sum(price) AS s FROM flat GROUP BY ALL),
@@ -68,7 +74,7 @@ tot AS (SELECT basket_id, id, sum(s + {FEE.format('s', 'free_over', 'ship')}) AS
 
 @query(SQL.replace("WITH shop", "WITH RECURSIVE shop") + EXACT_SQL + " SELECT basket_id, CAST(min(total) AS DOUBLE) AS total FROM tot GROUP BY basket_id")
 def basket_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of the baskets whose assignments are all tried."""
+    """Totals of the baskets that the exact search takes."""
     return num(solved(spark, d).filter("method = 'exact'").select("basket_id", "total"), "total")
 
 

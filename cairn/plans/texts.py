@@ -61,10 +61,11 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
 TYPE_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(norm, '{words(t)}') THEN '{c}' END" for c, t in T.TYPES) + ", CASE WHEN regexp_matches(norm, '(^|[^a-z0-9])(caja|box|display)([^a-z0-9].*)?[^0-9](20|24|30|36) +(sobres|buste|bustine)([^a-z0-9]|$)') THEN 'booster_box' END], lambda x: x IS NOT NULL)"
 
 
-@query(FORM_SQL + f"SELECT product_key, array_to_string(list_distinct({TYPE_SQL}), ',') AS types FROM n WHERE len(list_distinct({TYPE_SQL})) < 2")
+@query(FORM_SQL + f"SELECT product_key, array_to_string(list_sort(list_distinct({TYPE_SQL})), ',') AS types FROM n")
 def type_detect(spark: SparkSession, d: str) -> DataFrame:
+    """All types that a title names; several are what the rule of exactly one type rejects as a combination."""
     t = classify.types(F.col("norm"))
-    return forms(spark, d).filter(F.size(t) < 2).select("product_key", F.array_join(t, ",").alias("types"))
+    return forms(spark, d).select("product_key", F.array_join(F.array_sort(t), ",").alias("types"))
 
 
 REJECT_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(norm, '{words(t)}') THEN '{c} (' || regexp_extract(norm, '{words(t)}', 2) || ')' END" for c, t in T.REJECT) + ", CASE WHEN regexp_matches(title, '\\b\\d{1,3}\\s*/\\s*\\d{1,3}\\b') THEN 'single (number in title)' END, CASE WHEN regexp_matches(norm, '\\b([2-9]|[1-9]\\d+)\\s*x\\b|\\bx\\s*([2-9]|[1-9]\\d+)\\b') THEN 'several units' END)"

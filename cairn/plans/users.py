@@ -10,6 +10,7 @@ from cairn.operators import offers, users
 from cairn.plans.market import SQL, deduped, num
 from cairn.registry import query
 from cairn.sources import tables
+from cairn.sources.staging import staged
 
 INDEX_SQL = """, countries AS (SELECT product_key, list_sort(list(DISTINCT country)) AS countries FROM dedup GROUP BY product_key),
 idx AS (SELECT market.product_key, p_name || ' ' || p_type AS title, p_brand AS set_name, p_type AS product_type, best_amount AS price, best_shipping AS ship, best_total AS total, best_shop AS shop, best_in_stock AS in_stock, discount_pct, shop_count, countries,
@@ -40,13 +41,17 @@ def faceted_search(spark: SparkSession, d: str) -> DataFrame:
     return num(users.search(index(spark, d), "ring", country=country, in_stock=True, watchlist=watch).select("product_key", "title", "total"), "total")
 
 
-@query(SQL + INDEX_SQL + " SELECT product_key, row_number() OVER (ORDER BY discount_pct DESC NULLS LAST, set_name, place_in_set) AS by_discount FROM idx ORDER BY by_discount LIMIT 100")
-def sort_modes(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred of a browse list, with their places."""
-    top = users.arrange(index(spark, d), "discount").limit(100)
-    from pyspark.sql import Window
+SORT_SQL = {"by_set": "set_name", "by_discount": "discount_pct DESC NULLS LAST, set_name", "by_shops": "shop_count DESC NULLS LAST, set_name", "by_price_asc": "total ASC NULLS LAST, set_name", "by_price_desc": "total DESC NULLS LAST, set_name"}
+
 
-    return top.select("product_key", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("discount_pct"), "set_order")).cast("long").alias("by_discount"))
+@query(SQL + INDEX_SQL + " SELECT product_key, " + ", ".join(f"row_number() OVER (ORDER BY {o}, place_in_set) AS {n}" for n, o in SORT_SQL.items()) + " FROM idx")
+def sort_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Every product's place in each of the five sort modes."""
+    rows = staged(index(spark, d).select("product_key", "set_order", *{c for c, _ in users.SORTS.values()} - {"set_order"}))
+    out = rows.select("product_key")
+    for mode in users.SORTS:
+        out = out.join(users.places(rows, mode).select("product_key", F.col("place").alias(f"by_{mode}")), "product_key")
+    return out
 
 
 NAMES = ("Small Ring ECONOMY", "red widget", "bolt", "no such thing")

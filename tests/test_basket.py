@@ -56,6 +56,31 @@ def test_random_baskets(spark, exact):
         assert got[b]["total"] <= cost(cheapest, shops)
 
 
+def test_orders_list_items_by_subtotal(spark):
+    rng = random.Random(9)
+    shops = {s: (rng.choice([0, 40]), rng.choice([None, 700])) for s in range(4)}
+    baskets = {b: [[(s, rng.randrange(100, 400)) for s in rng.sample(range(4), 2)] for _ in range(5)] for b in range(20)}
+    got, orders, _, _ = solve(spark, baskets, shops)
+    for b, r in got.items():
+        want = {}
+        for i, o in enumerate(r["picks"]):
+            want.setdefault(o["shop"], []).append((i, o["price"] // 100))
+        listed = sorted((o for o in orders if o["basket_id"] == b), key=lambda o: o["place"])
+        assert [o["place"] for o in listed] == list(range(1, len(want) + 1))
+        assert {o["shop"]: o["items"] for o in listed} == {s: [i for i, _ in v] for s, v in want.items()}
+        assert [(-o["subtotal"], o["shop"]) for o in listed] == sorted((-sum(p for _, p in v), s) for s, v in want.items())
+        assert sum(o["subtotal"] + o["shipping"] for o in listed) == r["total"]
+
+
+def test_many_offers_are_searched_exactly(spark):
+    rng = random.Random(3)
+    shops = {s: (rng.choice([20, 60, 120]), rng.choice([None, 600, 1200])) for s in range(12)}
+    baskets = {b: [[(s, 300 + rng.randrange(40)) for s in rng.sample(range(12), 12)] for _ in range(3)] for b in range(8)}
+    got, _, apart, single = solve(spark, baskets, shops)
+    for b, items in baskets.items():
+        assert got[b]["method"] == "exact" and got[b]["total"] == min(cost(c, shops) for c in itertools.product(*items)) <= min(apart[b], single[b])
+
+
 def test_large_basket(spark):
     rng = random.Random(1)
     shops = {s: (60, 800) for s in range(6)}

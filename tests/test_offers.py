@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -185,3 +186,15 @@ def test_text_functions(spark):
 def test_formats(spark):
     r = spark.range(1).select(money.whole(F.lit(1299.5)).alias("a"), money.exact(F.lit(1299.5), F.lit("EUR")).alias("b"), money.long_date(F.lit("2026-09-24").cast("date")).alias("c"), money.countries_text(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("d"), money.shipping_rule_text(F.lit(True), F.lit(39), F.lit(500), F.lit("DKK"), F.lit(None).cast("int")).alias("e")).first()
     assert tuple(r) == ("1.300 kr", "1.299,50 EUR", "24. september 2026", "a, b og c", "39,00 DKK til Danmark, fri fragt over 500,00 DKK")
+
+
+def test_entities_equal_pythons(spark):
+    import html
+    import html.entities
+
+    rng, names = random.Random(1), sorted(html.entities.html5)
+    made = ["&aelig;&oslash;&aring; &uuml; &euro; &#128512; &#x1F600; &amp;lt; &amp;amp; &copy2024 &notit; &unknown; &#0; &#55296; &#150; &#x110000; &#13; &#8; &; & &#; &#x; a&b &ampx &lt3 &AMP", "", "plain & simple", "&#65534; &#99999999999;"]
+    kinds = (lambda: f"&{rng.choice(names)}", lambda: f"&{rng.choice(names)}x", lambda: f"&#{rng.randrange(70_000)};", lambda: f"&#x{rng.randrange(1_200_000):x}", lambda: "&", lambda: "x")
+    made += [" ".join(rng.choice(kinds)() for _ in range(6)) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in made], "t string").select("t", text.unescape(F.col("t")).alias("u")).collect()
+    assert [(r["t"], r["u"]) for r in got if r["u"] != html.unescape(r["t"])] == []
