@@ -109,17 +109,24 @@ def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
     """(word, other) of distinct words of ``left`` and ``right`` (column word) that count as one word.
 
     Equal words meet by an equality join. A near pair has six letters or more and a similarity
-    of 90, so that it shares a pair of letters in a row: long words meet by those, and length,
-    edit distance and the exact similarity decide.
+    of 90, which leaves at most a tenth of the letters of both to insert or delete. So of one more
+    parts than that of the one word, one stands whole in the other, moved by no more places: words of
+    matching lengths meet by such a part, and edit distance and the exact similarity decide.
     """
     a, b = left.select("word").distinct(), right.select("word").distinct()
     same = a.join(b, "word").select("word", F.col("word").alias("other"))
-    long = lambda df, name: df.filter(F.length("word") >= NEAR_LETTERS).select(F.col("word").alias(name))
-
-    key = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, 2)))
-    x = long(a, "word").withColumn("_pair", F.explode(key(F.col("word"))))
-    y = long(b, "other").withColumn("_pair", F.explode(key(F.col("other"))))
-    met = x.join(y, "_pair").filter((F.col("word") != F.col("other")) & (F.abs(F.length("word") - F.length("other")) * 9 <= F.length("word") + F.length("other"))).select("word", "other").distinct()
+    long = lambda df, name: df.filter(F.length("word") >= NEAR_LETTERS).select(F.col("word").alias(name), F.length("word").alias("_n"))
+    # lengths that differ by no more than the letters to insert or delete
+    lengths = F.filter(F.sequence(F.floor(F.col("_n") * 4 / 5).cast("int"), F.ceil(F.col("_n") * 5 / 4).cast("int")), lambda m: (m >= NEAR_LETTERS) & (F.abs(m - F.col("_n")) * 9 <= m + F.col("_n")))
+    slack = F.floor((F.col("_n") + F.col("_m")) * int(100 - NEAR_RATIO) / 100).cast("int")
+    each = lambda df: df.withColumn("_m", F.explode(lengths)).withColumn("_slack", slack)
+    begin = lambda i, n: F.floor(i * n / (F.col("_slack") + 1)).cast("int")
+    part = lambda w, at, i, n: F.substring(w, at + 1, begin(i + 1, n) - begin(i, n))
+    parts = F.sequence(F.lit(0), F.col("_slack"))
+    x = each(long(a, "word")).withColumn("_i", F.explode(parts)).select("word", F.col("_n").alias("_la"), F.col("_m").alias("_lb"), "_i", part(F.col("word"), begin(F.col("_i"), F.col("_n")), F.col("_i"), F.col("_n")).alias("_part"))
+    y = each(long(b, "other")).withColumn("_i", F.explode(parts)).withColumn("_at", F.explode(F.transform(F.sequence(-F.col("_slack"), F.col("_slack")), lambda d: begin(F.col("_i"), F.col("_m")) + d))).filter("_at >= 0")
+    y = y.select("other", F.col("_m").alias("_la"), F.col("_n").alias("_lb"), "_i", part(F.col("other"), F.col("_at"), F.col("_i"), F.col("_m")).alias("_part")).distinct()
+    met = x.join(y, ["_la", "_lb", "_i", "_part"]).filter(F.col("word") != F.col("other")).select("word", "other").distinct()
     # similarity r leaves at most (1 - r) of the letters of both words to insert or delete; in whole numbers, 1 - 0.9 being less than 0.1
     bound = F.floor((F.length("word") + F.length("other")) * int(100 - NEAR_RATIO) / 100).cast("int")
     met = met.filter(F.levenshtein("word", "other") <= bound)
@@ -140,8 +147,8 @@ def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
     An equal alias scores 100. Else every word of the name must be, nearly, in the alias, the
     alias must be covered to 60 %, and the score be 88 or more; of several the best score,
-    then coverage, then the alias's order decide. Blocking on near words loses nothing, for
-    each word of the name has a partner.
+    then coverage, then the alias's order decide. Names meet aliases by one word alone, the one that
+    fewest aliases hold: that loses nothing, for each word of the name has a partner.
     """
     wanted = staged(names.select("name").distinct().filter(F.col("name").isNotNull() & (F.col("name") != "") & has_long_word(F.col("name"))))
     exact = wanted.join(aliases.select("alias"), F.col("name") == F.col("alias")).select("name", "alias", F.lit(100).alias("score"))
@@ -151,8 +158,11 @@ def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     near = staged(near_words(left, right))
     n_left = left.groupBy("name").agg(F.count("*").alias("_names"))
     n_right = right.groupBy("alias").agg(F.count("*").alias("_aliases"))
-    met = left.join(near, "word").join(right.withColumnRenamed("word", "other"), "other")
-    pairs = met.groupBy("name", "alias").agg(F.count_distinct("word").alias("_found"), F.count_distinct("other").alias("_covered"))
+    held = right.withColumnRenamed("word", "other")
+    often = near.join(held.groupBy("other").agg(F.count("*").alias("_often")), "other").groupBy("word").agg(F.sum("_often").alias("_often"))
+    rarest = left.join(often, "word").groupBy("name").agg(F.min_by("word", F.struct("_often", "word")).alias("word"))
+    met = rarest.join(near, "word").join(held, "other").select("name", "alias").distinct()
+    pairs = met.join(left, "name").join(near, "word").join(held, ["alias", "other"]).groupBy("name", "alias").agg(F.count_distinct("word").alias("_found"), F.count_distinct("other").alias("_covered"))
     pairs = pairs.join(n_left, "name").join(n_right, "alias").filter((F.col("_found") == F.col("_names")) & (F.col("_covered") >= COVERAGE * F.col("_aliases")))
     scored = pairs.withColumn("score", F.floor(token_set_ratio(F.col("name"), F.col("alias"))).cast("int")).filter(F.col("score") >= SCORE)
     w = Window.partitionBy("name").orderBy(F.desc("score"), F.desc(F.col("_covered") / F.col("_aliases")), "alias")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,10 @@ def price_drops(history: DataFrame, least: float = 0.03, before: int = 7, observ
 def write(rows: DataFrame, path: str) -> None:
     """Replaces the years that rows hold, and no others; give it the whole of those years (see ``upsert``)."""
     rows.withColumn("year", F.year("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+def load(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
+    """The history under ``path``, of one year or of all, one row per product and day: the latest run's. Files that can't be read are left out."""
+    rows = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    rows = rows if year is None else rows.filter(F.col("year") == year)
+    return upsert(rows.drop("year"), rows.drop("year").limit(0))

@@ -33,6 +33,28 @@ def shop_report(offers: DataFrame, shop_key: object, most: int = 25) -> tuple[Da
     return own.groupBy(outcome().alias("outcome")).agg(F.count("*").alias("n")), own.filter(outcome() == "accepted").orderBy("seq").limit(most)
 
 
+def shop_overview(log: DataFrame, shops: DataFrame, scores: DataFrame) -> DataFrame:
+    """The run's log by shop name, with the shop's own columns and its statistics (shop_key, ...); what a shop lacks is null."""
+    own = lambda df: df.select("shop_key", *(c for c in df.columns if c not in log.columns))
+    out = log.join(own(shops), "shop_key", "left")
+    more = scores.select("shop_key", *(c for c in scores.columns if c not in out.columns))
+    return out.join(more, "shop_key", "left").orderBy("shop_name", "shop_key")
+
+
+def newest_first(series: DataFrame) -> DataFrame:
+    """Observations of a product (product_key, day, ...), the newest first."""
+    return series.orderBy("product_key", F.desc("day"))
+
+
+# Names of countries by code.
+COUNTRIES = {"DK": "Danmark", "DE": "Tyskland", "NL": "Holland", "SE": "Sverige", "BE": "Belgien", "AT": "Østrig", "PL": "Polen", "FI": "Finland", "ES": "Spanien", "IT": "Italien", "FR": "Frankrig"}
+
+
+def country_name(code: Column) -> Column:
+    """The name of a country; a code without one stands for itself."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))[code], code)
+
+
 def ordered_sets(sets: DataFrame) -> DataFrame:
     """Sets (matched, release_date, offer_count, set_name): matched first, the newest first, then those with most offers."""
     return sets.orderBy(F.desc("matched"), F.desc(F.coalesce("release_date", F.lit("0000-00-00"))), F.desc("offer_count"), "set_name")

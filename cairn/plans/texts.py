@@ -106,8 +106,8 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
 SELECT product_key, alias FROM n LEFT JOIN a ON alias = {NORM.format('name')}""")
 def alias_exact(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.upper("p_name"), F.lit("!"))).otherwise(F.concat_ws(" ", "p_name", F.lit("x9")))
-    rows = tables.table(spark, d, "part").select(F.col("p_partkey").alias("product_key"), text.normalise(name).alias("_name"))
-    return rows.join(aliases(spark, d).select("alias"), F.col("_name") == F.col("alias"), "left").select("product_key", "alias")
+    rows = tables.table(spark, d, "part").select(F.col("p_partkey").alias("product_key"), text.normalise(name).alias("name"))
+    return rows.join(classify.match(rows, aliases(spark, d)), "name", "left").select("product_key", "alias")
 
 
 @query(f"""WITH a AS (SELECT DISTINCT {NORM.format('p_name')} AS alias FROM part),

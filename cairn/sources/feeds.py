@@ -141,6 +141,13 @@ def set_aliases(sets: DataFrame, details: DataFrame | None = None, cache: DataFr
     return rows.select("alias", F.col("id").alias("set_id"), "name", F.coalesce(*found).alias("release_date"), F.col("lang").alias("alias_lang"))
 
 
+def cached_aliases(cache: DataFrame) -> DataFrame:
+    """The alias table of a cache (id, name, release_date) alone, for runs without set lists: names as cached, no language. Of equal names the larger id wins."""
+    rows = cache.withColumn("alias", text.normalise(F.col("name"))).filter("alias <> ''")
+    last = rows.groupBy("alias").agg(F.max_by(F.struct("id", "name", "release_date"), "id").alias("r"))
+    return last.select("alias", F.col("r.id").alias("set_id"), "r.name", "r.release_date", F.lit(None).cast("string").alias("alias_lang"))
+
+
 def parse_watchlist(rows: DataFrame, column: str = "json") -> DataFrame:
     """(user_id, product_key) of JSON arrays of keys; malformed ones are empty."""
     return rows.select("user_id", F.explode(F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))).alias("product_key")).filter("product_key is not null").distinct()

@@ -35,6 +35,13 @@ def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return unnest(spark.read.schema(schema).json(path))
 
 
+def write_run(path: str, offers: DataFrame, rates: DataFrame, log: DataFrame, counters: DataFrame) -> None:
+    """A run's whole result as JSON: products with their ranked offers, rates, the log by shop, and counters, each in its folder under ``path``."""
+    write_result(offers, f"{path}/products")
+    for name, rows in (("fx", rates), ("log", log), ("stats", counters)):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def basket_data(offers: DataFrame, shops: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shops with their published rates in base currency (null where none is), and products with their in-stock offers."""
     ok = F.coalesce("verified", F.lit(False)) & F.col("ship").isNotNull()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators import history, offers
+from cairn.sources.staging import staged
 
 
 def observe_batch(batch: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def follow(spark: SparkSession, source: str, schema: str, target: str, checkpoin
                 raise
             old = rows.limit(0)
         # the years are read and replaced in one job: cut the plan from its source first
-        history.write(history.upsert(old, rows).checkpoint(), target)
+        history.write(staged(history.upsert(old, rows)), target)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

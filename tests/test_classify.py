@@ -1,5 +1,7 @@
 """Golden titles, and the guards of the join with set names."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,46 @@ def test_near_words_keep_exchanged_letters(spark):
     assert ("collection", "collectoin") in want
     df = spark.createDataFrame([(w,) for w in words], "word string")
     assert {tuple(r) for r in classify.near_words(df, df).collect()} == want
+
+
+def indel(a, b):
+    """Similarity of two words by their longest common subsequence."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        rows.append([0])
+        for j, y in enumerate(b):
+            rows[-1].append(rows[-2][j] + 1 if x == y else max(rows[-2][j + 1], rows[-1][j]))
+    return 200 * rows[-1][-1] / (len(a) + len(b))
+
+
+def test_near_words_lose_no_pair(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcdeinrst") for _ in range(rng.randrange(5, 24))) for _ in range(120)}
+    for w in list(words):
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(v))
+                kind = rng.randrange(4)
+                if kind == 0:
+                    v.insert(at, rng.choice("aeks"))
+                elif kind == 1 and len(v) > 4:
+                    del v[at]
+                elif kind == 2:
+                    v[at] = rng.choice("aeks")
+                elif at + 1 < len(v):
+                    v[at], v[at + 1] = v[at + 1], v[at]
+            words.add("".join(v))
+    words |= {"collection", "collectoin"}
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {tuple(r) for r in classify.near_words(rows, rows).collect()}
+    want = {(a, b) for a in words for b in words if a == b or (len(a) >= 6 and len(b) >= 6 and indel(a, b) >= 90)}
+    assert got == want and len(want) > len(words) + 100
+
+
+def test_names_match_by_their_rarest_word(spark):
+    aliases = spark.createDataFrame([(a,) for a in ("common storm rising", "common storm", "common crown zenith", "common", "quiet harbour lights", "common storm emeralda")], "alias string")
+    names = ["storm common", "common storm risinng", "zenith crown common", "common storms emeralda", "harbour lights", "harbour", "common nothing", "emeralda"]
+    got = {r["name"]: r["alias"] for r in classify.match(spark.createDataFrame([(n,) for n in names], "name string"), aliases).collect()}
+    assert got["storm common"] == "common storm" and got["zenith crown common"] == "common crown zenith" and got["harbour lights"] == "quiet harbour lights"
+    assert "common nothing" not in got and "harbour" not in got and "emeralda" not in got

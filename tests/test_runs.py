@@ -23,3 +23,38 @@ def test_orders_and_names(spark):
     assert tuple(r) == ("A Box (English)", "a-b-uden-match")
     quotes = spark.createDataFrame([("EUR", 746.0), ("SEK", 66.0)], "currency string, per_100 double")
     assert {r["currency"]: round(r["value"], 4) for r in runs.rebase(quotes).collect()} == {"EUR": 1.0, "DKK": 7.46, "SEK": round(746 / 66, 4)}
+
+
+def test_countries_overview_and_cached_aliases(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.sources import feeds
+
+    codes = spark.createDataFrame([("DK",), ("XX",), (None,)], "code string").select(runs.country_name(F.col("code")).alias("n")).collect()
+    assert [r["n"] for r in codes] == ["Danmark", "XX", None]
+    log = spark.createDataFrame([(1, "ok", 5), (2, "failed", 0)], "shop_key int, status string, count long")
+    shops = spark.createDataFrame([(1, "Zeta", "DK"), (2, "Alpha", "SE")], "shop_key int, shop_name string, country string")
+    scores = spark.createDataFrame([(1, 3, 9)], "shop_key int, wins int, count long")
+    got = runs.shop_overview(log, shops, scores).collect()
+    assert [(r["shop_name"], r["status"], r["count"], r["wins"]) for r in got] == [("Alpha", "failed", 0, None), ("Zeta", "ok", 5, 3)]
+    cache = spark.createDataFrame([("a", "Surging Sparks", "2024"), ("b", "surging  sparks", None), ("c", None, None), ("d", "!!", None)], "id string, name string, release_date string")
+    assert [tuple(r) for r in feeds.cached_aliases(cache).collect()] == [("surging sparks", "b", "surging  sparks", None, None)]
+    days = spark.createDataFrame([("p", "2024-01-01"), ("p", "2024-03-01")], "product_key string, day string")
+    assert [r["day"] for r in runs.newest_first(days).collect()] == ["2024-03-01", "2024-01-01"]
+
+
+def test_history_and_run_are_read_back(spark, tmp_path):
+    from cairn.operators import history
+    from cairn.sources import sinks
+
+    rows = spark.sql("SELECT * FROM VALUES ('p', DATE'2023-12-31', 1.0D, 1, 1), ('p', DATE'2024-01-01', 2.0D, 1, 1), ('p', DATE'2024-01-01', 3.0D, 1, 2) AS t(product_key, day, dkk, shop_key, run)")
+    history.write(rows, str(tmp_path / "h"))
+    (tmp_path / "h" / "year=2024" / "broken.parquet").write_bytes(b"no parquet at all")
+    assert sorted((str(r["day"]), r["dkk"]) for r in history.load(spark, str(tmp_path / "h")).collect()) == [("2023-12-31", 1.0), ("2024-01-01", 3.0)]
+    assert [r["dkk"] for r in history.load(spark, str(tmp_path / "h"), 2023).collect()] == [1.0]
+    offers = spark.createDataFrame([("p", 1, 5.0), ("p", 2, 6.0)], "product_key string, rank int, total double")
+    one = spark.createDataFrame([("EUR", 7.46)], "currency string, factor double")
+    sinks.write_run(str(tmp_path / "run"), offers, one, one, one)
+    got = sinks.read_result(spark, str(tmp_path / "run" / "products"), "product_key string, offers array<struct<rank:int,total:double>>")
+    assert sorted(map(tuple, got.collect())) == [("p", 1, 5.0), ("p", 2, 6.0)]
+    assert spark.read.json(str(tmp_path / "run" / "fx")).count() == 1
