@@ -12,22 +12,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accents() -> tuple[str, str]:
-    """Letters of Latin-1 to Latin Extended-B that decompose into one letter and marks, and those letters."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        kept = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(kept) == 1 and kept != chr(code):
-            pairs.append((chr(code), kept))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _without_marks(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
 
 
-ACCENTED, PLAIN = _accents()
+def _ranges(codes: Iterable[int]) -> str:
+    """A character class of Java's patterns."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
+def _foldings() -> tuple[dict[str, str], dict[str, str], str]:
+    """Characters outside ASCII that decompose into one with ASCII, those that decompose into several, and the class of all marks."""
+    one, several, marks = {}, {}, []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        char = chr(code)
+        kept = _without_marks(char)
+        if not kept:
+            marks.append(code)
+        if kept != char and any(c.isascii() for c in kept):
+            (one if len(kept) == 1 else several)[char] = kept
+    return one, several, _ranges(marks)
+
+
+ONE, SEVERAL, MARKS = _foldings()
+
+
+def _replaced(text: Column, pattern: str, value) -> Column:
+    """The text with ``value`` of each match of pattern in its place."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = lambda kinds, rest: F.zip_with(rest, F.concat(F.transform(kinds, value), F.array(F.lit(""))), lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
+    joined = F.element_at(F.transform(F.array(F.struct(found.alias("e"), F.split(text, pattern, -1).alias("t"))), lambda x: F.array_join(pairs(x["e"], x["t"]), "")), 1)
+    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents. Letters that don't decompose (ß, æ, ø) stay as they are."""
-    return F.lower(F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[̀-ͯ]", ""))
+    """Lower case without accents: compatibility decomposition of all characters that have ASCII in theirs, ligatures, fractions and full width among them.
+
+    Letters that don't decompose (ß, æ, ø) stay as they are.
+    """
+    table = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
+    several = _replaced(text, _ranges(map(ord, SEVERAL)), lambda c: table[c])
+    folded = F.lower(F.regexp_replace(F.translate(several, "".join(ONE), "".join(ONE.values())), MARKS, ""))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(text))
 
 
 def normalise(text: Column) -> Column:
@@ -109,11 +141,7 @@ def unescape(text: Column) -> Column:
             F.when((code == 0) | (code > 0x10FFFF) | ((code >= 0xD800) & (code < 0xE000)), "\ufffd").when((code >= 128) & (code < 160), windows).when(code == 13, "\r").when(dropped, "").otherwise(big)
         )
 
-    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    value = lambda e: F.when(e.startswith("&#"), numbered(e)).otherwise(named(e))
-    pairs = lambda kinds, rest: F.zip_with(rest, F.concat(F.transform(kinds, value), F.array(F.lit(""))), lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
-    joined = F.element_at(F.transform(F.array(F.struct(found.alias("e"), F.split(text, ENTITY, -1).alias("t"))), lambda x: F.array_join(pairs(x["e"], x["t"]), "")), 1)
-    return F.when(text.contains("&") & text.rlike(ENTITY), joined).otherwise(text)
+    return _replaced(text, ENTITY, lambda e: F.when(e.startswith("&#"), numbered(e)).otherwise(named(e)))
 
 
 def strip_tags(html: Column) -> Column:

@@ -198,3 +198,20 @@ def test_entities_equal_pythons(spark):
     made += [" ".join(rng.choice(kinds)() for _ in range(6)) for _ in range(400)]
     got = spark.createDataFrame([(t,) for t in made], "t string").select("t", text.unescape(F.col("t")).alias("u")).collect()
     assert [(r["t"], r["u"]) for r in got if r["u"] != html.unescape(r["t"])] == []
+
+
+def test_folding_equals_full_decomposition(spark):
+    import re
+    import unicodedata
+
+    rng = random.Random(2)
+    codes = [c for c in (*range(0x80, 0xD800), *range(0xE000, 0x1FFFF)) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    made = ["a" + "b".join(chr(c) for c in codes[i : i + 50]) + "c" for i in range(0, len(codes), 50)]
+    made += ["".join(rng.choice(["a", "É", "\u0301", "ﬁ", "½", "Ｐ", "＆", "№", " ", "ø", "ß", "𝐁", "㎏", "日"]) for _ in range(20)) for _ in range(200)]
+
+    def by_hand(t):
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().replace("&", " and ")
+        return re.sub("[^a-z0-9]+", " ", t).strip()
+
+    got = spark.createDataFrame([(t,) for t in made], "t string").select("t", text.normalise(F.col("t")).alias("n")).collect()
+    assert [(r["t"], r["n"], by_hand(r["t"])) for r in got if r["n"] != by_hand(r["t"])] == []
