@@ -32,9 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return conf if "://" in conf else (f"file://{conf}" if conf.startswith("/") else conf.replace("file:/", "file:///", 1))
 
 
+#: Folders that this driver has named in the shared folder.
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """URI of a folder of its own for one call, inside the shared folder."""
-    return f"{shared_dir(spark)}/cairn-{label}-{uuid.uuid4().hex}"
+    """URI of a folder of its own for one call, inside the shared folder. It stays until ``discard``."""
+    _FOLDERS.append(f"{shared_dir(spark)}/cairn-{label}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def discard() -> int:
+    """Deletes the folders that operators of this driver have staged so far, and tells their number.
+
+    For when the results that read them are written: a result that is not yet computed needs its folders.
+    """
+    gone = 0
+    while _FOLDERS:
+        fs, path = filesystem(_FOLDERS.pop())
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            fs.delete_dir(path)
+            gone += 1
+    return gone
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -183,8 +183,8 @@ class _Index:
             self.block, self.place = [json.loads(x) for x in text.splitlines()], (i, j)
         return self.block
 
-    def find(self, key: str):
-        """All captures of a key. Ranges of shards may meet in a key, but don't cross."""
+    def blocks(self, key: str):
+        """(shard, block) of all blocks that may hold a key. Ranges of shards may meet in a key, but don't cross."""
         i = bisect_right(self.firsts, key) - 1
         while i > 0 and self.shards[i - 1][3] >= key:
             i -= 1
@@ -193,37 +193,50 @@ class _Index:
                 self._directory(i)
                 j = max(0, bisect_left(self.keys, key) - 1)
                 while j < len(self.keys) and self.keys[j] <= key:
-                    block = self._block(i, j)
-                    k = bisect_left(block, key, key=lambda x: x[0])
-                    while k < len(block) and block[k][0] == key:
-                        yield tuple(block[k])
-                        k += 1
+                    yield i, j
                     j += 1
             i += 1
 
+    def captures(self, i: int, j: int, key: str):
+        """The captures of a key in a block."""
+        self._directory(i)
+        block = self._block(i, j)
+        k = bisect_left(block, key, key=lambda x: x[0])
+        while k < len(block) and block[k][0] == key:
+            yield tuple(block[k])
+            k += 1
+
 
 def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
     """All captures of the distinct values of keys.urlkey, found by binary search. Keys that the index lacks give no row, and repeated or null keys no more rows.
 
-    The driver and each task see one row per shard, as many as there were partitions.
+    Directories give the blocks of each key, and blocks are dealt out over tasks, so that a URL of very
+    many captures is no one task's. The driver and each task see one row per shard, as many as there were partitions.
     """
     listed = [tuple(r) for r in shards.collect()]
-
-    def run(batches):
-        found = _Index(listed)
-        rows = []
-        for b in batches:
-            for key in b.column("urlkey").to_pylist():
-                for row in found.find(key):
-                    rows.append(row)
-                    if len(rows) == 4096:
-                        yield _batch(rows, ARROW_CAPTURES)
-                        rows = []
-        if rows:
-            yield _batch(rows, ARROW_CAPTURES)
+    places = pa.schema([("urlkey", pa.string()), ("shard", pa.int32()), ("block", pa.int32())])
+
+    def batched(rows, schema: pa.Schema):
+        held = []
+        for row in rows:
+            held.append(row)
+            if len(held) == 4096:
+                yield _batch(held, schema)
+                held = []
+        if held:
+            yield _batch(held, schema)
+
+    def blocks(batches):
+        index = _Index(listed)
+        yield from batched(((key, i, j) for b in batches for key in b.column("urlkey").to_pylist() for i, j in index.blocks(key)), places)
+
+    def captures(batches):
+        index = _Index(listed)
+        yield from batched((row for b in batches for key, i, j in zip(*(c.to_pylist() for c in b.columns)) for row in index.captures(i, j, key)), ARROW_CAPTURES)
 
     wanted = keys.select("urlkey").filter("urlkey is not null").distinct().repartitionByRange("urlkey").sortWithinPartitions("urlkey")
-    return wanted.mapInArrow(run, CAPTURES)
+    found = wanted.mapInArrow(blocks, "urlkey string, shard int, block int")
+    return found.repartition("shard", "block").sortWithinPartitions("shard", "block", "urlkey").mapInArrow(captures, CAPTURES)
 
 
 def tasks_for(captures: DataFrame, task_bytes: int = 16 << 20) -> int:

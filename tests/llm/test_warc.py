@@ -74,3 +74,13 @@ def test_url_keys(spark):
     cases = {"https://user@www.Example.com:80/a b?x=1#frag": "com,example,www)/a%20b?x=1", "http://a.b": "b,a)/", "http://a.b?q": "b,a)/?q", "no url": ")no%20url", None: ")"}
     rows = spark.createDataFrame([(u,) for u in cases], "url string").withColumn("k", warc.urlkey(F.col("url")))
     assert {r["url"]: r["k"] for r in rows.collect()} == cases
+
+
+def test_staged_folders_can_be_discarded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_FOLDERS", [])
+    staged = common.written(spark.range(5), "some")
+    assert staged.count() == 5 and len(common._FOLDERS) == 1
+    folder = common.filesystem(common._FOLDERS[0])[1]
+    common.new_folder(spark, "never-made")
+    assert common.discard() == 1 and common.discard() == 0
+    assert common.filesystem(f"file://{folder}")[0].get_file_info(folder).type == common.pafs.FileType.NotFound
