@@ -59,7 +59,11 @@ def fold(text: Column) -> Column:
     table = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
     several = _replaced(text, _ranges(map(ord, SEVERAL)), lambda c: table[c])
     folded = F.lower(F.regexp_replace(F.translate(several, "".join(ONE), "".join(ONE.values())), MARKS, ""))
-    return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(text))
+    # marks and most decompositions lie beyond Latin-1: texts without such characters take the short way
+    latin = {c: x for c, x in ONE.items() if c < "\u0100"}
+    short = F.lower(F.translate(text, "".join(latin), "".join(latin.values())))
+    fractions = "".join(c for c in SEVERAL if c < "\u0100")
+    return F.when(text.rlike(rf"[\x{{100}}-\x{{10ffff}}{fractions}]"), folded).otherwise(short)
 
 
 def normalise(text: Column) -> Column:
