@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text
@@ -27,10 +27,16 @@ def rejections(offers: DataFrame, most: int = 20) -> DataFrame:
     return offers.filter(~F.col("accepted")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(most)
 
 
+def shop_reports(offers: DataFrame, most: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Of every shop: counts by outcome, and the first accepted offers in the feed's order, with their place."""
+    first = offers.filter(outcome() == "accepted").withColumn("place", F.row_number().over(Window.partitionBy("shop_key").orderBy("seq")))
+    return offers.groupBy("shop_key", outcome().alias("outcome")).agg(F.count("*").alias("n")), first.filter(F.col("place") <= most)
+
+
 def shop_report(offers: DataFrame, shop_key: object, most: int = 25) -> tuple[DataFrame, DataFrame]:
     """Of one shop: counts by outcome, and the first accepted offers in the feed's order."""
-    own = offers.filter(F.col("shop_key") == F.lit(shop_key))
-    return own.groupBy(outcome().alias("outcome")).agg(F.count("*").alias("n")), own.filter(outcome() == "accepted").orderBy("seq").limit(most)
+    counts, first = shop_reports(offers.filter(F.col("shop_key") == F.lit(shop_key)), most)
+    return counts.drop("shop_key"), first.orderBy("place").drop("place")
 
 
 def shop_overview(log: DataFrame, shops: DataFrame, scores: DataFrame) -> DataFrame:
@@ -60,10 +66,20 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     return sets.orderBy(F.desc("matched"), F.desc(F.coalesce("release_date", F.lit("0000-00-00"))), F.desc("offer_count"), "set_name")
 
 
+def type_place(kind: Column) -> Column:
+    """Place of a product type within a set; unknown ones come last."""
+    place = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), kind)
+    return F.when(place > 0, place).otherwise(F.lit(99).cast("long"))
+
+
 def within_set(products: DataFrame) -> DataFrame:
     """Products of a set by type, unknown types last, then language."""
-    place = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("product_type"))
-    return products.orderBy("set_name", F.when(place > 0, place).otherwise(F.lit(99).cast("long")), "language")
+    return products.orderBy("set_name", type_place(F.col("product_type")), "language")
+
+
+def places_in_set(products: DataFrame) -> DataFrame:
+    """Adds each product's place within its set: by type, language, then product_key."""
+    return products.withColumn("place", F.row_number().over(Window.partitionBy("set_name").orderBy(type_place(F.col("product_type")), "language", "product_key")))
 
 
 def product_title(set_name: Column, type_label: Column, language_label: Column) -> Column:
