@@ -93,14 +93,26 @@ def cost(picks: Column) -> Column:
     return _sum(F.transform(picks, lambda o: o["price"])) + _sum(fees)
 
 
+def method(items: Column, exact: int = EXACT) -> Column:
+    """exact for at most so many assignments, else subset."""
+    return F.when(assignments(items) <= exact, "exact").otherwise("subset")
+
+
 def split(baskets: DataFrame, exact: int = EXACT, shops: int = 8) -> DataFrame:
     """(basket_id, method, total, picks) of ``gather``'s rows; of equal totals the first assignment in order of items and offers wins."""
-    few = assignments(F.col("items")) <= exact
+    few = method(F.col("items"), exact) == "exact"
     bound = F.array_min(F.transform(_obvious(F.col("items")), cost))
     tried = F.when(few, _let(bound, lambda b: _all(F.col("items"), b))).otherwise(_subsets(F.col("items"), shops))
     best = _let(tried, lambda t: _let(F.array_min(F.transform(t, lambda p, i: F.struct(_let(p, cost).alias("cost"), i.alias("i")))), lambda b: F.struct(b["cost"].alias("cost"), F.get(t, b["i"]).alias("picks"))))
     out = baskets.withColumn("_best", best)
-    return out.select("basket_id", F.when(few, "exact").otherwise("subset").alias("method"), (F.col("_best.cost") / 100).cast(money.MONEY).alias("total"), F.col("_best.picks").alias("picks"))
+    return out.select("basket_id", method(F.col("items"), exact).alias("method"), (F.col("_best.cost") / 100).cast(money.MONEY).alias("total"), F.col("_best.picks").alias("picks"))
+
+
+def cheapest(baskets: DataFrame) -> DataFrame:
+    """(basket_id, total, picks) of ``gather``'s rows: every item where it is cheapest, of equal prices the first offer, with a fee for each shop used."""
+    one = _let(_shops(F.col("items")), lambda shops: F.get(_picks(F.col("items"), F.array(shops)), F.lit(0)))
+    out = baskets.withColumn("picks", one)
+    return out.select("basket_id", (_let(F.col("picks"), cost) / 100).cast(money.MONEY).alias("total"), "picks")
 
 
 def orders(solved: DataFrame) -> DataFrame:

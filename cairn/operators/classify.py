@@ -65,9 +65,9 @@ def of_brand(norm: Column, rules: T.Rules = RULES) -> Column:
 def candidate(norm: Column, rules: T.Rules = RULES) -> Column:
     """What is left of a title when noise goes: the set's name. Numbers go unless an ordinal word stands before or after; if nothing else is left they stay."""
     edge = lambda body: rf"(?<![a-z0-9])(?:{body})(?![a-z0-9])"
-    out = F.regexp_replace(norm, edge(r"pre\s?order"), " ")
-    out = F.regexp_replace(out, edge("|".join(T.SET_CODES)), " ")
-    out = F.regexp_replace(out, edge(r"[st]\s+(?:chn|chinese|chinesisch|chino)"), " ")
+    out = F.regexp_replace(norm, edge(T.PRE_WORD), " ")
+    out = F.regexp_replace(out, edge(T.SET_CODES), " ")
+    out = F.regexp_replace(out, edge(T.SCRIPT_TAG), " ")
     words = F.filter(F.split(F.trim(out), r"\s+"), lambda w: (w != "") & ~w.isin(*rules.noise))
 
     def kept(ws: Column) -> Column:
@@ -148,7 +148,8 @@ def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     An equal alias scores 100. Else every word of the name must be, nearly, in the alias, the
     alias must be covered to 60 %, and the score be 88 or more; of several the best score,
     then coverage, then the alias's order decide. Names meet aliases by one word alone, the one that
-    fewest aliases hold: that loses nothing, for each word of the name has a partner.
+    fewest aliases hold: that loses nothing, for each word of the name has a partner. If an alias with
+    a word of the name, or one near it, scores higher without meeting these conditions, the name has no set.
     """
     wanted = staged(names.select("name").distinct().filter(F.col("name").isNotNull() & (F.col("name") != "") & has_long_word(F.col("name"))))
     exact = wanted.join(aliases.select("alias"), F.col("name") == F.col("alias")).select("name", "alias", F.lit(100).alias("score"))
@@ -164,9 +165,13 @@ def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     met = rarest.join(near, "word").join(held, "other").select("name", "alias").distinct()
     pairs = met.join(left, "name").join(near, "word").join(held, ["alias", "other"]).groupBy("name", "alias").agg(F.count_distinct("word").alias("_found"), F.count_distinct("other").alias("_covered"))
     pairs = pairs.join(n_left, "name").join(n_right, "alias").filter((F.col("_found") == F.col("_names")) & (F.col("_covered") >= COVERAGE * F.col("_aliases")))
-    scored = pairs.withColumn("score", F.floor(token_set_ratio(F.col("name"), F.col("alias"))).cast("int")).filter(F.col("score") >= SCORE)
-    w = Window.partitionBy("name").orderBy(F.desc("score"), F.desc(F.col("_covered") / F.col("_aliases")), "alias")
-    return staged(exact.unionByName(scored.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").select("name", "alias", "score")))
+    scored = staged(pairs.withColumn("_exact", token_set_ratio(F.col("name"), F.col("alias"))).withColumn("score", F.floor("_exact").cast("int")).filter(F.col("score") >= SCORE).select("name", "alias", "score", "_exact", (F.col("_covered") / F.col("_aliases")).alias("_share")))
+    # an alias that scores higher but fails a guard leaves the name without a set: only names with a partner so far meet all aliases of their words
+    rivals = scored.select("name").distinct().join(left, "name").join(near, "word").join(held, "other").select("name", "alias").distinct()
+    best = rivals.groupBy("name").agg(F.max(token_set_ratio(F.col("name"), F.col("alias"))).alias("_best"))
+    w = Window.partitionBy("name").orderBy(F.desc("_exact"), F.desc("_share"), "alias")
+    first = scored.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").join(best, "name").filter(F.col("_exact") >= F.col("_best"))
+    return staged(exact.unionByName(first.select("name", "alias", "score")))
 
 
 def match_series(names: DataFrame, aliases: DataFrame) -> DataFrame:

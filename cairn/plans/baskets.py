@@ -93,3 +93,27 @@ def basket_orders(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL + BASKET_SQL + " SELECT basket_id, product_key FROM item WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.basket_id = item.basket_id AND bo.item_pos = item.item_pos)")
 def basket_unavailable(spark: SparkSession, d: str) -> DataFrame:
     return basket.unavailable(items(spark, d), basket_offers(spark, d)).select("basket_id", "product_key")
+
+
+@query(SQL + BASKET_SQL + f", c AS (SELECT basket_id, item_pos, count(*) AS n FROM bo GROUP BY ALL) SELECT basket_id, CASE WHEN round(product(n)) <= {EXACT} THEN 'exact' ELSE 'subset' END AS method, count(*) AS items FROM c GROUP BY basket_id")
+def basket_method(spark: SparkSession, d: str) -> DataFrame:
+    """Which search each basket takes."""
+    baskets = basket.gather(basket_offers(spark, d), rules(spark, d))
+    return baskets.select("basket_id", basket.method(F.col("items"), EXACT).alias("method"), F.size("items").cast("long").alias("items"))
+
+
+@query(SQL + BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, arg_min({{'shop': shop, 'price': price, 'ship': ship, 'free_over': free_over}}, (price, offer_rank)) AS f FROM bo GROUP BY ALL),
+n AS (SELECT basket_id, row_number() OVER (PARTITION BY basket_id ORDER BY item_pos) - 1 AS item, f.shop AS shop, f.price AS price, f.ship AS ship, f.free_over AS free_over FROM c),
+s AS (SELECT basket_id, shop, ship, free_over, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, sum(price) AS sub FROM n GROUP BY ALL)
+SELECT basket_id, shop, row_number() OVER (PARTITION BY basket_id ORDER BY sub DESC, shop) AS place, items, CAST(sub AS DOUBLE) AS subtotal, CAST({FEE.format('sub', 'free_over', 'ship')} AS DOUBLE) AS shipping, CAST(CASE WHEN ship > 0 AND sub < free_over THEN free_over - sub END AS DOUBLE) AS to_free_shipping FROM s""")
+def basket_cheapest_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by shop if every item is bought where it is cheapest."""
+    rows = basket.orders(basket.cheapest(basket.gather(basket_offers(spark, d), rules(spark, d))))
+    rows = rows.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ",")).withColumn("place", F.col("place").cast("long"))
+    return num(rows, "subtotal", "shipping", "to_free_shipping")
+
+
+@query(SQL + BASKET_SQL + " SELECT basket_id, product_key FROM item WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.basket_id = item.basket_id AND bo.item_pos = item.item_pos AND shop % 4 = 0)")
+def basket_unavailable_nearby(spark: SparkSession, d: str) -> DataFrame:
+    """Items that none of a quarter of the shops has in stock."""
+    return basket.unavailable(items(spark, d), basket_offers(spark, d).filter("shop % 4 = 0")).select("basket_id", "product_key")

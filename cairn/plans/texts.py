@@ -58,7 +58,7 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "part").select(F.col("p_partkey").alias("product_key"), F.concat_ws(" ", "p_name", form).alias("title")).withColumn("norm", text.normalise(F.col("title")))
 
 
-TYPE_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(norm, '{words(t)}') THEN '{c}' END" for c, t in T.TYPES) + ", CASE WHEN regexp_matches(norm, '(^|[^a-z0-9])(caja|box|display)([^a-z0-9].*)?[^0-9](20|24|30|36) +(sobres|buste|bustine)([^a-z0-9]|$)') THEN 'booster_box' END], lambda x: x IS NOT NULL)"
+TYPE_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(norm, '{words(t)}') THEN '{c}' END" for c, t in T.TYPES) + ", CASE WHEN regexp_matches(norm, '(^|[^a-z0-9])(caja|box|display)([^a-z0-9].*)?[^0-9](20|24|30|36) +(sobres|buste|bustine)([^a-z0-9]|$)|(^|[^0-9])(20|24|30|36) +(sobres|buste|bustine)([^a-z0-9].*)?[^a-z0-9](caja|box|display)([^a-z0-9]|$)') THEN 'booster_box' END], lambda x: x IS NOT NULL)"
 
 
 @query(FORM_SQL + f"SELECT product_key, array_to_string(list_sort(list_distinct({TYPE_SQL})), ',') AS types FROM n")
@@ -120,12 +120,19 @@ def alias_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return classify.match(names, a)
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split({NORM.format('p_name')}, ' ')) AS word FROM part) SELECT w.word AS word, w.word AS other FROM w
-UNION ALL SELECT word, word || 's' FROM w WHERE length(word) >= 6""")
+# the longest common subsequence letter by letter: a row's cells are the running maximum of the row above, one more where letters are equal
+@query(f"""WITH RECURSIVE l AS (SELECT DISTINCT replace({NORM.format('p_name')}, ' ', '') AS word FROM part),
+r AS (SELECT word FROM l UNION SELECT word || 's' FROM l UNION SELECT substr(word, 2) FROM l UNION SELECT substr(word, 1, 3) || word[5] || word[4] || substr(word, 6) FROM l UNION SELECT substr(word, 1, 4) || 'zz' || substr(word, 5) FROM l),
+p AS (SELECT l.word AS word, r.word AS other FROM l, r WHERE length(l.word) >= 6 AND length(r.word) >= 6),
+lcs AS (SELECT word, other, 0 AS i, list_transform(range(length(other) + 1), lambda j: 0) AS cells FROM p
+  UNION ALL SELECT word, other, i + 1, list_prepend(0, list_transform(range(1, length(other) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN word[i + 1] = other[k] THEN cells[k] + 1 ELSE cells[k + 1] END)))) FROM lcs WHERE i < length(word))
+SELECT word, other FROM lcs WHERE i = length(word) AND 200 * cells[-1] >= 90 * (length(word) + length(other)) UNION SELECT l.word, r.word FROM l, r WHERE l.word = r.word""")
 def near_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words against themselves and their plurals."""
-    w = tables.table(spark, d, "part").select(F.explode(F.split(text.normalise(F.col("p_name")), " ")).alias("word")).distinct()
-    return classify.near_words(w, w.unionByName(w.filter(F.length("word") >= 6).select(F.concat(F.col("word"), F.lit("s")).alias("word"))))
+    """Names without blanks against themselves and others with a letter more, one less, two exchanged, two inserted."""
+    w = tables.table(spark, d, "part").select(F.replace(text.normalise(F.col("p_name")), F.lit(" "), F.lit("")).alias("word")).distinct()
+    at = lambda n, m=100: F.substring("word", n, m)
+    forms_of = F.array("word", F.concat("word", F.lit("s")), at(2), F.concat(at(1, 3), at(5, 1), at(4, 1), at(6)), F.concat(at(1, 4), F.lit("zz"), at(5)))
+    return classify.near_words(w, w.select(F.explode(forms_of).alias("word")))
 
 
 @query(None)
@@ -134,11 +141,14 @@ def classify_titles(spark: SparkSession, d: str) -> DataFrame:
     return classify.classify(forms(spark, d).select("title"), aliases(spark, d))
 
 
-@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS href FROM pages),
-u AS (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS host FROM l)
-SELECT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || href
+LINK_SQL = """CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || href
  WHEN href LIKE '/%' THEN host || href WHEN href LIKE '#%' THEN regexp_replace(url, '#.*$', '') || href WHEN href LIKE '?%' THEN regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') || href
- ELSE host || coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || href END AS link, count(*) AS n FROM u GROUP BY ALL""")
+ ELSE host || coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || href END"""
+HOST_SQL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS host"
+
+
+@query(f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS href FROM pages),
+u AS (SELECT *, {HOST_SQL} FROM l) SELECT page_id, {LINK_SQL} AS link, count(*) AS n FROM u GROUP BY ALL""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*?href="([^"]*)"'), F.lit(1))).alias("href"))
     return rows.groupBy("page_id", text.absolute(F.col("href"), F.col("url")).alias("link")).agg(F.count("*").alias("n"))
@@ -147,7 +157,18 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 ARTICLE = feeds.Listing(blocks=(r"(?s)<body>.*</body>",), title=(r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<a [^>]*>(.*?)</a>"), href=(r'<a [^>]*?href="([^"]*)"',), price=(r"(?s)^(.*)$",))
 
 
-@query(None)
+def plain_sql(html: str) -> str:
+    """Text without tags, and with the entities of the pages decoded."""
+    out = f"trim(regexp_replace(regexp_replace({html}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    for entity, char in (("&nbsp;", 160), ("&quot;", 34), ("&#39;", 39), ("&lt;", 60), ("&gt;", 62), ("&copy;", 169), ("&middot;", 183), ("&amp;", 38)):
+        out = f"replace({out}, '{entity}', chr({char}))"
+    return f"trim({out})"
+
+
+@query(f"""WITH b AS (SELECT page_id, url, {HOST_SQL}, regexp_extract(html, '(?s)<body>.*</body>') AS block FROM pages),
+f AS (SELECT *, coalesce(nullif(regexp_extract(block, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(block, '(?s)<a [^>]*>(.*?)</a>', 1)) AS head, regexp_extract(block, '<a [^>]*?href="([^"]*)"', 1) AS href, {plain_sql('block')} AS said FROM b),
+p AS (SELECT *, {plain_sql('head')} AS title, TRY_CAST(replace(regexp_replace(regexp_extract(replace(said, chr(160), ' '), '(\\d[\\d.\\s]*(?:,\\d{{1,2}})?)', 1), '[\\s.]', '', 'g'), ',', '.') AS DOUBLE) AS amount FROM f)
+SELECT page_id, 0 AS seq, title, {LINK_SQL} AS url, amount, NOT regexp_matches(lower(said), '{"|".join(feeds.Listing.sold_out)}') AS in_stock FROM p WHERE title <> '' AND href <> '' AND amount > 0""")
 def page_listing(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of all pages with a title, a link and a number, read as offers."""
     return feeds.listing(tables.table(spark, d, "pages"), ARTICLE)
@@ -169,8 +190,7 @@ def entity_decode(spark: SparkSession, d: str) -> DataFrame:
 def fx_last_obs(spark: SparkSession, d: str) -> DataFrame:
     """Each event type's last value, as a rate series gives each currency's."""
     series = tables.table(spark, d, "events").select(F.col("event_type").alias("currency"), F.col("ts").alias("period"), F.col("value").cast("string").alias("value"))
-    value = F.col("value").try_cast("double")
-    return series.withColumn("value", value).filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("currency").agg(F.max("period").alias("period"), F.max_by("value", "period").alias("value"))
+    return feeds.observations(series)
 
 
 @query("SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")

@@ -82,8 +82,9 @@ TYPES = (
     )),
 )
 BOX_TYPE, ELITE_TYPE, CENTER_TYPE = "booster_box", "etb", "etb_pc"
+# A box of the elite type with one of these is one of the centre.
 CENTER_WORDS = ("pokemon center", "pokemoncenter", "pokemon center etb", "pc etb")
-#: A box word and a full count of packs, in either order.
+# A box word and a full count of packs, in either order.
 PACK_BOX = r"(?<![a-z0-9])(?:caja|box|display)(?![a-z0-9])"
 PACK_COUNT = r"(?<![0-9])(?:20|24|30|36)\s+(?:sobres|buste|bustine)(?![a-z0-9])"
 
@@ -98,6 +99,7 @@ LANGUAGES = (
     ("it", ("italian", "italiensk", "italienisch", "italiaans", "italiano", "italien", "ita")),
     ("en", ("english", "engelsk", "englisch", "engels", "engelska", "ingles", "inglese", "anglais", "eng")),
 )
+# Codes that a tag or a last word may give, and languages that an alias may give.
 CODES = ("de", "fr", "es", "it", "en")
 ALIAS_LANGUAGES = ("de", "fr", "es", "it")
 
@@ -115,10 +117,14 @@ NOISE = (
     "sword", "shield", "schwert", "schild", "zwaard", "svard", "skold",
 )
 
-# Set codes that shops add to a name.
-SET_CODES = (r"c?s(?:v|wsh|m)?\d{1,2}[a-z]?c?", r"c?bb?\d{1,2}c?", r"kp\d{1,2}", r"m\d{1,2}[a-z]?", r"mbe?\d{1,2}", r"\d{2,3}thc", r"ev\d{1,2}", r"xy\d{1,2}", r"bw\d{1,2}", r"\d{2,3}c")
+# Patterns of what goes from a title before its words: set codes that shops add to a name, pre-order words, tags of a script.
+SET_CODES = r"c?s(?:v|wsh|m)?\d{1,2}[a-z]?c?|c?bb?\d{1,2}c?|kp\d{1,2}|m\d{1,2}[a-z]?|mbe?\d{1,2}|\d{2,3}thc|ev\d{1,2}|xy\d{1,2}|bw\d{1,2}|\d{2,3}c"
+PRE_WORD = r"pre\s?order"
+SCRIPT_TAG = r"[st]\s+(?:chn|chinese|chinesisch|chino)"
+# Words before or after which a number belongs to the name.
 ORDINAL_LEAD = ("vol", "volume", "nr", "no", "part", "serie", "series", "gen")
 ORDINAL_TRAIL = ("jahre", "anniversario", "aniversario", "anniversary", "anniversaire")
+# Names of series that may stand before a set's name.
 SERIES = (
     "heartgold soulsilver", "diamond and pearl", "diamond pearl", "black and white", "black white", "sun and moon", "sun moon", "sword and shield", "sword shield",
     "scarlet and violet", "scarlet violet", "mega evolution", "platinum", "xy",

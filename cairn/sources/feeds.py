@@ -102,14 +102,19 @@ def select_shops(shops: DataFrame, keys: list[str] | None) -> DataFrame:
     return shops.filter(F.col("shop_key").isin(keys))
 
 
+def observations(series: DataFrame) -> DataFrame:
+    """(currency, period, value): each currency's last observation of a series with values as text; blank ones and NaN don't count."""
+    value = F.col("value").try_cast("double")
+    return series.withColumn("value", value).filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("currency").agg(F.max("period").alias("period"), F.max_by("value", "period").alias("value"))
+
+
 def last_rates(series: DataFrame, cached: DataFrame | None = None, base: str = "DKK") -> DataFrame:
     """(currency, period, factor, stale): each currency's last observation as units per euro, turned to base currency per unit.
 
     ``series`` has currency, period and value as text; blank and NaN observations don't count. Without an
     observation of the base currency the cached rates (currency, period, value) stand in, flagged stale.
     """
-    value = F.col("value").try_cast("double")
-    fresh = series.withColumn("value", value).filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("currency").agg(F.max("period").alias("period"), F.max_by("value", "period").alias("value"))
+    fresh = observations(series)
     rows = fresh.withColumn("stale", F.lit(False))
     if cached is not None:
         has = fresh.filter(F.col("currency") == base).select(F.lit(1).alias("_has"))

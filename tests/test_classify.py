@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text
 from cairn.operators import classify
 
+# Titles, names of sets and the results that must come out of them.
 SETS = [
     ("sv08", "Surging Sparks", "en"), ("sv08", "Rivalen am Abgrund", "de"), ("sv08.5", "Prismatic Evolutions", "en"), ("sv09", "Journey Together", "en"), ("sv10", "Destined Rivals", "en"), ("sv07", "Stellar Crown", "en"),
     ("sv06.5", "Shrouded Fable", "en"), ("sv03.5", "151", "en"), ("m3", "Nihil Zero", "en"), ("cel30", "30th Celebration", "en"), ("tf", "Terastal Festival", "en"), ("sv06", "Twilight Masquerade", "en"), ("meg", "Mega Evolution", "en"),
@@ -163,3 +164,9 @@ def test_names_match_by_their_rarest_word(spark):
     got = {r["name"]: r["alias"] for r in classify.match(spark.createDataFrame([(n,) for n in names], "name string"), aliases).collect()}
     assert got["storm common"] == "common storm" and got["zenith crown common"] == "common crown zenith" and got["harbour lights"] == "quiet harbour lights"
     assert "common nothing" not in got and "harbour" not in got and "emeralda" not in got
+
+
+def test_a_higher_score_without_the_conditions_leaves_a_name_without_set(spark):
+    aliases = spark.createDataFrame([("mega evolution",), ("mega evolution perfect orderings",), ("quiet harbour orderings",)], "alias string")
+    names = spark.createDataFrame([("mega evolution perfect ordering",), ("quiet harbour ordering",)], "name string")
+    assert {r["name"]: r["alias"] for r in classify.match(names, aliases).collect()} == {"quiet harbour ordering": "quiet harbour orderings"}
