@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import sharding, substrings
 from .arrow_sequences import op3_arrow_sequences
 from .media import op1_media
 from .mixing import op6_mixing
@@ -16,11 +16,12 @@ from .quality_model import op2_quality_model
 from .quality_rules import op9_quality_rules
 from .secrets import op5_secrets
 from .sharding import op10_sharding
+from .substrings import op13_substring_dedup
 from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_media, op2_quality_model, op3_arrow_sequences, op4_packing, op5_secrets, op6_mixing, op7_ngram_join, op8_warc, op9_quality_rules, op10_sharding)
+    for q in (op1_media, op2_quality_model, op3_arrow_sequences, op4_packing, op5_secrets, op6_mixing, op7_ngram_join, op8_warc, op9_quality_rules, op10_sharding, op13_substring_dedup)
 }
 
 def _sharding_sql() -> str:
@@ -34,6 +35,7 @@ def _sharding_sql() -> str:
 #: The other queries are tested against brute force, round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op10_sharding": _sharding_sql(),
+    "op13_substring_dedup": substrings.SQL,
     "op8_warc": """
         WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
