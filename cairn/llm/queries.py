@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, substrings
+from . import collocations, sharding, substrings, turn_trie
 from .arrow_sequences import op3_arrow_sequences
+from .collocations import op11_collocations
 from .media import op1_media
 from .mixing import op6_mixing
 from .ngram_join import op7_ngram_join
@@ -17,11 +18,12 @@ from .quality_rules import op9_quality_rules
 from .secrets import op5_secrets
 from .sharding import op10_sharding
 from .substrings import op13_substring_dedup
+from .turn_trie import op12_turn_trie
 from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_media, op2_quality_model, op3_arrow_sequences, op4_packing, op5_secrets, op6_mixing, op7_ngram_join, op8_warc, op9_quality_rules, op10_sharding, op13_substring_dedup)
+    for q in (op1_media, op2_quality_model, op3_arrow_sequences, op4_packing, op5_secrets, op6_mixing, op7_ngram_join, op8_warc, op9_quality_rules, op10_sharding, op11_collocations, op12_turn_trie, op13_substring_dedup)
 }
 
 def _sharding_sql() -> str:
@@ -35,6 +37,8 @@ def _sharding_sql() -> str:
 #: The other queries are tested against brute force, round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op10_sharding": _sharding_sql(),
+    "op11_collocations": collocations.SQL,
+    "op12_turn_trie": turn_trie.SQL,
     "op13_substring_dedup": substrings.SQL,
     "op8_warc": """
         WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
