@@ -7,9 +7,10 @@ with the smallest hash, so that equal windows of any two documents name equal ru
    however common a run is);
 2. what is left is the fragments around recurring runs: the windows that name one run. Equal
    fragments become one, with the smallest and largest doc_id;
-3. fragments are dealt out by their run. A task confirms which windows recur in different
-   documents, compiles them into an Aho-Corasick automaton over words, and streams its
-   fragments through: each window found gets the smallest doc_id that has it;
+3. fragments are dealt out by their run. A task confirms which phrases recur in different
+   documents (whole fragments, or single windows where fragments of a run differ), compiles
+   them into an Aho-Corasick automaton over words, and streams its fragments through: each window
+   of an occurrence gets the smallest doc_id that has it;
 4. documents take up what was found in their fragments, and drop covered words.
 
 No window is lost between shards, since equal windows have the same run. Runs with more than
@@ -31,8 +32,8 @@ from . import common
 from .words import Words, smallest
 
 WINDOW, RUN = 13, 7
-#: Different fragments of one run up to which one automaton holds them, and nodes of an automaton about which it is closed.
-CROWD, NODES = 2_000, 300_000
+#: Different fragments of one run up to which one automaton holds them, and bytes of fragments after which it is closed.
+CROWD, BYTES = 2_000, 1 << 20
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -122,53 +123,73 @@ def passages(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return _named(docs).join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(each, "run long, fragment long, doc_id long, words binary")
 
 
-def _confirmed(group: list[list[bytes]], low: list[int], high: list[int]) -> dict[tuple, int]:
-    """The windows of the fragments that different documents have, as numbers of words, with the smallest doc_id."""
+def _confirmed(group: list[list[int]], run: list[int], low: list[int], high: list[int]) -> dict[tuple, tuple[int, int]]:
+    """Recurring phrases, as numbers of words, with the smallest doc_id that has them and their number of windows.
+
+    Where a run has one fragment alone, all that is in it recurs or nothing. Else its windows are confirmed one by one.
+    """
+    phrases: dict[tuple, tuple[int, int]] = {}
     seen: dict[tuple, list[int]] = {}
-    for words, a, z in zip(group, low, high):
-        for j in range(len(words) - WINDOW + 1):
-            w = tuple(words[j : j + WINDOW])
-            if (s := seen.get(w)) is None:
-                seen[w] = [a, z]
-            else:
-                s[0], s[1] = min(s[0], a), max(s[1], z)
-    return {w: a for w, (a, z) in seen.items() if a < z}
-
-
-def _searched(texts: list[bytes], low: list[int], high: list[int]) -> list[list[int | None]]:
-    """For each window of each fragment the smallest doc_id that has it; null for windows of one document alone."""
+    for i, (words, r, a, z) in enumerate(zip(group, run, low, high)):
+        if (i and run[i - 1] == r) or (i + 1 < len(run) and run[i + 1] == r):
+            for j in range(len(words) - WINDOW + 1):
+                w = tuple(words[j : j + WINDOW])
+                if (s := seen.get(w)) is None:
+                    seen[w] = [a, z]
+                else:
+                    s[0], s[1] = min(s[0], a), max(s[1], z)
+        elif a < z:
+            phrases[tuple(words)] = a, len(words) - WINDOW + 1
+    phrases.update((w, (a, 1)) for w, (a, z) in seen.items() if a < z)
+    return phrases
+
+
+def _searched(texts: list[bytes], run: list[int], low: list[int], high: list[int]) -> list[list[int | None]]:
+    """For each window of each fragment the smallest doc_id that has it; null for windows of one document alone. Fragments come in order of run."""
     numbers: dict[bytes, int] = {}
     group = [[numbers.setdefault(w, len(numbers)) for w in t.split(b" ")] for t in texts]
-    phrases = _confirmed(group, low, high)
+    phrases = _confirmed(group, run, low, high)
     out: list[list[int | None]] = [[None] * (len(words) - WINDOW + 1) for words in group]
     if phrases:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, a in phrases.items():
-            automaton.add_word(w, a)
+        for w, value in phrases.items():
+            automaton.add_word(w, value)
         automaton.make_automaton()
         for words, found in zip(group, out):
-            for end, a in automaton.iter(tuple(words)):
-                found[end - WINDOW + 1] = a
+            for end, (a, n) in automaton.iter(tuple(words)):
+                last = end - WINDOW + 2
+                found[last - n : last] = [a] * n
     return out
 
 
-def located(distinct: DataFrame) -> DataFrame:
-    """(run, fragment, least): of each of the fragment's windows the smallest doc_id that has it. ``distinct`` has run, fragment, words, low and high; no run has very many rows."""
+def located(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(run, fragment, least): of each of the fragment's windows the smallest doc_id that has it. ``distinct`` has run, fragment, words, low and high.
+
+    Runs with more than ``crowd`` fragments are left to ``crowded``: they give one row with nulls.
+    """
     out = pa.schema([("run", pa.int64()), ("fragment", pa.int64()), ("least", pa.list_(pa.int64()))])
 
     def search(t: pa.Table):
-        low, high, texts = t.column("low").to_pylist(), t.column("high").to_pylist(), t.column("words").to_pylist()
-        run = t.column("run").to_numpy()
-        ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)).tolist()
-        sizes = np.cumsum([len(x) for x in texts])  # a window has about 13 nodes for 80 bytes, and stands in a few positions
+        run, texts = t.column("run").to_numpy(), t.column("words").to_pylist()
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        sizes = np.diff(np.append(starts, len(run)))
+        many = np.repeat(sizes > crowd, sizes)
+        if many.any():
+            one = run[starts[sizes > crowd]]
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.nulls(len(one), pa.int64()), pa.nulls(len(one), out.field("least").type)], schema=out)
+            t = t.filter(pa.array(~many))
+            yield from search(t.combine_chunks()) if t.num_rows else ()
+            return
+        low, high, runs = t.column("low").to_pylist(), t.column("high").to_pylist(), run.tolist()
+        total = np.cumsum([len(x) for x in texts])
+        ends = np.append(starts[1:], len(run)).tolist()
         at = 0
-        while at < len(texts):
-            to = next((e for e in ends if e > at and sizes[e - 1] - (sizes[at - 1] if at else 0) > NODES), len(texts))
-            ends = [e for e in ends if e > to]
-            least = _searched(texts[at:to], low[at:to], high[at:to])
-            part = t.slice(at, to - at)
-            yield pa.RecordBatch.from_arrays([part.column("run").combine_chunks(), part.column("fragment").combine_chunks(), pa.array(least, pa.list_(pa.int64()))], schema=out)
-            at = to
+        for to in ends:  # an automaton is closed after some bytes, between runs
+            if to == len(texts) or total[to - 1] - (total[at - 1] if at else 0) > BYTES:
+                least = _searched(texts[at:to], runs[at:to], low[at:to], high[at:to])
+                part = t.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([part.column("run").combine_chunks(), part.column("fragment").combine_chunks(), pa.array(least, pa.list_(pa.int64()))], schema=out)
+                at = to
 
     def each(batches):
         held: pa.Table | None = None
@@ -180,7 +201,7 @@ def located(distinct: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(run, run[-1]))  # the last run may go on in the next batch
             if cut:
                 yield from search(t.slice(0, cut).combine_chunks())
-            held = t.slice(cut)
+            held = t.slice(cut, crowd + 1)  # one more than an automaton takes tells enough
         if held is not None and held.num_rows:
             yield from search(held.combine_chunks())
 
@@ -202,8 +223,9 @@ def marks(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, found): of each document with words to remove its fragments, each with the windows of it that a smaller doc_id has, as bits."""
     rows = common.written(passages(docs, common.written(recurring(docs), "runs")), "passages")
     distinct = common.written(rows.groupBy("run", "fragment", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "fragments")
-    many = distinct.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("run")
-    least = common.written(located(distinct.join(many, "run", "left_anti")).unionByName(crowded(distinct.join(many, "run", "left_semi"))), "least")
+    least = common.written(located(distinct, crowd), "least")
+    many = common.written(least.filter("fragment is null").select("run").distinct(), "crowds")
+    least = least.unionByName(crowded(distinct.join(many, "run", "left_semi")))
     least = least.filter(F.exists("least", lambda a: a.isNotNull()))
     bits = sum((F.when(F.get("least", F.lit(j)) < F.col("doc_id"), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(WINDOW - RUN + 1)), F.lit(0))
     found = rows.select("run", "fragment", "doc_id").join(least, ["run", "fragment"]).select("doc_id", "fragment", bits.alias("bits")).filter("bits > 0")
