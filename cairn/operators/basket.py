@@ -1,12 +1,15 @@
 """Cheapest split of many baskets over shops, one shipping fee for each shop used.
 
-A basket's offers become one row of arrays (one shuffle by basket), and the search over
-its assignments is array functions on that row. Where the assignments are at most ``exact``
-the search is exact: item by item all offers are tried, and what can't come under the best
-of the obvious answers (every item where it is cheapest, or all from one shop) even with
-the cheapest rest and no fees is left out. Beyond, the assignments that take each item's
-cheapest offer within a set of shops: all shops, every single shop and all subsets of the
-``shops`` most useful ones, so that the split is never dearer than the obvious answers.
+A basket's offers become one row of arrays (one shuffle by basket), and the search is array
+functions on that row. It goes item by item. A label is a set of shops used, with each one's
+subtotal up to its free-shipping threshold: of all ways to come to one label only the cheapest
+lives, and a label goes if even the cheapest rest, with all fees gone that can still go, doesn't
+come under the best answer known. That is exact, and takes as many assignments as there are as long as
+few labels live.
+
+Where more than ``LABELS`` live, a local search comes first, from the obvious answers (every item where it is cheapest,
+or all from one shop): it moves one item, or empties one shop into the others, until nothing gains. Its
+answer is a closer bound for a second search with more labels; beyond those it is the split.
 Amounts are whole cents inside.
 """
 
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions import money
 
-#: Assignments up to which all are tried.
+#: Assignments up to which a search of all of them is small.
 EXACT = 50_000
+#: Labels that may live in the first search and in the second, and rounds of the local search.
+LABELS, MORE_LABELS, ROUNDS = 1_000, 8_000, 100
 PICK = "array<struct<offer_rank:int,shop:bigint,price:bigint,ship:bigint,free_over:bigint>>"
 
 
@@ -39,47 +44,36 @@ def gather(offers: DataFrame, shops: DataFrame) -> DataFrame:
     return items.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("item_pos", "offers"))).alias("items"))
 
 
+def gather_products(items: DataFrame, offers: DataFrame, shops: DataFrame) -> DataFrame:
+    """As ``gather``, from items (basket_id, item_pos, product_key) and offers (product_key, offer_rank, shop, price): offers are gathered once for each product, and join as one array."""
+    cents = lambda c: (F.col(c) * 100).cast("bigint")
+    known = offers.join(shops.select(F.col("shop_key").alias("shop"), cents("ship").alias("ship"), cents("free_over").alias("free_over")), "shop")
+    own = F.struct(F.col("offer_rank").cast("int").alias("offer_rank"), F.col("shop").cast("bigint").alias("shop"), cents("price").alias("price"), "ship", "free_over")
+    products = known.groupBy("product_key").agg(F.array_sort(F.collect_list(own)).cast(PICK).alias("offers"))
+    return items.join(products, "product_key").groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("item_pos", "offers"))).alias("items"))
+
+
 def assignments(items: Column) -> Column:
     """Number of assignments; at most 10 ** 12, so that it can't overflow."""
     return F.aggregate(items, F.lit(1).cast("bigint"), lambda a, x: F.least(F.lit(10**12).cast("bigint"), a * F.size(x["offers"])))
 
 
-def _all(items: Column, bound: Column) -> Column:
-    """All assignments, in order of items and offers, whose prices alone don't exceed ``bound``."""
-    least = lambda x: F.array_min(F.transform(x["offers"], lambda o: o["price"]))
-    rest = F.transform(items, lambda x, i: F.struct(x["offers"].alias("offers"), _sum(F.transform(F.slice(items, i + 2, F.size(items)), least)).alias("rest")))
-    start = F.array(F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast(PICK).alias("picks")))
-
-    def add(acc: Column, x: Column) -> Column:
-        more = lambda s: F.transform(F.filter(x["offers"], lambda o: s["sum"] + o["price"] + x["rest"] <= bound), lambda o: F.struct((s["sum"] + o["price"]).alias("sum"), F.concat(s["picks"], F.array(o)).alias("picks")))
-        return F.flatten(F.transform(acc, more))
-
-    return F.transform(F.aggregate(rest, start, add), lambda s: s["picks"])
-
+def _first(offers: Column) -> Column:
+    """The cheapest offer; of equal prices the first."""
+    return F.array_min(F.transform(offers, lambda o: F.struct(o["price"].alias("p"), o["offer_rank"].alias("r"), o.alias("o"))))["o"]
 
-def _picks(items: Column, sets: Column) -> Column:
-    """For each set of shops that can supply every item, each item's cheapest offer within it; of equal prices the first."""
-    cheapest = lambda x, s: F.array_min(F.transform(F.filter(x["offers"], lambda o: F.array_contains(s, o["shop"])), lambda o: F.struct(o["price"].alias("p"), o["offer_rank"].alias("r"), o.alias("o"))))["o"]
-    picks = F.transform(sets, lambda s: F.transform(items, lambda x: cheapest(x, s)))
-    return F.filter(picks, lambda p: ~F.exists(p, lambda o: o.isNull())).cast(f"array<{PICK}>")
 
-
-def _shops(items: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(items, lambda x: F.transform(x["offers"], lambda o: o["shop"]))))
+def _cheapest(items: Column) -> Column:
+    """Every item where it is cheapest."""
+    return F.transform(items, lambda x: _first(x["offers"])).cast(PICK)
 
 
 def _obvious(items: Column) -> Column:
     """Every item where it is cheapest, and all from each shop that has them all."""
-    return _let(_shops(items), lambda shops: _picks(items, F.concat(F.array(shops), F.transform(shops, lambda s: F.array(s)))))
-
-
-def _subsets(items: Column, most: int) -> Column:
-    """Assignments of the sets of shops that can supply every item."""
-    has = lambda x, s: F.exists(x["offers"], lambda o: o["shop"] == s)
-    useful = lambda shops: F.slice(F.transform(F.array_sort(F.transform(shops, lambda s: F.struct((-F.size(F.filter(items, lambda x: has(x, s)))).alias("n"), s.alias("s")))), lambda e: e["s"]), 1, most)
-    masks = lambda top: F.transform(F.sequence(F.lit(1), F.lit(2**most - 1)), lambda m: F.filter(top, lambda s, i: F.floor(m / F.pow(F.lit(2.0), i)).cast("int") % 2 == 1))
-    sets = lambda shops: F.array_distinct(F.concat(F.array(shops), F.transform(shops, lambda s: F.array(s)), _let(useful(shops), masks)))
-    return _let(_shops(items), lambda shops: _picks(items, sets(shops)))
+    own = F.transform(items, lambda x: F.transform(x["offers"], lambda o: o["shop"]))
+    full = F.aggregate(own, F.array_distinct(F.get(own, F.lit(0))), lambda a, shops: F.array_intersect(a, shops))
+    single = F.transform(full, lambda s: F.transform(items, lambda x: _first(F.filter(x["offers"], lambda o: o["shop"] == s))).cast(PICK))
+    return F.concat(F.array(_cheapest(items)), single)
 
 
 def _fee(subtotal: Column, ship: Column, free_over: Column) -> Column:
@@ -94,24 +88,114 @@ def cost(picks: Column) -> Column:
 
 
 def method(items: Column, exact: int = EXACT) -> Column:
-    """exact for at most so many assignments, else subset."""
-    return F.when(assignments(items) <= exact, "exact").otherwise("subset")
+    """exact for at most so many assignments, else large."""
+    return F.when(assignments(items) <= exact, "exact").otherwise("large")
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+LABEL = "array<struct<shop:bigint,sub:bigint,may:bigint>>"
+
+
+def _labels(items: Column, bound: Column, limit: int) -> Column:
+    """(cost, picks) of the cheapest assignment of at most ``bound``, the first in order of items and offers; null if more than ``limit`` labels lived. picks are places of offers.
 
+    A label's shops come with the subtotal up to the threshold (0 where there is none) and the fee that may still go.
+    """
+    least = F.transform(items, lambda x: F.array_min(F.transform(x["offers"], lambda o: o["price"])))
+    # offers so dear that even the cheapest rest doesn't come under the bound go at once
+    near = lambda x, over: F.filter(F.transform(x["offers"], lambda o, j: F.struct(o.alias("o"), j.alias("j"))), lambda e: e["o"]["price"] + over <= bound)
+    step = lambda x, i, ls: _let(_sum(ls) - F.get(ls, i), lambda over: F.struct(near(x, over).alias("near"), _sum(F.slice(ls, i + 2, F.size(ls))).alias("rest")))
+    steps = _let(least, lambda ls: F.transform(items, lambda x, i: step(x, i, ls)))
+    start = F.array(F.struct(F.array().cast(LABEL).alias("key"), _zero().alias("cost"), F.array().cast("array<int>").alias("picks")))
+
+    def next_label(s: Column, e: Column) -> Column:
+        o = e["o"]
+        have = F.get(F.filter(s["key"], lambda k: k["shop"] == o["shop"]), F.lit(0))
+        ship, free = F.coalesce(o["ship"], _zero()), o["free_over"]
+        sub = F.when(free.isNull(), _zero()).otherwise(F.least(free, F.coalesce(have["sub"], _zero()) + o["price"]))
+        fee = lambda v: F.when(free.isNotNull() & (v >= free), _zero()).otherwise(ship)
+        paid = F.when(have.isNull(), _zero()).otherwise(fee(have["sub"]))
+        may = lambda v: F.when(free.isNotNull() & (v < free), ship).otherwise(_zero())
+        return F.struct(s.alias("s"), e["j"].alias("j"), o["shop"].alias("shop"), sub.alias("sub"), may(sub).alias("may"), (s["cost"] + o["price"] + fee(sub) - paid).alias("cost"))
+
+    def grown(n: Column) -> Column:
+        others = F.filter(n["s"]["key"], lambda k: k["shop"] != n["shop"])
+        own = F.struct(n["shop"].alias("shop"), n["sub"].alias("sub"), n["may"].alias("may"))
+        return F.struct(F.array_sort(F.concat(others, F.array(own))).alias("key"), n["cost"].alias("cost"), F.concat(n["s"]["picks"], F.array(n["j"])).alias("picks"))
+
+    def add(acc: Column, x: Column) -> Column:
+        more = F.flatten(F.transform(acc, lambda s: F.transform(x["near"], lambda e: next_label(s, e))))
+        alive = F.filter(F.transform(more, grown), lambda s: s["cost"] - _sum(F.transform(s["key"], lambda k: k["may"])) + x["rest"] <= bound)
+        # sorted by label, then cost and picks: the first of each label lives
+        best = _let(F.array_sort(alive), lambda t: F.filter(t, lambda s, i: (i == 0) | (F.get(t, i - 1)["key"] != s["key"])))
+        return F.when(F.size(acc) <= limit, best)
+
+    found = F.aggregate(steps, start, add)
+    return _let(found, lambda t: F.when(F.size(t) <= limit, F.array_min(F.transform(t, lambda s: F.struct(s["cost"].alias("cost"), s["picks"].alias("picks"))))))
+
+
+def _charge(picks: Column, o: Column) -> Column:
+    """The fee of o's shop, 0 if no pick is from there."""
+    own = F.filter(picks, lambda p: p["shop"] == o["shop"])
+    return F.when(F.size(own) == 0, _zero()).otherwise(_fee(_sum(F.transform(own, lambda p: p["price"])), o["ship"], o["free_over"]))
+
+
+def _improved(items: Column, starts: Column) -> Column:
+    """(cost, picks) of the best answer that the local search comes to from any of the starts."""
+    moves = F.flatten(F.transform(items, lambda x, i: F.transform(x["offers"], lambda o: F.struct(i.alias("i"), o.alias("o")))))
+    state = lambda picks, cost_: F.struct(picks.cast(PICK).alias("picks"), cost_.alias("cost"))
+
+    def move(s: Column, m: Column) -> Column:
+        old, new = F.get(s["picks"], m["i"]), m["o"]
+        moved = F.transform(s["picks"], lambda p, i: F.when(i == m["i"], new).otherwise(p))
+        both = lambda picks: _charge(picks, old) + F.when(old["shop"] == new["shop"], _zero()).otherwise(_charge(picks, new))
+        after = _let(moved, lambda picks: state(picks, s["cost"] - old["price"] + new["price"] - both(s["picks"]) + both(picks)))
+        return _let(after, lambda a: F.when(a["cost"] < s["cost"], a).otherwise(s))
 
-def split(baskets: DataFrame, exact: int = EXACT, shops: int = 8) -> DataFrame:
-    """(basket_id, method, total, picks) of ``gather``'s rows; of equal totals the first assignment in order of items and offers wins."""
-    few = method(F.col("items"), exact) == "exact"
-    bound = F.array_min(F.transform(_obvious(F.col("items")), cost))
-    tried = F.when(few, _let(bound, lambda b: _all(F.col("items"), b))).otherwise(_subsets(F.col("items"), shops))
-    best = _let(tried, lambda t: _let(F.array_min(F.transform(t, lambda p, i: F.struct(_let(p, cost).alias("cost"), i.alias("i")))), lambda b: F.struct(b["cost"].alias("cost"), F.get(t, b["i"]).alias("picks"))))
+    def empty(used: Column):
+        def drop(s: Column, shop: Column) -> Column:
+            other = lambda i: F.array_min(F.transform(F.filter(F.get(items, i)["offers"], lambda o: (o["shop"] != shop) & F.array_contains(used, o["shop"])), lambda o: F.struct(o["price"].alias("p"), o["offer_rank"].alias("r"), o.alias("o"))))["o"]
+            moved = F.transform(s["picks"], lambda p, i: F.when(p["shop"] == shop, other(i)).otherwise(p))
+            return _let(moved, lambda t: F.when(F.exists(t, lambda o: o.isNull()), s).otherwise(_let(cost(t), lambda c: F.when(c < s["cost"], state(t, c)).otherwise(s))))
+
+        return drop
+
+    def round_(s: Column, _: Column) -> Column:
+        def emptied(a: Column) -> Column:
+            return _let(F.array_distinct(F.transform(a["picks"], lambda p: p["shop"])), lambda used: F.aggregate(used, a, empty(used)))
+
+        after = lambda: _let(F.aggregate(moves, s["s"], move), emptied)
+        return F.when(s["done"], s).otherwise(_let(after(), lambda a: F.struct(a.alias("s"), (a["cost"] >= s["s"]["cost"]).alias("done"))))
+
+    def settled(picks: Column) -> Column:
+        begin = F.struct(state(picks, cost(picks)).alias("s"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, round_)["s"]
+
+    ends = F.transform(starts, settled)
+    return F.array_min(F.transform(ends, lambda s, i: F.struct(s["cost"].alias("cost"), i.alias("i"), s["picks"].alias("picks"))))
+
+
+def split(baskets: DataFrame, labels: int = LABELS, more: int = MORE_LABELS) -> DataFrame:
+    """(basket_id, method, total, picks) of ``gather``'s rows.
+
+    method is exact, or local where too many labels lived for the exact search. Of equal exact
+    totals the first assignment in order of items and offers wins.
+    """
+    items = F.col("items")
+    chosen = lambda found: F.struct(F.lit("exact").alias("method"), found["cost"].alias("cost"), F.zip_with(items, found["picks"], lambda x, j: F.get(x["offers"], j)).cast(PICK).alias("picks"))
+    known = lambda found: F.when(found.isNotNull(), chosen(found))
+    second = lambda near: F.coalesce(_let(_labels(items, near["cost"], more), known), F.struct(F.lit("local").alias("method"), near["cost"].alias("cost"), near["picks"].alias("picks")))
+    best = _let(_obvious(items), lambda starts: F.coalesce(_let(_labels(items, F.array_min(F.transform(starts, cost)), labels), known), _let(_improved(items, starts), second)))
     out = baskets.withColumn("_best", best)
-    return out.select("basket_id", method(F.col("items"), exact).alias("method"), (F.col("_best.cost") / 100).cast(money.MONEY).alias("total"), F.col("_best.picks").alias("picks"))
+    return out.select("basket_id", F.col("_best.method").alias("method"), (F.col("_best.cost") / 100).cast(money.MONEY).alias("total"), F.col("_best.picks").alias("picks"))
 
 
 def cheapest(baskets: DataFrame) -> DataFrame:
     """(basket_id, total, picks) of ``gather``'s rows: every item where it is cheapest, of equal prices the first offer, with a fee for each shop used."""
-    one = _let(_shops(F.col("items")), lambda shops: F.get(_picks(F.col("items"), F.array(shops)), F.lit(0)))
-    out = baskets.withColumn("picks", one)
+    out = baskets.withColumn("picks", _cheapest(F.col("items")))
     return out.select("basket_id", (_let(F.col("picks"), cost) / 100).cast(money.MONEY).alias("total"), "picks")
 
 

@@ -11,8 +11,8 @@ from cairn.plans.market import SQL, deduped, num
 from cairn.registry import query
 from cairn.sources import tables
 
-#: Assignments up to which the search is exact, and shops of which all subsets are tried beyond them.
-EXACT, SHOPS = 50_000, 6
+#: Assignments up to which a search of all of them is small.
+EXACT = basket.EXACT
 
 BASKET_SQL = """, item AS (SELECT basket_id, product_key, row_number() OVER (PARTITION BY basket_id ORDER BY product_key) AS item_pos FROM (SELECT DISTINCT l_orderkey AS basket_id, l_partkey AS product_key FROM lineitem)),
 top AS (SELECT product_key, shop_key AS shop, amount_dkk AS price, row_number() OVER (PARTITION BY product_key ORDER BY total_dkk, s1, s2, s3, s4) AS offer_rank FROM dedup WHERE in_stock),
@@ -26,9 +26,17 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumn("item_pos", F.row_number().over(Window.partitionBy("basket_id").orderBy("product_key")))
 
 
+def product_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Every product's offers in stock, in order of landed total."""
+    return offers.ranked(deduped(spark, d).filter("in_stock")).select("product_key", F.col("rank").alias("offer_rank"), F.col("shop_key").alias("shop"), F.col("amount_dkk").alias("price"))
+
+
 def basket_offers(spark: SparkSession, d: str) -> DataFrame:
-    top = offers.ranked(deduped(spark, d).filter("in_stock")).select("product_key", F.col("rank").alias("offer_rank"), F.col("shop_key").alias("shop"), F.col("amount_dkk").alias("price"))
-    return items(spark, d).join(top, "product_key").select("basket_id", "item_pos", "offer_rank", "shop", "price")
+    return items(spark, d).join(product_offers(spark, d), "product_key").select("basket_id", "item_pos", "offer_rank", "shop", "price")
+
+
+def baskets(spark: SparkSession, d: str) -> DataFrame:
+    return basket.gather_products(items(spark, d), product_offers(spark, d), rules(spark, d))
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +47,7 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def solved(spark: SparkSession, d: str) -> DataFrame:
-    return basket.split(basket.gather(basket_offers(spark, d), rules(spark, d)), EXACT, SHOPS)
+    return basket.split(baskets(spark, d))
 
 
 @query(SQL + BASKET_SQL + f", l AS (SELECT basket_id, item_pos, min(price + {FEE.format('price', 'free_over', 'ship')}) AS landed FROM bo GROUP BY ALL) SELECT basket_id, CAST(sum(landed) AS DOUBLE) AS separately FROM l GROUP BY basket_id")
@@ -55,39 +63,52 @@ def basket_single_shop(spark: SparkSession, d: str) -> DataFrame:
 
 
 # item by item, without what can't come under the cost of taking every item where it is cheapest
-EXACT_SQL = BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, count(*) AS n, min(price) AS least, arg_min({{'shop': shop, 'ship': ship, 'free_over': free_over}}, (price, offer_rank)) AS f FROM bo GROUP BY ALL),
-small AS (SELECT basket_id, count(*) AS items FROM c GROUP BY basket_id HAVING round(product(n)) <= {EXACT}),
+EXACT_SQL = BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, min(price) AS least, arg_min({{'shop': shop, 'ship': ship, 'free_over': free_over}}, (price, offer_rank)) AS f FROM bo GROUP BY ALL),
+n AS (SELECT basket_id, count(*) AS items FROM c GROUP BY basket_id),
 plain AS (SELECT basket_id, f.shop AS shop, f.ship AS ship, f.free_over AS free_over, sum(least) AS s FROM c GROUP BY ALL),
 bound AS (SELECT basket_id, sum(s + {FEE.format('s', 'free_over', 'ship')}) AS bound FROM plain GROUP BY basket_id),
 r AS (SELECT basket_id, item_pos, coalesce(sum(least) OVER (PARTITION BY basket_id ORDER BY item_pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest FROM c),
-o AS (SELECT basket_id, dense_rank() OVER (PARTITION BY basket_id ORDER BY item_pos) AS k, items, rest, bound, shop, price, ship, free_over FROM bo JOIN small USING (basket_id) JOIN r USING (basket_id, item_pos) JOIN bound USING (basket_id)),
+o AS (SELECT basket_id, dense_rank() OVER (PARTITION BY basket_id ORDER BY item_pos) AS k, items, rest, bound, offer_rank, shop, price, ship, free_over FROM bo JOIN n USING (basket_id) JOIN r USING (basket_id, item_pos) JOIN bound USING (basket_id)),
 st AS (
-  SELECT basket_id, k, items, CAST(price AS DECIMAL(38,2)) AS spent, [shop] AS shops, [price] AS prices, [ship] AS ships, [free_over] AS frees FROM o WHERE k = 1 AND price + rest <= bound
+  SELECT basket_id, k, items, CAST(price AS DECIMAL(38,2)) AS spent, [offer_rank] AS ranks, [shop] AS shops, [price] AS prices, [ship] AS ships, [free_over] AS frees FROM o WHERE k = 1 AND price + rest <= bound
   UNION ALL
-  SELECT o.basket_id, o.k, o.items, CAST(spent + o.price AS DECIMAL(38,2)), list_append(shops, o.shop), list_append(prices, o.price), list_append(ships, o.ship), list_append(frees, o.free_over)
+  SELECT o.basket_id, o.k, o.items, CAST(spent + o.price AS DECIMAL(38,2)), list_append(ranks, o.offer_rank), list_append(shops, o.shop), list_append(prices, o.price), list_append(ships, o.ship), list_append(frees, o.free_over)
   FROM st JOIN o ON o.basket_id = st.basket_id AND o.k = st.k + 1 WHERE spent + o.price + rest <= bound),
 full_ AS (SELECT *, row_number() OVER () AS id FROM st WHERE k = items),
-flat AS (SELECT basket_id, id, unnest(shops) AS shop, unnest(prices) AS price, unnest(ships) AS ship, unnest(frees) AS free_over FROM full_),
-sub AS (SELECT basket_id, id, shop, ship, free_over, sum(price) AS s FROM flat GROUP BY ALL),
-tot AS (SELECT basket_id, id, sum(s + {FEE.format('s', 'free_over', 'ship')}) AS total FROM sub GROUP BY ALL)"""
+flat AS (SELECT basket_id, id, ranks, unnest(range(0, items)) AS item, unnest(shops) AS shop, unnest(prices) AS price, unnest(ships) AS ship, unnest(frees) AS free_over FROM full_),
+sub AS (SELECT basket_id, id, ranks, shop, ship, free_over, sum(price) AS s FROM flat GROUP BY ALL),
+tot AS (SELECT basket_id, id, ranks, sum(s + {FEE.format('s', 'free_over', 'ship')}) AS total FROM sub GROUP BY ALL),
+pick AS (SELECT basket_id, id, total FROM tot QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY total, ranks) = 1)"""
+RECURSIVE = SQL.replace("WITH shop", "WITH RECURSIVE shop")
 
 
-@query(SQL.replace("WITH shop", "WITH RECURSIVE shop") + EXACT_SQL + " SELECT basket_id, CAST(min(total) AS DOUBLE) AS total FROM tot GROUP BY basket_id")
+@query(RECURSIVE + EXACT_SQL + " SELECT basket_id, CAST(total AS DOUBLE) AS total FROM pick")
 def basket_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of the baskets that the exact search takes."""
+    """Totals of the baskets that are solved exactly: all of them here, whatever the number of assignments."""
     return num(solved(spark, d).filter("method = 'exact'").select("basket_id", "total"), "total")
 
 
-@query(None)
+@query(RECURSIVE + EXACT_SQL + f""", l AS (SELECT basket_id, item_pos, min(price + {FEE.format('price', 'free_over', 'ship')}) AS landed FROM bo GROUP BY ALL), a AS (SELECT basket_id, sum(landed) AS apart FROM l GROUP BY basket_id)
+SELECT basket_id, CASE WHEN total IS NULL THEN 'empty' ELSE 'exact' END AS method, CAST(coalesce(total, 0) AS DOUBLE) AS total, CAST(coalesce(apart, 0) AS DOUBLE) AS separately, CAST(coalesce(apart, 0) - coalesce(total, 0) AS DOUBLE) AS saving
+FROM (SELECT DISTINCT basket_id FROM item) LEFT JOIN pick USING (basket_id) LEFT JOIN a USING (basket_id)""")
 def basket_split(spark: SparkSession, d: str) -> DataFrame:
     """Every basket's method, total, total bought separately and saving."""
-    return basket.summary(items(spark, d), solved(spark, d), basket.separately(basket_offers(spark, d), rules(spark, d)))
+    return num(basket.summary(items(spark, d), solved(spark, d), basket.separately(basket_offers(spark, d), rules(spark, d))), "total", "separately", "saving")
+
+
+ORDER_COLUMNS = f"basket_id, shop, row_number() OVER (PARTITION BY basket_id ORDER BY sub DESC, shop) AS place, items, CAST(sub AS DOUBLE) AS subtotal, CAST({FEE.format('sub', 'free_over', 'ship')} AS DOUBLE) AS shipping, CAST(CASE WHEN ship > 0 AND sub < free_over THEN free_over - sub END AS DOUBLE) AS to_free_shipping"
+
+
+def order_rows(solved_: DataFrame) -> DataFrame:
+    rows = basket.orders(solved_)
+    return num(rows.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ",")).withColumn("place", F.col("place").cast("long")), "subtotal", "shipping", "to_free_shipping")
 
 
-@query(None)
+@query(RECURSIVE + EXACT_SQL + f""", s2 AS (SELECT basket_id, shop, ship, free_over, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, sum(price) AS sub FROM flat JOIN pick USING (basket_id, id) GROUP BY basket_id, shop, ship, free_over)
+SELECT {ORDER_COLUMNS} FROM s2""")
 def basket_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders by shop of every basket's split."""
-    return basket.orders(solved(spark, d))
+    return order_rows(solved(spark, d))
 
 
 @query(SQL + BASKET_SQL + " SELECT basket_id, product_key FROM item WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.basket_id = item.basket_id AND bo.item_pos = item.item_pos)")
@@ -95,22 +116,19 @@ def basket_unavailable(spark: SparkSession, d: str) -> DataFrame:
     return basket.unavailable(items(spark, d), basket_offers(spark, d)).select("basket_id", "product_key")
 
 
-@query(SQL + BASKET_SQL + f", c AS (SELECT basket_id, item_pos, count(*) AS n FROM bo GROUP BY ALL) SELECT basket_id, CASE WHEN round(product(n)) <= {EXACT} THEN 'exact' ELSE 'subset' END AS method, count(*) AS items FROM c GROUP BY basket_id")
+@query(SQL + BASKET_SQL + f", c AS (SELECT basket_id, item_pos, count(*) AS n FROM bo GROUP BY ALL) SELECT basket_id, CASE WHEN round(product(n)) <= {EXACT} THEN 'exact' ELSE 'large' END AS method, count(*) AS items FROM c GROUP BY basket_id")
 def basket_method(spark: SparkSession, d: str) -> DataFrame:
-    """Which search each basket takes."""
-    baskets = basket.gather(basket_offers(spark, d), rules(spark, d))
-    return baskets.select("basket_id", basket.method(F.col("items"), EXACT).alias("method"), F.size("items").cast("long").alias("items"))
+    """Which baskets have few assignments enough to try all."""
+    return baskets(spark, d).select("basket_id", basket.method(F.col("items"), EXACT).alias("method"), F.size("items").cast("long").alias("items"))
 
 
 @query(SQL + BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, arg_min({{'shop': shop, 'price': price, 'ship': ship, 'free_over': free_over}}, (price, offer_rank)) AS f FROM bo GROUP BY ALL),
 n AS (SELECT basket_id, row_number() OVER (PARTITION BY basket_id ORDER BY item_pos) - 1 AS item, f.shop AS shop, f.price AS price, f.ship AS ship, f.free_over AS free_over FROM c),
 s AS (SELECT basket_id, shop, ship, free_over, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, sum(price) AS sub FROM n GROUP BY ALL)
-SELECT basket_id, shop, row_number() OVER (PARTITION BY basket_id ORDER BY sub DESC, shop) AS place, items, CAST(sub AS DOUBLE) AS subtotal, CAST({FEE.format('sub', 'free_over', 'ship')} AS DOUBLE) AS shipping, CAST(CASE WHEN ship > 0 AND sub < free_over THEN free_over - sub END AS DOUBLE) AS to_free_shipping FROM s""")
+SELECT {ORDER_COLUMNS} FROM s""")
 def basket_cheapest_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders by shop if every item is bought where it is cheapest."""
-    rows = basket.orders(basket.cheapest(basket.gather(basket_offers(spark, d), rules(spark, d))))
-    rows = rows.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ",")).withColumn("place", F.col("place").cast("long"))
-    return num(rows, "subtotal", "shipping", "to_free_shipping")
+    return order_rows(basket.cheapest(baskets(spark, d)))
 
 
 @query(SQL + BASKET_SQL + " SELECT basket_id, product_key FROM item WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.basket_id = item.basket_id AND bo.item_pos = item.item_pos AND shop % 4 = 0)")

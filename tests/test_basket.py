@@ -39,18 +39,53 @@ def test_known_cases(spark):
     assert [(o["shop"], o["shipping"]) for o in orders if o["basket_id"] == 2] == [(4, 0)]
 
 
-@pytest.mark.parametrize("exact", [50_000, 1])
-def test_random_baskets(spark, exact):
+def plain_local_search(items, shops):
+    """The cheapest total that moving one item, or emptying one shop into the others, comes to from the obvious answers."""
+    starts = [[min(range(len(own)), key=lambda j: own[j][1]) for own in items]]
+    for s in shops:
+        places = [next((j for j, o in enumerate(own) if o[0] == s), None) for own in items]
+        if None not in places:
+            starts.append(places)
+    total = lambda at: cost([own[j] for own, j in zip(items, at)], shops)
+    found = []
+    for at in starts:
+        now, before = total(at), None
+        while now != before:
+            before = now
+            for i, own in enumerate(items):
+                for j in range(len(own)):
+                    moved = [*at[:i], j, *at[i + 1 :]]
+                    if total(moved) < now:
+                        at, now = moved, total(moved)
+            used = {own[j][0]: 0 for own, j in zip(items, at)}
+            for gone in used:
+                others = [[(own[j][1], j) for j in range(len(own)) if own[j][0] != gone and own[j][0] in used] if own[k][0] == gone else [(0, k)] for own, k in zip(items, at)]
+                if all(others) and total(moved := [min(o)[1] for o in others]) < now:
+                    at, now = moved, total(moved)
+        found.append(now)
+    return min(found)
+
+
+def by_subtotals(items, shops):
+    """The least total by all sets of subtotals that the items can come to."""
+    states = {()}
+    for own in items:
+        states = {tuple(sorted({**dict(s), shop: dict(s).get(shop, 0) + price}.items())) for s in states for shop, price in own}
+    return min(cost(s, shops) for s in states)
+
+
+@pytest.mark.parametrize("labels", [1_000, 0])
+def test_random_baskets(spark, labels):
     rng = random.Random(7)
     shops = {s: (rng.choice([0, 40, 90]), rng.choice([None, 500, 900])) for s in range(6)}
-    baskets = {b: [[(s, rng.randrange(100, 600)) for s in rng.sample(range(6), rng.randrange(1, 4))] for _ in range(rng.randrange(1, 6))] for b in range(60)}
-    got, _, apart, single = solve(spark, baskets, shops, exact=exact, shops=6)
+    baskets = {b: [[(s, rng.randrange(100, 600)) for s in rng.sample(range(6), rng.randrange(1, 4))] for _ in range(rng.randrange(1, 6))] for b in range(40)}
+    got, _, apart, single = solve(spark, baskets, shops, labels=labels, more=labels)
     for b, items in baskets.items():
         best = min(cost(c, shops) for c in itertools.product(*items))
         picks = [(o["shop"], o["price"] / 100) for o in got[b]["picks"]]
         assert abs(cost(picks, shops) - float(got[b]["total"])) < 1e-9
-        assert got[b]["method"] == ("exact" if exact > 1 or all(len(i) == 1 for i in items) else "subset")
-        assert got[b]["total"] == best if got[b]["method"] == "exact" else got[b]["total"] >= best
+        assert got[b]["method"] == ("exact" if labels else "local")
+        assert got[b]["total"] == best if labels else best <= got[b]["total"] <= plain_local_search(items, shops)
         assert got[b]["total"] <= apart[b] and got[b]["total"] <= single.get(b, 10**9)
         cheapest = [min(i, key=lambda o: o[1]) for i in items]
         assert got[b]["total"] <= cost(cheapest, shops)
@@ -81,9 +116,39 @@ def test_many_offers_are_searched_exactly(spark):
         assert got[b]["method"] == "exact" and got[b]["total"] == min(cost(c, shops) for c in itertools.product(*items)) <= min(apart[b], single[b])
 
 
-def test_large_basket(spark):
+def test_first_of_equal_totals_wins(spark):
+    shops = {1: (10, None), 2: (10, None), 3: (0, None)}
+    got, _, _, _ = solve(spark, {1: [[(2, 100), (1, 100)], [(1, 50), (2, 50), (3, 60)]]}, shops)
+    assert [o["offer_rank"] for o in got[1]["picks"]] == [0, 1] and got[1]["total"] == 160
+
+
+def test_twelve_items_of_six_shops_are_solved_exactly(spark):
     rng = random.Random(1)
-    shops = {s: (60, 800) for s in range(6)}
-    items = [[(s, rng.randrange(100, 600)) for s in range(6)] for _ in range(12)]
-    got, _, apart, single = solve(spark, {1: items}, shops)
-    assert got[1]["method"] == "subset" and got[1]["total"] <= min(apart[1], single[1])
+    shops = {s: (60, 800) for s in range(6)} | {5: (45, None)}
+    baskets = {b: [[(s, 100 * rng.randrange(1, 7)) for s in range(6)] for _ in range(12)] for b in range(2)}
+    got, _, apart, single = solve(spark, baskets, shops)
+    for b, items in baskets.items():
+        assert got[b]["method"] == "exact" and got[b]["total"] <= min(apart[b], single[b], plain_local_search(items, shops))
+        few = [own[:3] for own in items]
+        assert solve(spark, {b: few}, shops)[0][b]["total"] == by_subtotals(few, shops)
+
+
+def test_large_baskets_are_never_dearer_than_a_local_search(spark):
+    rng = random.Random(11)
+    shops = {s: (rng.choice([0, 40, 60, 90]), rng.choice([None, 500, 900, 1500])) for s in range(14)}
+    baskets = {b: [[(s, rng.randrange(100, 600)) for s in rng.sample(range(14), 6)] for _ in range(rng.randrange(8, 21))] for b in range(40)}
+    got, _, apart, single = solve(spark, baskets, shops, labels=200, more=400)
+    for b, items in baskets.items():
+        picks = [(o["shop"], o["price"] / 100) for o in got[b]["picks"]]
+        assert abs(cost(picks, shops) - float(got[b]["total"])) < 1e-9
+        assert got[b]["total"] <= min(apart[b], single.get(b, 10**9), plain_local_search(items, shops))
+    assert {r["method"] for r in got.values()} == {"exact", "local"}
+
+
+def test_products_are_gathered_once(spark):
+    rules = spark.createDataFrame([(1, Decimal(5), None), (2, Decimal(6), Decimal(50))], SHOPS)
+    offers = spark.createDataFrame([(7, 1, 1, Decimal(10)), (7, 2, 2, Decimal(12)), (8, 1, 2, Decimal(60)), (8, 2, 9, Decimal(1))], "product_key long, offer_rank int, shop long, price decimal(18,2)")
+    items = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 8), (3, 1, 99)], "basket_id long, item_pos int, product_key long")
+    whole = basket.gather(items.join(offers, "product_key"), rules)
+    once = basket.gather_products(items, offers, rules)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, once.collect()))
