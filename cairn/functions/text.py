@@ -169,19 +169,46 @@ def absolute(href: Column, page: Column) -> Column:
     )
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """Similarity 0 to 100 of two strings: twice their longest common subsequence over the sum of lengths."""
-    x, y = F.split(a, ""), F.split(b, "")
-    width = F.length(b)
+#: Letters that one 64-bit word of ``common_letters`` stands for; one more stays free for the carry.
+BITS = 60
+
+
+def common_letters(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two strings, bit by bit of 64-bit words.
+
+    The state has a bit for each letter of a, 60 in a word. A letter of b takes one addition and a few logical operations
+    for each word: places of the letter in a, looked up in a map, are added to the state, and the sum carries
+    over runs of places; bits that end up 0 are letters in common.
+    """
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    zero, top = F.lit(0).cast("bigint"), F.lit(1 << BITS).cast("bigint")
+    ones = F.lit((1 << BITS) - 1).cast("bigint")
+    letters = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+    words = lambda t: F.sequence(F.lit(0), F.floor((F.length(t) - 1) / BITS).cast("int"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % BITS).cast("int"))
+    places = lambda xs, c, w: F.aggregate(F.slice(xs, w * BITS + 1, BITS), F.struct(zero.alias("m"), F.lit(0).alias("i")), lambda s, x: F.struct(F.when(x == c, s["m"].bitwiseOR(bit(s["i"]))).otherwise(s["m"]).alias("m"), (s["i"] + 1).alias("i")), lambda s: s["m"])
+    masks = lambda xs: F.map_from_entries(F.transform(F.array_distinct(xs), lambda c: F.struct(c.alias("c"), F.transform(words(a), lambda w: places(xs, c, w)).alias("m"))))
 
-    def row(above: Column, c: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            best = F.when(F.get(y, j - 1) == c, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(best))
+    def step(state: Column, at: Column) -> Column:
+        """One letter of b: at has its places in a by word, or null."""
 
-        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), cell)
+        def word(acc: Column, v: Column) -> Column:
+            hit = F.get(at, acc["w"])
+            total = v + v.bitwiseAND(hit) + acc["carry"]
+            after = F.when(total >= top, total - top).otherwise(total).bitwiseOR(v.bitwiseAND(F.bitwise_not(hit)))
+            return F.struct(F.concat(acc["out"], F.array(after)).alias("out"), F.when(total >= top, F.lit(1).cast("bigint")).otherwise(zero).alias("carry"), (acc["w"] + 1).alias("w"))
 
-    first = F.transform(F.sequence(F.lit(0), width), lambda _: F.lit(0))
-    lcs = F.element_at(F.aggregate(x, first, row), -1)
+        begin = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("carry"), F.lit(0).alias("w"))
+        return F.when(at.isNull(), state).otherwise(F.aggregate(state, begin, word, lambda s: s["out"]))
+
+    def run(m: Column) -> Column:
+        found = F.aggregate(F.transform(letters(b), lambda c: m[c]), F.transform(words(a), lambda _: ones), step)
+        return F.aggregate(found, F.lit(0), lambda n, v: n + BITS - F.bit_count(v))
+
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(let(letters(a), lambda xs: let(masks(xs), run)))
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """Similarity 0 to 100 of two strings: twice their longest common subsequence over the sum of lengths."""
     total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(200.0 * lcs / total)
+    return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * common_letters(a, b) / total)

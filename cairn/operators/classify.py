@@ -90,7 +90,7 @@ def has_long_word(name: Column) -> Column:
 
 def without_series(name: Column, rules: T.Rules = RULES) -> Column:
     """The name after a leading series name; null if there is none or nothing follows."""
-    rest = [F.when(name.startswith(s + " "), F.trim(F.substring(name, len(s) + 2, 10_000))) for s in rules.series]
+    rest = [F.when(name.startswith(s + " "), F.trim(F.substring(name, F.lit(len(s) + 2), F.length(name)))) for s in rules.series]
     out = F.coalesce(*rest)
     return F.when(out != "", out)
 
@@ -133,13 +133,33 @@ def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
     return same.unionByName(met.filter(text.indel_ratio(F.col("word"), F.col("other")) >= NEAR_RATIO))
 
 
+def _sides(a: Column, b: Column) -> Column:
+    """both, a and b: the words that two names share and those of each alone, sorted and joined."""
+    wa, wb = F.array_sort(F.array_distinct(F.split(a, " "))), F.array_sort(F.array_distinct(F.split(b, " ")))
+    return F.struct(F.array_join(F.array_intersect(wa, wb), " ").alias("both"), F.array_join(F.array_except(wa, wb), " ").alias("a"), F.array_join(F.array_except(wb, wa), " ").alias("b"))
+
+
+def _score(s: Column, letters: Column) -> Column:
+    """The token set ratio of ``_sides`` if the words of one side alone have so many letters in common.
+
+    The shared words stand before both: they are common as a whole, so that only the rest has to be compared, and
+    their similarity to each side follows from lengths.
+    """
+    n, la, lb = F.length(s["both"]), F.length(s["a"]), F.length(s["b"])
+    head = F.when(n > 0, n + 1).otherwise(0)
+    whole = 200.0 * (head + letters) / (2 * head + la + lb)
+    to = lambda m: F.when(n > 0, 200.0 * n / (n + head + m)).otherwise(0.0)
+    return F.when((n > 0) & ((la == 0) | (lb == 0)), F.lit(100.0)).otherwise(F.greatest(whole, to(la), to(lb)))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """100 if one's words are among the other's, else the best similarity of the shared words and of each side's words."""
-    wa, wb = F.array_sort(F.array_distinct(F.split(a, " "))), F.array_sort(F.array_distinct(F.split(b, " ")))
-    both, only_a, only_b = F.array_join(F.array_intersect(wa, wb), " "), F.array_join(F.array_except(wa, wb), " "), F.array_join(F.array_except(wb, wa), " ")
-    with_a, with_b = F.trim(F.concat_ws(" ", both, only_a)), F.trim(F.concat_ws(" ", both, only_b))
-    ratios = [text.indel_ratio(with_a, with_b), F.when(both != "", text.indel_ratio(both, with_a)).otherwise(0.0), F.when(both != "", text.indel_ratio(both, with_b)).otherwise(0.0)]
-    return F.when((both != "") & ((only_a == "") | (only_b == "")), F.lit(100.0)).otherwise(F.greatest(*ratios))
+    return F.element_at(F.transform(F.array(_sides(a, b)), lambda s: _score(s, text.common_letters(s["a"], s["b"]))), 1)
+
+
+def token_set_bound(a: Column, b: Column) -> Column:
+    """What the token set ratio can be at most, from shared words and lengths alone."""
+    return F.element_at(F.transform(F.array(_sides(a, b)), lambda s: _score(s, F.least(F.length(s["a"]), F.length(s["b"])))), 1)
 
 
 def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -165,13 +185,16 @@ def match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     met = rarest.join(near, "word").join(held, "other").select("name", "alias").distinct()
     pairs = met.join(left, "name").join(near, "word").join(held, ["alias", "other"]).groupBy("name", "alias").agg(F.count_distinct("word").alias("_found"), F.count_distinct("other").alias("_covered"))
     pairs = pairs.join(n_left, "name").join(n_right, "alias").filter((F.col("_found") == F.col("_names")) & (F.col("_covered") >= COVERAGE * F.col("_aliases")))
-    scored = staged(pairs.withColumn("_exact", token_set_ratio(F.col("name"), F.col("alias"))).withColumn("score", F.floor("_exact").cast("int")).filter(F.col("score") >= SCORE).select("name", "alias", "score", "_exact", (F.col("_covered") / F.col("_aliases")).alias("_share")))
-    # an alias that scores higher but fails a guard leaves the name without a set: only names with a partner so far meet all aliases of their words
-    rivals = scored.select("name").distinct().join(left, "name").join(near, "word").join(held, "other").select("name", "alias").distinct()
-    best = rivals.groupBy("name").agg(F.max(token_set_ratio(F.col("name"), F.col("alias"))).alias("_best"))
+    close = pairs.filter(token_set_bound(F.col("name"), F.col("alias")) >= SCORE).withColumn("_exact", token_set_ratio(F.col("name"), F.col("alias")))
     w = Window.partitionBy("name").orderBy(F.desc("_exact"), F.desc("_share"), "alias")
-    first = scored.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").join(best, "name").filter(F.col("_exact") >= F.col("_best"))
-    return staged(exact.unionByName(first.select("name", "alias", "score")))
+    scored = close.withColumn("score", F.floor("_exact").cast("int")).filter(F.col("score") >= SCORE).withColumn("_share", F.col("_covered") / F.col("_aliases"))
+    first = staged(scored.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").select("name", "alias", "score", "_exact"))
+    # an alias that scores higher but fails a guard leaves the name without a set: names that score less than 100 meet all aliases of
+    # their words, and are compared with those that could score higher
+    under = first.filter("_exact < 100").select("name", "_exact")
+    rivals = under.join(left, "name").join(near, "word").join(held, "other").select("name", "alias", "_exact").distinct()
+    beaten = rivals.filter(token_set_bound(F.col("name"), F.col("alias")) > F.col("_exact")).filter(token_set_ratio(F.col("name"), F.col("alias")) > F.col("_exact"))
+    return staged(exact.unionByName(first.join(beaten.select("name").distinct(), "name", "left_anti").select("name", "alias", "score")))
 
 
 def match_series(names: DataFrame, aliases: DataFrame) -> DataFrame:
