@@ -1,7 +1,7 @@
 """Best-fit packing by sums of squares: documents into sequences of at most ``capacity`` tokens.
 
 Each piece goes where the sum, over residual gaps, of the squared number of open
-sequences with that gap becomes smallest; opening a sequence is one of the choices.
+sequences with that gap becomes smallest; a sequence opens only where no open one has room.
 Pieces are taken longest first. Groups of bounded size are packed independently, so
 that packing is a distributed job; what a group loses is a few open sequences at its end.
 """
@@ -37,7 +37,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         change = 2 * (after - before) + 2  # one sequence goes from gap g to gap g - s
         change[0] = 1 - 2 * before[0]  # a sequence is filled, and is open no more
         change[before == 0] = np.iinfo(np.int64).max
-        change[-1] = 2 * n_open[capacity - s] + 1 if s < capacity else 0  # a new one opens
+        if not before[:-1].any():  # a new one opens
+            change[-1] = 0
         gap = s + int(change.argmin())
         if gap == capacity:
             which, made = made, made + 1
@@ -95,8 +96,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group))
-    # dealt out by row number: no document or length can fill a group
-    rest = rest.withColumn(dealt, F.monotonically_increasing_id() % groups)
+    # dealt out in turns from each partition on, which begin at different groups: no document or length can fill a group
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rest = rest.withColumn(dealt, (row + F.spark_partition_id().cast("long") * 7919) % groups)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns([dealt]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
