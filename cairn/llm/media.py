@@ -10,6 +10,7 @@ touching the others.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import time
 import uuid
@@ -112,15 +113,18 @@ class ArchiveReader(DataSourceReader):
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
 
     def archives(self) -> list[tuple[str, int]]:
-        """Committed archives if a manifest tells them, else all ZIP files of the directory; with their sizes."""
+        """In each folder below the path the committed archives if a manifest tells them, else all ZIP files; with their sizes."""
         fs, path = common.filesystem(self.path)
         found = [x for x in fs.get_file_info(common.pafs.FileSelector(path, recursive=True)) if x.is_file]
         manifests = [x.path for x in found if x.base_name.startswith("_manifest")]
         zips = [x for x in found if x.base_name.endswith(".zip")]
-        if manifests:
-            base = self.path.rstrip("/")
-            names = {n for m in manifests for n in common.get_json(f"{base}/{m.rpartition('/')[2]}")}
-            zips = [x for x in zips if x.base_name in names]
+        folder = lambda p: p.rpartition("/")[0]
+        told = {folder(m) for m in manifests}
+        names: set[str] = set()
+        for m in manifests:
+            with fs.open_input_stream(m) as src:
+                names |= {f"{folder(m)}/{n}" for n in json.loads(src.read())}
+        zips = [x for x in zips if x.path in names or folder(x.path) not in told]
         return sorted((x.path, x.size) for x in zips)
 
     def partitions(self) -> list[Range]:

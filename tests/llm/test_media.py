@@ -45,6 +45,20 @@ def test_edge_rows_and_empty(spark, edge, empty):
     assert media.read_media(spark, path).count() == 0
 
 
+def test_a_folder_of_several_writes(spark, documents):
+    path = common.new_folder(spark, "media")
+    for name in ("a", "b/c"):
+        media.write_media(documents.limit(15), f"{path}/{name}")
+    media.write_media(documents.limit(7), f"{path}/a")
+    fs, folder = common.filesystem(path)
+    fs.create_dir(f"{folder}/loose")
+    for name, key in (("a/stray", "x"), ("loose/one", "y")):  # not of a commit; of a folder without commits
+        with fs.open_output_stream(f"{folder}/{name}.zip") as out, zipfile.ZipFile(out, "w") as z:
+            z.writestr(f"{key}.png", media.png_of(b"abc"))
+    got = [r["key"] for r in media.read_media(spark, path).collect()]
+    assert len(got) == 15 + 15 + 7 + 1 and "y" in got and "x" not in got
+
+
 def test_ranges_partition_the_members(spark, documents):
     path = common.new_folder(spark, "media")
     media.write_media(documents, path)
