@@ -29,7 +29,10 @@ CHARS = (3, 4, 5)
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds of the fit: per class at most rows labelled rows, none of over chars characters, so that the driver gets 2 * rows * chars characters at most."""
+    """Bounds of the fit: per class at most rows labelled documents, none of over chars characters, so that the driver gets 2 * rows * chars characters at most.
+
+    Of their n-grams at most bags bytes are kept between epochs; those of other documents are made anew each time.
+    """
 
     rows: int = 2500
     chars: int = 40_000
@@ -38,6 +41,7 @@ class Params:
     epochs: int = 6
     rate: float = 0.4
     seed: int = 11
+    bags: int = 256 << 20
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -110,21 +114,29 @@ def fit(texts: list[bytes], labels: np.ndarray, params: Params = Params()) -> Mo
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(set(labels.tolist())) < 2:
         return Model(params.bits, np.zeros(1 << params.bits, np.float32), float(np.log(share / (1 - share))))
-    hasher, bags = Hasher(params.bits), []
-    for t in texts:
-        found = [b[f[0] : l[0]] for b, f, l in hasher.groups(*_joined([t]))]
+    hasher, kept, held = Hasher(params.bits), {}, 0
+
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal held
+        if i in kept:
+            return kept[i]
+        found = [b[f[0] : l[0]] for b, f, l in hasher.groups(*_joined([texts[i]]))]
         ids, counts = np.unique(np.concatenate(found), return_counts=True)
-        bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
+        made = ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
+        if held + 8 * len(ids) <= params.bags:
+            kept[i], held = made, held + 8 * len(ids)
+        return made
+
     rng = np.random.default_rng(params.seed)
     vectors = rng.uniform(-1 / params.width, 1 / params.width, (1 << params.bits, params.width)).astype(np.float32)
     out, bias = np.zeros((2, params.width), np.float32), np.zeros(2, np.float32)
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))  # both classes count alike
-    steps, step = params.epochs * len(bags), 0
+    steps, step = params.epochs * len(texts), 0
     for _ in range(params.epochs):
-        for i in rng.permutation(len(bags)):
+        for i in rng.permutation(len(texts)):
             rate = params.rate * (1 - step / steps)
             step += 1
-            ids, share_of = bags[i]
+            ids, share_of = bag(int(i))
             own = vectors[ids]
             mean = share_of @ own
             logits = out @ mean + bias
@@ -146,7 +158,8 @@ def held_out(key: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, params: Params) -> tuple[list[bytes], np.ndarray]:
     """Labelled texts outside the held-out fold, at most params.rows of each class, chosen by a hash of doc_id.
 
-    doc_id labelled twice counts once, with the smaller label; null labels and null ids don't count.
+    doc_id labelled twice counts once, with the smaller label, and so does one on many rows, with the smallest
+    of its texts; null labels and null ids don't count.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"))
     order = F.xxhash64(F.col("doc_id"), F.lit(params.seed))
@@ -154,7 +167,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, params: Params
     few = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * params.rows rows of two numbers
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= params.chars).select("doc_id", text).join(few, "doc_id")
-    got = rows.limit(2 * params.rows).select("text", "label", "doc_id").collect()
+    got = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # as many rows as few has at most
     got.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
     return [bytes(r["text"]) for r in got], np.array([r["label"] for r in got], np.int64)
 

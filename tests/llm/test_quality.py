@@ -169,3 +169,53 @@ def test_scores_do_not_depend_on_the_batch(texts):
     hasher = quality_model.Hasher(12)
     together = model.scores(texts, hasher)
     assert np.allclose(together, [model.scores([t], hasher)[0] for t in texts], atol=1e-9)
+
+
+def hashed(parts, bits=18):
+    return parts * int(quality_model.MIX) % 2**64 >> 64 - bits
+
+
+def buckets_by_hand(data):
+    """Every n-gram's bucket, one at a time."""
+    out = []
+    for n in quality_model.CHARS:
+        for i in range(len(data) - n + 1):
+            packed = int.from_bytes(data[i : i + n], "little")
+            out.append(hashed(packed + (n << 48)))
+    words = [sum(c * pow(quality_model.POLY, k, 2**64) for k, c in enumerate(w)) * int(quality_model.MIX) % 2**64 for w in re.findall(rb"[^\x00-\x20]+", data)]
+    out += [w >> 46 for w in words]
+    out += [0 if a == b else hashed((a * 31 + b) % 2**64) for a, b in zip(words, words[1:])]
+    return out
+
+
+def test_scores_equal_those_n_gram_by_n_gram(spark, edge):
+    rng = np.random.default_rng(1)
+    model = quality_model.Model(18, rng.normal(size=1 << 18).astype(np.float32), 0.25)
+    got = [(r["doc_id"], r["score"]) for r in quality_model.score(edge, model).collect()]
+    want = []
+    for r in edge.collect():
+        data = (r["text"] or "").encode()[:2000] if len(r["text"] or "") > 5000 else (r["text"] or "").encode()
+        found = buckets_by_hand(data)
+        want.append((r["doc_id"], len(r["text"] or "") > 5000, 1 / (1 + math.exp(-(0.25 + sum(float(model.table[b]) for b in found) / max(1, len(found)))))))
+    assert len(got) == len(want)
+    for (a, x), (b, long, y) in zip(got, want):
+        assert a == b and (long or math.isclose(x, y, rel_tol=1e-5))
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    few = [(i, f"good words number {i} here", 1) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in few] + [(1000 + i, f"junk junk {i} $$$") for i in range(30)] + [(7, f"copy {j}") for j in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in few] + [(1000 + i, 0) for i in range(30)] + [(7, 1)] * 50, "doc_id long, quality int")
+    params = quality_model.Params(rows=40)
+    texts, y = quality_model.training_rows(docs, labels, "quality", params)
+    ids = [i for i in [*range(30), *range(1000, 1030)] if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(texts) == len(ids) and y.tolist() == [int(i < 1000) for i in ids]
+    if 7 in ids:
+        assert texts[ids.index(7)] == b"copy 0"
+
+
+def test_bags_that_are_not_kept_change_nothing():
+    texts = [f"{'good' if i % 2 else 'bad'} text {i}".encode() for i in range(12)]
+    y = np.arange(12) % 2
+    a, b = (quality_model.fit(texts, y, quality_model.Params(bags=n)) for n in (1 << 20, 200))
+    assert np.array_equal(a.table, b.table) and a.bias == b.bias
