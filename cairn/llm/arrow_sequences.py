@@ -24,7 +24,9 @@ from .tokens import Encoder, default_tokenizer
 
 LENGTH = 1024
 ROWS = 64
-SHARDS = "shard int, path string, docs_path string, docs long, sequences long, tokens long"
+#: Bytes of ids after which a shard is closed.
+ROLL = 256 << 20
+SHARDS = "shard long, path string, docs_path string, docs long, sequences long, tokens long"
 
 
 def _schema(length: int, kind: pa.DataType) -> pa.Schema:
@@ -73,40 +75,47 @@ class _Shard:
         self.writer.close()
 
 
-def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
+def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, length: int = LENGTH, rows: int = ROWS, roll: int = ROLL) -> DataFrame:
     """Encodes every whole text (null: empty), appends end_id, and writes ids in ascending doc_id order (null first).
 
     Returns the written table of shards, in order: shard, path, docs_path, docs, sequences,
     tokens. Documents are dealt out by range of doc_id, and equal ids by their text, so that
-    one id on many rows is no hot range. A retried task writes files of new names; only those
-    of tasks that ended well are in the table.
+    one id on many rows is no hot range. A shard is closed after the batch of documents that takes its ids to
+    ``roll`` bytes. A retried task writes files of new names; only those of tasks that ended well are in
+    the table.
     """
-    out = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs_path", pa.string()), ("docs", pa.int64()), ("sequences", pa.int64()), ("tokens", pa.int64())])
+    out = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs_path", pa.string()), ("docs", pa.int64()), ("sequences", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches):
         encoder = Encoder.of(tokenizer)
         kind = pa.uint16() if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else pa.uint32()
         fs, folder = common.filesystem(path)
         fs.create_dir(folder, recursive=True)
-        name = uuid.uuid4().hex
-        shard = docs = None
-        count = 0
+        part, shard, made = TaskContext.get().partitionId(), None, 0
+
+        def closed() -> pa.RecordBatch:
+            shard.close()
+            docs.close()
+            sink.close()
+            docs_sink.close()
+            row = ((part << 32) + made, f"{path}/ids-{name}.arrow", f"{path}/docs-{name}.arrow", count, shard.sequences, shard.tokens)
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out)], schema=out)
+
         for whole in batches:
             for b in common.slices(whole, "text", 4 << 20):
                 if shard is None:
+                    name, count, made = uuid.uuid4().hex, 0, made + 1
                     sink, docs_sink = fs.open_output_stream(f"{folder}/ids-{name}.arrow"), fs.open_output_stream(f"{folder}/docs-{name}.arrow")
                     shard, docs = _Shard(sink, length, rows, kind), ipc.new_file(docs_sink, pa.schema([("doc_id", pa.int64())]))
                 docs.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id")], names=["doc_id"]))
                 ids, bounds = encoder.encode(b.column("text"), end_id)
                 shard.add(ids.astype(kind.to_pandas_dtype()), bounds)
                 count += b.num_rows
+                if shard.tokens * kind.bit_width // 8 >= roll:
+                    yield closed()
+                    shard = None
         if shard is not None:
-            shard.close()
-            docs.close()
-            sink.close()
-            docs_sink.close()
-            row = (TaskContext.get().partitionId(), f"{path}/ids-{name}.arrow", f"{path}/docs-{name}.arrow", count, shard.sequences, shard.tokens)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, out)], schema=out)
+            yield closed()
 
     rows_in = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows_in.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
@@ -142,7 +151,7 @@ def _opened(uri: str):
 def _documents(path: str, docs_path: str, start: int, out: pa.Schema):
     docs = ipc.open_file(_opened(docs_path))
     keys = (k for i in range(docs.num_record_batches) for k in docs.get_batch(i).column(0).to_pylist())
-    file, carried = ipc.open_file(_opened(path)), b""
+    file, carried = ipc.open_file(_opened(path)), []  # parts of a document that goes on
     for i in range(file.num_record_batches):
         b = file.get_batch(i)
         mask, last = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in ("mask", "last"))
@@ -150,10 +159,10 @@ def _documents(path: str, docs_path: str, start: int, out: pa.Schema):
         ends = np.flatnonzero(last[mask]) + 1
         rows, at = [], 0
         for end in ends.tolist():
-            whole = carried + ids[at:end].tobytes()
+            whole = b"".join([*carried, ids[at:end].tobytes()])
             rows.append((next(keys), start, len(whole) // 4, zlib.crc32(whole)))
-            start, at, carried = start + len(whole) // 4, end, b""
-        carried += ids[at:].tobytes()
+            start, at, carried = start + len(whole) // 4, end, []
+        carried.append(ids[at:].tobytes())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), out)], schema=out)
 

@@ -78,6 +78,20 @@ def test_random_access_and_edges(spark, edge, empty, plain):
     assert arrow_sequences.read(arrow_sequences.write(empty, common.new_folder(spark, "s"), default_tokenizer())).count() == 0
 
 
+def test_shards_roll(spark, documents, texts, plain):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        shards = arrow_sequences.write(documents, common.new_folder(spark, "s"), default_tokenizer(), roll=30_000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert shards.count() > 5
+    at = 0
+    for r in sorted(arrow_sequences.read(shards).collect(), key=lambda r: r["doc_id"]):
+        ids = ids_of(plain, texts[r["doc_id"]]) + [0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def check_packing(rows, texts, plain, capacity=1024):
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -109,6 +123,20 @@ def test_packing(spark, sf, texts, plain):
     assert used <= 1.05 * least + 2
 
 
+@pytest.mark.parametrize(("sf", "most"), [("sf0.01", 457), ("sf0.1", 4465)])
+def test_few_sequences(spark, sf, most):
+    found = common.written(packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), default_tokenizer()), "pieces")
+    assert packing.pack(found).filter("sequence_id % 2 = 1").select("sequence_id").distinct().count() <= most
+
+
+def test_groups_are_even(spark):
+    rows = spark.range(64 * 20, numPartitions=64).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "5L AS length", "0L AS ids_crc32")
+    groups = {}
+    for r in packing.pack(common.written(rows, "p"), group=20).collect():
+        groups.setdefault((r["sequence_id"] // 2) >> 32, []).append(r)
+    assert len(groups) == 64 and max(map(len, groups.values())) <= 40
+
+
 def test_packing_edges(spark, edge, empty):
     found = common.written(packing.pieces(edge, default_tokenizer(), with_ids=True), "p")
     packed = packing.pack(found, group=3)
@@ -131,7 +159,9 @@ def test_sum_of_squares_takes_the_best_place(lengths):
         def score(now):
             return sum(sum(g == k for g in now.values()) ** 2 for k in range(1, 12))
 
-        best = min(score(gaps | {p2: gaps.get(p2, 12) - s}) for p2 in [*gaps, len(gaps)] if gaps.get(p2, 12) >= s)
+        room = [p2 for p2, g in gaps.items() if g >= s and g < 12] or [len(gaps)]  # a sequence opens only where none has room
+        best = min(score(gaps | {p2: gaps.get(p2, 12) - s}) for p2 in room)
+        assert p in room
         assert gaps.get(p, 12) >= s and 12 - gaps.get(p, 12) == o
         gaps[p] = gaps.get(p, 12) - s
         assert score(gaps) == best
