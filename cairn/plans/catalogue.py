@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import money
 from cairn.operators import classify, history, offers, runs
-from cairn.plans.market import SQL, _runs, landed, num
+from cairn.plans.market import SQL, _runs, deduped, landed, num
 from cairn.plans.texts import FORM_SQL, NORM, REJECT_SQL, SLUG, forms
 from cairn.registry import query
 from cairn.sources import feeds, sinks, tables
@@ -269,7 +269,35 @@ def last_good_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL + """SELECT product_key, captured_at AS day, CAST(amount_dkk AS DOUBLE) AS dkk, shop_key, CASE WHEN stale THEN 1 ELSE 2 END AS run FROM offers WHERE year(captured_at) = 2001
 QUALIFY row_number() OVER (PARTITION BY product_key, captured_at ORDER BY run DESC, amount_dkk, shop_key) = 1""")
 def history_year(spark: SparkSession, d: str) -> DataFrame:
-    """Observations of two runs written by year; one year of them read again, the later run's of each day."""
-    path = folder(spark, "history")
-    history.write(landed(spark, d).select("product_key", F.col("captured_at").alias("day"), F.col("amount_dkk").alias("dkk"), "shop_key", F.when(F.col("stale"), 1).otherwise(2).alias("run")), path)
-    return num(history.load(spark, path, 2001), "dkk")
+    """Observations of two runs appended to the log, compacted; one year of them read again, the later run's of each day."""
+    path, schema = folder(spark, "history"), f"product_key long, day date, dkk {money.MONEY}, shop_key long, run int"
+    rows = landed(spark, d).select("product_key", F.col("captured_at").alias("day"), F.col("amount_dkk").alias("dkk"), "shop_key", F.when(F.col("stale"), 1).otherwise(2).alias("run"))
+    for run in (1, 2):
+        history.append(rows.filter(F.col("run") == run), path)
+    history.compact(spark, path, schema, 2001)
+    return num(history.read(spark, path, schema, 2001), "dkk")
+
+
+@query(SQL + """, fresh AS (SELECT shop_key, count(*) AS n FROM offers WHERE NOT stale AND captured_at >= DATE '2001-06-01' AND shop_key % 4 <> 3 GROUP BY shop_key),
+last AS (SELECT shop_key, count(*) AS n FROM offers WHERE captured_at < DATE '2001-06-01' AND shop_key % 10 <> 7 GROUP BY shop_key)
+SELECT 'products' AS part, CAST(product_key AS VARCHAR) AS key, len(list(shop_key)) AS n, CAST(sum(total_dkk) AS DOUBLE) AS value FROM dedup GROUP BY product_key
+UNION ALL SELECT 'fx', currency, 1, CAST(any_value(factor) AS DOUBLE) FROM shop GROUP BY currency
+UNION ALL SELECT 'log', CASE WHEN fresh.n > 0 THEN 'ok' WHEN last.n > 0 THEN 'stale' ELSE 'failed' END, count(*), CAST(sum(coalesce(fresh.n, last.n, 0)) AS DOUBLE) FROM shop LEFT JOIN fresh USING (shop_key) LEFT JOIN last USING (shop_key) GROUP BY 2
+UNION ALL SELECT 'stats', 'offers', 1, CAST(count(*) AS DOUBLE) FROM dedup""")
+def run_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A run's products, rates, log and counters written as files under one commit, and what readers find of each part."""
+    path = folder(spark, "run")
+    rows = deduped(spark, d)
+    ranked = offers.ranked(rows).select("product_key", "rank", "shop_key", "total_dkk")
+    log = offers.run_log(tables.shops(spark, d), *_runs(spark, d)).select("shop_key", "status", "count")
+    counts = rows.agg(F.count("*").alias("offers"))
+    sinks.write_run(path, ranked, tables.rates(spark), log, counts)
+    part = lambda name, schema: sinks.read_run(spark, path, name, schema)
+    products = sinks.unnest(part("products", f"product_key string, offers array<struct<rank:int,shop_key:long,total_dkk:{money.MONEY}>>"))
+    one = lambda df, name, key, n, value: df.select(F.lit(name).alias("part"), key.alias("key"), n.cast("long").alias("n"), value.cast("double").alias("value"))
+    by_product = products.groupBy("product_key").agg(F.count("*").alias("n"), F.sum("total_dkk").alias("v"))
+    by_status = part("log", "shop_key long, status string, count long").groupBy("status").agg(F.count("*").alias("n"), F.sum("count").alias("v"))
+    return (
+        one(by_product, "products", F.col("product_key"), F.col("n"), F.col("v")).unionByName(one(part("fx", "currency string, factor double"), "fx", F.col("currency"), F.lit(1), F.col("factor")))
+        .unionByName(one(by_status, "log", F.col("status"), F.col("n"), F.col("v"))).unionByName(one(part("stats", "offers long"), "stats", F.lit("offers"), F.lit(1), F.col("offers")))
+    )

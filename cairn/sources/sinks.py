@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import money
+from cairn.sources import commits
 
 
 def write_last_good(offers: DataFrame, path: str) -> None:
@@ -36,10 +37,25 @@ def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_run(path: str, offers: DataFrame, rates: DataFrame, log: DataFrame, counters: DataFrame) -> None:
-    """A run's whole result as JSON: products with their ranked offers, rates, the log by shop, and counters, each in its folder under ``path``."""
-    write_result(offers, f"{path}/products")
+    """A run's whole result as JSON under path: products with their ranked offers, rates, the log by shop, and counters.
+
+    The parts lie in a folder of the run's own; readers see them, all at once, when the last is written and
+    the run committed. Until then, and if the writer dies, they see the run before.
+    """
+    spark = offers.sparkSession
+    state, folder = commits.current(spark, path), commits.new_folder(path)
+    write_result(offers, f"{folder}/products")
     for name, rows in (("fx", rates), ("log", log), ("stats", counters)):
-        rows.write.mode("overwrite").json(f"{path}/{name}")
+        rows.write.json(f"{folder}/{name}")
+    commits.commit(spark, path, {"run": folder.rpartition("/")[2]}, state)
+
+
+def read_run(spark: SparkSession, path: str, part: str, schema: str) -> DataFrame:
+    """A part (products, fx, log or stats) of the run that was committed last. Products come as nested; see ``unnest``."""
+    state = commits.current(spark, path)
+    if state is None:
+        raise FileNotFoundError(f"no run is committed under {path}")
+    return spark.read.schema(schema).json(f"{path}/{state.content['run']}/{part}")
 
 
 def basket_data(offers: DataFrame, shops: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators import history, offers
-from cairn.sources.staging import staged
 
 
 def observe_batch(batch: DataFrame) -> DataFrame:
@@ -18,19 +17,13 @@ def observe_batch(batch: DataFrame) -> DataFrame:
 
 
 def follow(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Reads new Parquet files of landed offers under source and upserts history under target until all are in."""
+    """Reads new Parquet files of landed offers under source and appends their history to the log under target until all are in.
+
+    A batch writes its own rows alone. One that is replayed writes them again under the same run: readers keep one row.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = observe_batch(batch).withColumn("run", F.lit(number).cast("long"))
-        years = [r[0] for r in rows.select(F.year("day")).distinct().collect()]
-        try:
-            old = spark.read.parquet(target).filter(F.col("year").isin(years)).drop("year")
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = rows.limit(0)
-        # the years are read and replaced in one job: cut the plan from its source first
-        history.write(staged(history.upsert(old, rows)), target)
+        history.append(observe_batch(batch).withColumn("run", F.lit(number).cast("long")), target)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -48,13 +48,75 @@ def test_history_and_run_are_read_back(spark, tmp_path):
     from cairn.sources import sinks
 
     rows = spark.sql("SELECT * FROM VALUES ('p', DATE'2023-12-31', 1.0D, 1, 1), ('p', DATE'2024-01-01', 2.0D, 1, 1), ('p', DATE'2024-01-01', 3.0D, 1, 2) AS t(product_key, day, dkk, shop_key, run)")
-    history.write(rows, str(tmp_path / "h"))
-    (tmp_path / "h" / "year=2024" / "broken.parquet").write_bytes(b"no parquet at all")
-    assert sorted((str(r["day"]), r["dkk"]) for r in history.load(spark, str(tmp_path / "h")).collect()) == [("2023-12-31", 1.0), ("2024-01-01", 3.0)]
-    assert [r["dkk"] for r in history.load(spark, str(tmp_path / "h"), 2023).collect()] == [1.0]
-    offers = spark.createDataFrame([("p", 1, 5.0), ("p", 2, 6.0)], "product_key string, rank int, total double")
+    schema, log = "product_key string, day date, dkk double, shop_key int, run int", str(tmp_path / "h")
+    assert history.read(spark, log, schema).count() == 0 and history.vacuum(spark, log) == 0
+    history.append(rows, log)
+    (part,) = (tmp_path / "h").glob("data-*/year=2024")
+    (part / "broken.parquet").write_bytes(b"no parquet at all")
+    assert sorted((str(r["day"]), r["dkk"]) for r in history.read(spark, log, schema).collect()) == [("2023-12-31", 1.0), ("2024-01-01", 3.0)]
+    assert [r["dkk"] for r in history.read(spark, log, schema, 2023).collect()] == [1.0]
+
+
+def test_history_is_a_log(spark, tmp_path, monkeypatch):
+    from cairn.operators import history
+    from cairn.sources import commits
+
+    schema, log = "product_key string, day date, dkk double, shop_key int, run int", str(tmp_path / "h")
+    day = lambda d, price, run: spark.sql(f"SELECT 'p' AS product_key, DATE'{d}' AS day, {price}D AS dkk, 1 AS shop_key, {run} AS run")
+    seen = lambda: sorted((str(r["day"]), r["dkk"]) for r in history.read(spark, log, schema).collect())
+    history.append(day("2024-01-01", 1, 1).unionByName(day("2023-05-05", 7, 1)), log)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "h").rglob("*.parquet")}
+    history.append(day("2024-01-02", 2, 2), log)
+    history.append(day("2024-01-01", 3, 3), log)
+    history.append(day("2024-01-01", 3, 3).limit(0), log)
+    # a batch of a day writes that day alone, and leaves all files there were as they are
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items())
+    assert len(list((tmp_path / "h").rglob("*.parquet"))) == len(before) + 2
+    assert seen() == [("2023-05-05", 7.0), ("2024-01-01", 3.0), ("2024-01-02", 2.0)]
+    # a writer that dies before its commit leaves the old state
+    with monkeypatch.context() as m:
+        m.setattr(commits, "commit", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        try:
+            history.append(day("2024-01-03", 9, 4), log)
+        except OSError:
+            pass
+        try:
+            history.compact(spark, log, schema, 2024)
+        except OSError:
+            pass
+    assert len(seen()) == 3
+    state = commits.current(spark, log)
+    assert history.compact(spark, log, schema, 2024) == 3 and history.compact(spark, log, schema, 2023) == 1
+    assert seen() == [("2023-05-05", 7.0), ("2024-01-01", 3.0), ("2024-01-02", 2.0)]
+    assert history.vacuum(spark, log) >= 4 and len(seen()) == 3
+    # two writers can't follow the same state
+    try:
+        commits.commit(spark, log, {"live": []}, state)
+        raise AssertionError
+    except FileExistsError:
+        pass
+
+
+def test_a_run_is_there_as_a_whole_or_not(spark, tmp_path):
+    from cairn.sources import sinks
+
+    nested, path = "product_key string, offers array<struct<rank:int,total:double>>", str(tmp_path / "run")
     one = spark.createDataFrame([("EUR", 7.46)], "currency string, factor double")
-    sinks.write_run(str(tmp_path / "run"), offers, one, one, one)
-    got = sinks.read_result(spark, str(tmp_path / "run" / "products"), "product_key string, offers array<struct<rank:int,total:double>>")
+    offers = lambda total: spark.createDataFrame([("p", 1, total), ("p", 2, 6.0)], "product_key string, rank int, total double")
+    try:
+        sinks.read_run(spark, path, "fx", one.schema.simpleString())
+        raise AssertionError
+    except FileNotFoundError:
+        pass
+    sinks.write_run(path, offers(5.0), one, one, one)
+    broken = one.select(F.raise_error(F.lit("killed")).alias("x"))
+    try:
+        sinks.write_run(path, offers(99.0), one, broken, one)
+        raise AssertionError
+    except Exception as e:
+        assert "killed" in str(e)
+    got = sinks.unnest(sinks.read_run(spark, path, "products", nested))
     assert sorted(map(tuple, got.collect())) == [("p", 1, 5.0), ("p", 2, 6.0)]
-    assert spark.read.json(str(tmp_path / "run" / "fx")).count() == 1
+    sinks.write_run(path, offers(4.0), one, one, one)
+    assert {r["total"] for r in sinks.unnest(sinks.read_run(spark, path, "products", nested)).collect()} == {4.0, 6.0}
+    assert [tuple(r) for r in sinks.read_run(spark, path, "stats", "currency string, factor double").collect()] == [("EUR", 7.46)]
