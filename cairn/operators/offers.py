@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import money, text
+from cairn.sources.staging import staged
 
 #: Shops that must have a product in stock before it has a market price.
 MARKET_SHOPS = 3
@@ -84,18 +85,40 @@ def price_strip(offers: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.withColumn("tick", place(F.col("total_dkk"))).withColumn("market_pos", place(F.col("market")))
 
 
+#: Parts of one in which values are counted before those of the middle are looked at one by one.
+SCALES = (100, 1_000_000)
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median) of the values that aren't null, exact, without any key's values in one place.
+
+    Counts by hundredths tell in which of them the middle lies, counts by millionths in that one narrow it, and its
+    distinct values are then counted themselves. Each step adds up before it shuffles; a key has a row for each part.
+    """
+    rows = staged(rows.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v")))  # read once for each step
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    want, by = n.select(key, "n", F.explode(middle).alias("_rank")), [key]
+    for name, part in [*((f"_{s}", F.floor(F.col("_v") * s)) for s in SCALES), ("_exact", F.col("_v"))]:
+        inside = rows.join(want.select(*by).distinct(), by) if len(by) > 1 else rows
+        counts = inside.withColumn(name, part).groupBy(*by, name).agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = F.col("_rank") - F.col("_before")
+        want = want.join(counts.withColumn("_before", before), by).filter((at >= 0) & (at < F.col("_n"))).select(*by, name, "n", at.alias("_rank"))
+        rows, by = rows.withColumn(name, part), [*by, name]
+    return want.groupBy(key).agg(F.max("n").alias("n"), (0.5 * F.min("_exact") + 0.5 * F.max("_exact")).alias("median"))
+
+
 def scorecard(offers: DataFrame, stats: DataFrame) -> DataFrame:
     """Per shop: offers, in stock, contested (two shops or more in stock), wins, win_pct and the price index (median of total to market, three ratios at least)."""
     s = stats.select("product_key", F.col("cheapest.shop_key").alias("_winner"), F.col("cheapest.in_stock").alias("_stock"), "shops_in_stock", "market")
-    rows = offers.join(s, "product_key")
     contested = F.col("in_stock") & (F.col("shops_in_stock") >= 2)
     ratio = F.when(F.col("in_stock") & (F.col("market") > 0), F.col("total_dkk").cast("double") / F.col("market").cast("double"))
-    out = rows.groupBy("shop_key").agg(
-        F.count("*").alias("offers"), F.count_if("in_stock").alias("in_stock"), F.count_if(contested).alias("contested"), F.count_if(contested & F.col("_stock") & (F.col("_winner") == F.col("shop_key"))).alias("wins"),
-        F.count(ratio).alias("_ratios"), F.percentile(ratio, F.lit(0.5)).alias("_median"),
-    )
-    out = out.withColumn("win_pct", F.when(F.col("contested") > 0, F.round(100 * F.col("wins") / F.col("contested"), 0).cast("long")))
-    return out.withColumn("price_index", F.when(F.col("_ratios") >= 3, F.round(100 * F.col("_median"), 0).cast("long"))).drop("_ratios", "_median")
+    won = F.col("_stock") & (F.col("_winner") == F.col("shop_key"))
+    rows = staged(offers.join(s, "product_key").select("shop_key", "in_stock", contested.alias("_contested"), won.alias("_won"), ratio.alias("_ratio")))
+    out = rows.groupBy("shop_key").agg(F.count("*").alias("offers"), F.count_if("in_stock").alias("in_stock"), F.count_if("_contested").alias("contested"), F.count_if(F.col("_contested") & F.col("_won")).alias("wins"))
+    index = medians(rows, "shop_key", "_ratio").filter("n >= 3").select("shop_key", F.round(100 * F.col("median"), 0).cast("long").alias("price_index"))
+    return out.withColumn("win_pct", F.when(F.col("contested") > 0, F.round(100 * F.col("wins") / F.col("contested"), 0).cast("long"))).join(index, "shop_key", "left")
 
 
 def won_products(offers: DataFrame, stats: DataFrame, most: int = 40) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import statistics
 from decimal import Decimal
 
 import pytest
@@ -85,6 +86,36 @@ def test_history(spark):
     assert s["p"]["observations"] == 8 and s["p"]["points"][-1]["dkk"] == 50 and s["q"]["first_day"] == day(1)
 
 
+def test_recent_observations_merge(spark):
+    rng = random.Random(4)
+    start = datetime.date(2020, 1, 1)
+    rows_ = [(p, start + datetime.timedelta(days=d), None if rng.random() < 0.1 else Decimal(rng.randrange(50, 150))) for p in range(40) for d in sorted(rng.sample(range(1500), rng.randrange(1, 30)))]
+    schema = "product_key long, day date, dkk decimal(18,2)"
+    want = {}
+    for p in range(40):
+        own = [x for q, _, x in rows_ if q == p and x is not None]
+        if len(own) >= 3:
+            base = statistics.median(map(float, own[-8:-1]))
+            if base > 0 and (base - float(own[-1])) / base >= 0.03:
+                want[p] = (own[-1], round(base, 2), len(own))
+    whole = history.price_drops(spark.createDataFrame(rows_, schema))
+    assert {r["product_key"]: (r["today"], float(r["baseline"]), r["days"]) for r in whole.collect()} == want
+    parts = [history.recent(spark.createDataFrame([r for r in rows_ if r[1].year in years] or [(0, start, None)], schema)) for years in ((2020,), (2021, 2022), (2023, 2024))]
+    state = history.merge_recent(history.merge_recent(parts[0], parts[1]), parts[2])
+    assert sorted(map(tuple, history.drops(state).collect())) == sorted(map(tuple, whole.collect()))
+    assert "Window" not in whole._jdf.queryExecution().toString()
+    assert whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_medians_of_a_hot_shop(spark):
+    rng = random.Random(6)
+    rows_ = [("hot", rng.choice([rng.random() * 3, 1.0, 1.0 + rng.random() * 1e-7])) for _ in range(5000)] + [("even", 1.25), ("even", 1.5), ("one", 0.333), ("same", 2.0), ("same", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows_, "shop_key string, v double")
+    got = {r["shop_key"]: (r["n"], r["median"]) for r in offers.medians(df, "shop_key", "v").collect()}
+    values = {k: [v for s, v in rows_ if s == k and v is not None] for k in ("hot", "even", "one", "same")}
+    assert got == {k: (len(v), statistics.median(v)) for k, v in values.items()}
+
+
 def test_feeds(spark, tmp_path):
     shops = spark.createDataFrame([("s", "DK", "DKK", "https://s.example/")], "shop_key string, country string, currency string, base_url string")
     variants = [{"title": "Default Title", "price": "10.50", "available": True}, {"title": "Blue", "price": "x", "available": True}, {"title": "Red", "price": "12", "available": False}, {"title": "Free", "price": "0", "available": True}]
@@ -167,7 +198,8 @@ def test_stream_of_snapshots(spark, tmp_path):
     for d, price in ((day(1), 800), (day(2), 700), (day(2), 650)):
         put(d, price)
         snapshots.follow(spark, src, schema, target, str(tmp_path / "cp")).awaitTermination(120)
-    got = sorted((r["day"], r["dkk"]) for r in spark.read.parquet(target).collect())
+    stored = "product_key string, day date, dkk decimal(18,2), total_dkk decimal(18,2), shop_key string, in_stock boolean, run long"
+    got = sorted((r["day"], r["dkk"]) for r in history.read(spark, target, stored).collect())
     assert got == [(day(1), 800), (day(2), 650)]
 
 
