@@ -95,6 +95,33 @@ def hit(norm: Column, terms: Iterable[str]) -> Column:
     return F.regexp_extract(norm, word_pattern(terms), 0)
 
 
+def spotted(norm: Column, terms: Iterable[str]) -> Column:
+    """All of the terms that stand as whole words of a normalised text, in order of place, of those at one place the longest first.
+
+    The text's words pass once, however many dictionaries the terms come from: runs of words are looked up as a set.
+    """
+    known = sorted(set(terms))
+    longest, words = max(t.count(" ") for t in known) + 1, F.split(norm, " ")
+    runs = lambda ws: F.flatten(F.transform(ws, lambda w, i: F.concat(F.transform(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda n: F.array_join(F.slice(ws, i + 1, n), " ")), F.array(w))))
+    looked_up = words if longest == 1 else F.element_at(F.transform(F.array(words), runs), 1)
+    return F.array_intersect(looked_up, F.array(*map(F.lit, known)))
+
+
+def any_of(found: Column, terms: Iterable[str]) -> Column:
+    """Whether one of the terms is among ``spotted``'s."""
+    return F.arrays_overlap(found, F.array(*map(F.lit, terms)))
+
+
+def first_of(found: Column, terms: Iterable[str]) -> Column:
+    """The first of the terms among ``spotted``'s; null if there is none."""
+    return F.get(F.array_intersect(found, F.array(*map(F.lit, terms))), F.lit(0))
+
+
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def has_part(norm: Column, terms: Iterable[str]) -> Column:
     """Whether any of the terms is a substring."""
     return norm.rlike(alternatives(terms))

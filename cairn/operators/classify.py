@@ -24,20 +24,17 @@ NEAR_LETTERS, NEAR_RATIO, COVERAGE, SCORE = 6, 90.0, 0.6, 88
 
 def rejection(norm: Column, raw: Column, rules: T.Rules = RULES) -> Column:
     """The first reason to reject, with the words found, as ``label (words)``; null if there is none."""
-    tests = []
-    for label, terms in rules.reject:
-        found = text.hit(norm, terms)
-        tests.append(F.when(found != "", F.concat(F.lit(f"{label} ("), found, F.lit(")"))))
-    tests.append(F.when(raw.rlike(r"(?U)\b\d{1,3}\s*/\s*\d{1,3}\b"), "single (number in title)"))
-    tests.append(F.when(norm.rlike(r"\b(?:[2-9]|[1-9]\d+)\s*x\b|\bx\s*(?:[2-9]|[1-9]\d+)\b"), "several units"))
-    return F.coalesce(*tests)
+    number = F.when(raw.rlike(r"(?U)\b\d{1,3}\s*/\s*\d{1,3}\b"), "single (number in title)")
+    several = F.when(norm.rlike(r"\b(?:[2-9]|[1-9]\d+)\s*x\b|\bx\s*(?:[2-9]|[1-9]\d+)\b"), "several units")
+    named = lambda found: F.coalesce(*(F.concat(F.lit(f"{label} ("), text.first_of(found, terms), F.lit(")")) for label, terms in rules.reject))
+    return F.coalesce(text.once(text.spotted(norm, (t for _, terms in rules.reject for t in terms)), named), number, several)
 
 
 def types(norm: Column, rules: T.Rules = RULES) -> Column:
     """All product types named, in the order of the rules; a box with a full count of packs is a box."""
-    named = [F.when(text.has_word(norm, terms), F.lit(kind)) for kind, terms in rules.types]
     packs = norm.rlike(f"{T.PACK_BOX}.*?{T.PACK_COUNT}|{T.PACK_COUNT}.*?{T.PACK_BOX}")
-    return F.array_distinct(F.array_compact(F.array(*named, F.when(packs, F.lit(T.BOX_TYPE)))))
+    named = lambda found: F.array(*(F.when(text.any_of(found, terms), F.lit(kind)) for kind, terms in rules.types), F.when(packs, F.lit(T.BOX_TYPE)))
+    return F.array_distinct(F.array_compact(text.once(text.spotted(norm, (t for _, terms in rules.types for t in terms)), named)))
 
 
 def product_type(norm: Column, rules: T.Rules = RULES) -> Column:
@@ -45,13 +42,21 @@ def product_type(norm: Column, rules: T.Rules = RULES) -> Column:
     return F.when((first == T.ELITE_TYPE) & text.has_word(norm, rules.center_words), T.CENTER_TYPE).otherwise(first)
 
 
+def spoken(norm: Column, rules: T.Rules = RULES) -> Column:
+    """The first language that is spelled out."""
+    # a term of several words says nothing where one of its words is a term of the same language
+    short = {code: [t for t in terms if " " not in t or not {*t.split(" ")} & {*terms}] for code, terms in rules.languages}
+    named = lambda found: F.coalesce(*(F.when(text.any_of(found, terms), F.lit(code)) for code, terms in short.items()))
+    return text.once(text.spotted(norm, (t for terms in short.values() for t in terms)), named)
+
+
 def language(norm: Column, raw: Column, rules: T.Rules = RULES) -> Column:
     """Of spelled-out words, else of a tag in brackets or between dashes, else of the last word; null if none is declared."""
-    words = [F.when(text.has_word(norm, terms), F.lit(code)) for code, terms in rules.languages]
+    words = spoken(norm, rules)
     codes = "|".join(T.CODES)
     tag = F.lower(F.regexp_extract(raw, rf"(?iU)(?:[\(\[]\s*|\s[-–|/]\s*)({codes})\s*(?=[\)\]]|$|\s[-–|/])", 1))
     last = F.element_at(F.split(norm, " "), -1)
-    return F.coalesce(*words, F.when(tag != "", tag), F.when(last.isin(*T.CODES), last))
+    return F.coalesce(words, F.when(tag != "", tag), F.when(last.isin(*T.CODES), last))
 
 
 def pre_order(raw: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import classify, offers, runs
+from cairn.operators import classify, offers, rule_tables, runs
 from cairn.registry import query
 from cairn.rules import titles as T
 from cairn.sources import feeds, tables
@@ -45,7 +45,7 @@ def product_keys(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(norm, '{words(t)}') THEN '{c}'" for c, t in T.LANGUAGES)} END AS language FROM n""")
 def language_words(spark: SparkSession, d: str) -> DataFrame:
     n = docs(spark, d).select("doc_id", text.normalise(F.col("text")).alias("norm"))
-    return n.select("doc_id", F.coalesce(*(F.when(text.has_word(F.col("norm"), t), F.lit(c)) for c, t in T.LANGUAGES)).alias("language"))
+    return n.select("doc_id", classify.spoken(F.col("norm")).alias("language"))
 
 
 #: Titles made of the parts' names and words that the rules know.
@@ -68,6 +68,7 @@ def type_detect(spark: SparkSession, d: str) -> DataFrame:
     return forms(spark, d).select("product_key", F.array_join(F.array_sort(t), ",").alias("types"))
 
 
+TYPE_WORDS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(norm, '{words(t)}') THEN '{c}' END" for c, t in T.TYPES) + "], lambda x: x IS NOT NULL)"
 REJECT_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(norm, '{words(t)}') THEN '{c} (' || regexp_extract(norm, '{words(t)}', 2) || ')' END" for c, t in T.REJECT) + ", CASE WHEN regexp_matches(title, '\\b\\d{1,3}\\s*/\\s*\\d{1,3}\\b') THEN 'single (number in title)' END, CASE WHEN regexp_matches(norm, '\\b([2-9]|[1-9]\\d+)\\s*x\\b|\\bx\\s*([2-9]|[1-9]\\d+)\\b') THEN 'several units' END)"
 
 
@@ -76,6 +77,16 @@ def reject_ladder(spark: SparkSession, d: str) -> DataFrame:
     return forms(spark, d).select("product_key", classify.rejection(F.col("norm"), F.col("title")).alias("reason"))
 
 
+@query(FORM_SQL + f"SELECT product_key, CASE WHEN reason NOT IN ('single (number in title)', 'several units') THEN reason END AS reason, array_to_string(list_sort(list_distinct({TYPE_WORDS_SQL})), ',') AS types FROM (SELECT *, {REJECT_SQL} AS reason FROM n)")
+def rules_by_table(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionaries of rejection and of types as a table that is joined with titles: first reason, and all types."""
+    rows = forms(spark, d)
+    met = rule_tables.hits(rows, rule_tables.table(spark))
+    reasons = rule_tables.first_label(met, "reject").select("norm", F.concat(F.col("label"), F.lit(" ("), F.col("term"), F.lit(")")).alias("reason"))
+    out = rows.join(reasons, "norm", "left").join(rule_tables.labels(met, "type"), "norm", "left")
+    return out.select("product_key", "reason", F.array_join(F.coalesce("labels", F.array().cast("array<string>")), ",").alias("types"))
+
+
 @query(FORM_SQL + f"SELECT {REJECT_SQL} AS reason, count(*) AS n FROM n GROUP BY 1 ORDER BY n DESC, reason LIMIT 20")
 def rejection_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """The report's top twenty."""
