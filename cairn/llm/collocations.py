@@ -7,7 +7,8 @@ n-grams that begin before its overlap, so that each occurrence counts once.
 
 One row for each word that a chunk owns, the up to four words from there on, gives the counts of all
 n-grams: sorted, the rows that begin with a phrase stand together, and their sum is its count.
-Ranges of the order are even however common a word is; a phrase that goes over the end of a batch
+Ranges of the order come from a sample of chunks, and rows of a beginning so common that it
+fills several ranges are dealt out over them; a phrase that goes over the end of a batch, or over ranges,
 is added up from its parts.
 """
 
@@ -27,8 +28,10 @@ from . import common
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 #: Words of a piece up to which it is one chunk; one in so many words begins a chunk in longer ones, and no chunk owns more than MOST.
 SHORT, TRIGGER, MOST = 16, 16, 256
-#: Rows that are added up in memory before they are dealt out.
+#: Rows at the ends of chunks, of three words at most, that are added up in memory before they are dealt out.
 ROWS = 200_000
+#: Chunks in the sample for ranges, and bytes of a row by which it finds its range.
+SAMPLE, HEAD = 5_000, 16
 _UPPER, _ENDS = range(65, 91), b".,;:!?\n\x0b\x0c\r"
 #: A-Z to a-z, what ends a piece to line feeds, tabs to blanks.
 FLAT = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if b in _UPPER else b for b in range(256))
@@ -89,73 +92,117 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), bounds
 
 
+def _heads(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first bytes of data[begin:end] of each pair, zeros behind; data goes on for so many bytes."""
+    at = np.arange(HEAD)
+    found = np.where(at < (end - begin)[:, None], data[begin[:, None] + at], 0).astype(np.uint8)
+    return np.ascontiguousarray(found).view(f"S{HEAD}").ravel()
+
+
+def _starts(b: pa.RecordBatch) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(lang, gram, times) of each owned word of the chunks, the grams' first bytes, and which have all four words."""
+    data, bounds = _bytes(b.column("chunk"))
+    low, high = int(bounds[0]), int(bounds[-1])
+    data, bounds = np.concatenate([np.frombuffer(KEYED, np.uint8)[data[low:high]], np.zeros(HEAD, np.uint8)]), bounds - low
+    gaps = np.flatnonzero(data[: high - low] == 0)
+    begin, end = np.sort(np.concatenate([bounds[:-1], gaps + 1])), np.sort(np.concatenate([bounds[1:], gaps]))
+    first = np.searchsorted(begin, bounds)  # of each chunk, the first of its words
+    chunk = np.repeat(np.arange(b.num_rows), np.diff(first))
+    mine = np.flatnonzero(np.arange(len(begin)) - first[chunk] < b.column("owned").to_numpy()[chunk])
+    stop = first[chunk[mine] + 1]
+    last = np.minimum(mine + LONGEST, stop) - 1
+    owner = pa.array(chunk[mine])
+    table = pa.table([b.column("lang").take(owner), _gather(data, begin[mine], end[last]).cast(pa.binary()), b.column("times").take(owner)], names=["lang", "gram", "times"])
+    return table, _heads(data, begin[mine], end[last]), mine + LONGEST <= stop
+
+
+def _ranges(chunks: DataFrame, n: int) -> np.ndarray:
+    """Where n even ranges of the order of grams begin, by about SAMPLE chunks: one in so many, by a hash."""
+    one_in = max(1, chunks.count() // SAMPLE)
+    few = chunks.filter(F.pmod(F.xxhash64("lang", "chunk", "owned"), F.lit(one_in)) == 0)
+    rows = few.select("lang", "chunk", "owned", "times").limit(2 * SAMPLE).toArrow()
+    heads = [np.sort(_starts(b)[1]) for b in rows.combine_chunks().to_batches() if b.num_rows]
+    heads = np.sort(np.concatenate(heads)) if heads else np.empty(0, f"S{HEAD}")
+    return heads[np.arange(1, n) * len(heads) // n] if len(heads) else heads
+
+
 def beginnings(chunks: DataFrame) -> DataFrame:
-    """(key, times): language and the up to four words from each owned word on, zero bytes between, added up by batch."""
-    out = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("times", pa.int64())])
-
-    def starts(b: pa.RecordBatch) -> pa.Table:
-        data, bounds = _bytes(b.column("chunk"))
-        data = np.frombuffer(KEYED, np.uint8)[data]
-        low, high = int(bounds[0]), int(bounds[-1])
-        gaps = np.flatnonzero(data[low:high] == 0) + low
-        begin, end = np.sort(np.concatenate([bounds[:-1], gaps + 1])), np.sort(np.concatenate([bounds[1:], gaps]))
-        first = np.searchsorted(begin, bounds)  # of each chunk, the first of its words
-        chunk = np.repeat(np.arange(b.num_rows), np.diff(first))
-        word = np.arange(len(begin))
-        mine = np.flatnonzero(word - first[chunk] < b.column("owned").to_numpy()[chunk])
-        last = np.minimum(mine + LONGEST - 1, first[chunk[mine] + 1] - 1)
-        owner = pa.array(chunk[mine])
-        return pa.table([b.column("lang").take(owner), _gather(data, begin[mine], end[last]), b.column("times").take(owner)], names=["lang", "gram", "times"])
-
-    def added(parts: list[pa.Table]):
-        t = pa.concat_tables(parts).group_by(["lang", "gram"], use_threads=False).aggregate([("times", "sum")])
-        t = t.select(["lang", "gram", "times_sum"]).rename_columns(out.names).cast(out)
-        yield from t.combine_chunks().to_batches(20_000)
+    """(lang, gram, times, shared): the up to four words from each owned word on, zero bytes between, sorted in ranges. shared: rows of this beginning lie in other ranges, too."""
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = chunks.sparkSession.sparkContext.broadcast(_ranges(chunks, n))  # 16 bytes for each range
+    out = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("gram", pa.binary()), ("times", pa.int64()), ("shared", pa.bool_())])
+
+    def placed(t: pa.Table, head: np.ndarray):
+        bounds = shared.value
+        part = np.searchsorted(bounds, head, "right")
+        many = np.zeros(len(part), bool)
+        if len(bounds) > 1:
+            at = np.flatnonzero(part > 1)
+            many[at] = (bounds[part[at] - 1] == head[at]) & (bounds[part[at] - 2] == head[at])
+            at = np.flatnonzero(many)
+            low = np.searchsorted(bounds, head[at], "left")
+            part[at] = low + np.arange(len(at)) % (part[at] - low + 1)
+        whole = pa.table([pa.array(part.astype(np.int32)), t.column("lang"), t.column("gram"), t.column("times"), pa.array(many)], schema=out)
+        yield from whole.combine_chunks().to_batches(20_000)
+
+    def added(ends: list[pa.Table]):
+        t = pa.concat_tables(ends).group_by(["lang", "gram"], use_threads=False).aggregate([("times", "sum")]).rename_columns(["lang", "gram", "times"])
+        data, bounds = _bytes(t.column("gram").combine_chunks())
+        yield from placed(t, _heads(np.concatenate([data, np.zeros(HEAD, np.uint8)]), bounds[:-1], bounds[1:]))
 
     def each(batches):
-        parts, n = [], 0
+        ends, held = [], 0
         for b in batches:
             for at in range(0, b.num_rows, 10_000):
-                parts.append(starts(b.slice(at, 10_000)))
-                n += parts[-1].num_rows
-                if n >= ROWS:
-                    yield from added(parts)
-                    parts, n = [], 0
-        if n:
-            yield from added(parts)
+                t, head, full = _starts(b.slice(at, 10_000))
+                yield from placed(t.filter(pa.array(full)), head[full])
+                ends.append(t.filter(pa.array(~full)))
+                held += ends[-1].num_rows
+                if held >= ROWS:
+                    yield from added(ends)
+                    ends, held = [], 0
+        if held:
+            yield from added(ends)
 
-    rows = chunks.select("lang", "chunk", "owned", "times").mapInArrow(each, "lang string, gram binary, times long")
-    return rows.select(F.concat(F.col("lang").cast("binary"), F.lit(b"\n"), F.col("gram")).alias("key"), "times")
+    rows = chunks.select("lang", "chunk", "owned", "times").mapInArrow(each, "part int, lang string, gram binary, times long, shared boolean")
+    return rows.repartitionById(n, "part").drop("part").sortWithinPartitions("gram")
 
 
 def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of one to four words that stand ``least`` times, from ``beginnings``."""
     out = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
 
+    def sums(lang: str, grams: pa.Array, times: np.ndarray, shared: np.ndarray):
+        data, bounds = _bytes(grams)
+        begin, end = bounds[:-1], bounds[1:]
+        gaps = np.flatnonzero(data[: end[-1]] == 0)
+        gap = np.searchsorted(gaps, begin)
+        more = np.searchsorted(gaps, end) - gap
+        gaps = np.append(gaps, 0)
+        for words in range(1, LONGEST + 1):
+            rows = np.flatnonzero(more >= words - 1)
+            if not len(rows):
+                break
+            to = np.where(more[rows] == words - 1, end[rows], gaps[np.minimum(gap[rows] + words - 1, len(gaps) - 1)])
+            keys = _gather(data, begin[rows], to)
+            new = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))]) if len(rows) > 1 else np.zeros(1, np.int64)
+            f = np.add.reduceat(times[rows], new)
+            keep = (f >= least) | np.logical_or.reduceat(shared[rows], new)
+            keep[[0, -1]] = True  # these may go on in other batches
+            found = [k.translate(PLAIN).decode() for k in keys.take(pa.array(new[keep])).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array([words] * len(found), pa.int32()), pa.array(f[keep], pa.int64())], schema=out)
+
     def each(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            data, bounds = _bytes(b.column("key"))
-            times, begin, end = b.column("times").to_numpy(), bounds[:-1], bounds[1:]
-            lines, gaps = np.flatnonzero(data[: end[-1]] == 10), np.flatnonzero(data[: end[-1]] == 0)
-            line = lines[np.searchsorted(lines, end) - 1]  # the last one ends the language
-            gap = np.searchsorted(gaps, line)
-            more = np.searchsorted(gaps, end) - gap
-            for words in range(1, LONGEST + 1):
-                rows = np.flatnonzero(more >= words - 1)
-                if not len(rows):
-                    break
-                to = np.where(more[rows] == words - 1, end[rows], gaps[np.minimum(gap[rows] + words - 1, len(gaps) - 1)] if len(gaps) else end[rows])
-                keys = _gather(data, begin[rows], to)
-                new = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))]) if len(rows) > 1 else np.zeros(1, np.int64)
-                f = np.add.reduceat(times[rows], new)
-                keep = f >= least
-                keep[[0, -1]] = True  # these may go on in other batches
-                found = [k.rpartition(b"\n") for k in keys.take(pa.array(new[keep])).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0].decode() for x in found], pa.string()), pa.array([x[2].translate(PLAIN).decode() for x in found], pa.string()), pa.array([words] * len(found), pa.int32()), pa.array(f[keep], pa.int64())], schema=out)
-
-    parts = rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(each, "lang string, phrase string, words int, f long")
+            coded = b.column("lang").dictionary_encode()
+            codes, times, shared = coded.indices.to_numpy(), b.column("times").to_numpy(), b.column("shared").to_numpy(zero_copy_only=False)
+            for code, lang in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == code)
+                yield from sums(lang, b.column("gram").take(pa.array(own)), times[own], shared[own])
+
+    parts = rows.mapInArrow(each, "lang string, phrase string, words int, f long")
     return parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 

@@ -71,6 +71,18 @@ def test_small_batches_long_pieces_and_cuts(spark, prose, monkeypatch):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_beginning_that_fills_ranges_is_dealt_out(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", "de"]), f"a common beginning of w{rng.randrange(5)} x{rng.randrange(10**6)}") for _ in range(900)] + [("en", f"rare w{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        assert collocations.beginnings(collocations.dictionary(df)).filter("shared").count() > 100
+        assert got(df) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_each_occurrence_is_owned_once():
     rng = random.Random(1)
     for _ in range(200):
