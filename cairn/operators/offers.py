@@ -134,6 +134,19 @@ def set_rollup(stats: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.groupBy("set_name").agg(F.count("*").alias("products"), F.min("cheapest.amount_dkk").alias("cheapest"), F.sum("n_offers").alias("offer_count"), F.array_sort(F.collect_set("product_type")).alias("types"))
 
 
+def set_overview(stats: DataFrame, titles: DataFrame) -> DataFrame:
+    """Per set of titles (product_key, set_name, set_id, release_date): whether it is matched, its release date, products, smallest item price of the cheapest offers, number of offers."""
+    rows = titles.select("product_key", "set_name", "set_id", "release_date").join(stats, "product_key")
+    return rows.groupBy("set_name").agg(F.max("set_id").isNotNull().alias("matched"), F.max("release_date").alias("release_date"), F.count("*").alias("products"), F.min("cheapest.amount_dkk").alias("cheapest"), F.sum("n_offers").alias("offer_count"))
+
+
+def cards(stats: DataFrame, titles: DataFrame, most: int = 6) -> DataFrame:
+    """(set_name, product_key, total, place): each set's products with the best discounts, no discount counting as 0, then the cheapest."""
+    rows = titles.select("product_key", "set_name").join(stats, "product_key").select("set_name", "product_key", "discount_pct", F.col("cheapest.total_dkk").alias("total"))
+    w = Window.partitionBy("set_name").orderBy(F.coalesce("discount_pct", F.lit(0.0)).desc(), "total", "product_key")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
 def group_products(offers: DataFrame) -> DataFrame:
     """Keys of classified offers (set_id, set_name, product_type, language, seq, title columns): product_key and the naming offer's set_name.
 

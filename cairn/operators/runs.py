@@ -61,9 +61,26 @@ def country_name(code: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))[code], code)
 
 
+def _set_order() -> list[Column]:
+    return [F.desc("matched"), F.desc(F.coalesce("release_date", F.lit("0000-00-00"))), F.desc("offer_count"), F.col("set_name")]
+
+
 def ordered_sets(sets: DataFrame) -> DataFrame:
     """Sets (matched, release_date, offer_count, set_name): matched first, the newest first, then those with most offers."""
-    return sets.orderBy(F.desc("matched"), F.desc(F.coalesce("release_date", F.lit("0000-00-00"))), F.desc("offer_count"), "set_name")
+    return sets.orderBy(*_set_order())
+
+
+def set_places(sets: DataFrame) -> DataFrame:
+    """Adds each set's place in that order, from 1. A list of sets has a row for each name, some hundreds: one task numbers them."""
+    return sets.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*_set_order())))
+
+
+def totals(sets: DataFrame, log: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row: sets, matched sets, failed and stale shops, products in several shops."""
+    one = sets.agg(F.count("*").alias("sets"), F.count_if("matched").alias("matched_sets"))
+    two = log.agg(F.count_if(F.col("status") == "failed").alias("failed_shops"), F.count_if(F.col("status") == "stale").alias("stale_shops"))
+    three = stats.agg(F.count_if(F.col("shop_count") > 1).alias("in_several_shops"))
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))  # a row each
 
 
 def type_place(kind: Column) -> Column:

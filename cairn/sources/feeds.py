@@ -91,12 +91,17 @@ def read_feed(spark: SparkSession, kind: str, path: str, shops: DataFrame) -> Da
     return transform(read_json(spark, path, schema), shops)
 
 
+def unknown_shops(wanted: DataFrame, shops: DataFrame) -> DataFrame:
+    """The keys (shop_key) that no shop has."""
+    return wanted.select("shop_key").distinct().join(shops, "shop_key", "left_anti")
+
+
 def select_shops(shops: DataFrame, keys: list[str] | None) -> DataFrame:
     """The shops of these keys; a key that no shop has is an error."""
     if not keys:
         return shops
     wanted = shops.sparkSession.createDataFrame([(k,) for k in keys], "shop_key string")
-    unknown = [r[0] for r in wanted.join(shops, "shop_key", "left_anti").collect()]
+    unknown = [r[0] for r in unknown_shops(wanted, shops).collect()]
     if unknown:
         raise ValueError(f"unknown shops: {', '.join(sorted(unknown))}")
     return shops.filter(F.col("shop_key").isin(keys))
