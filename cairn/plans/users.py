@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import money
-from cairn.operators import offers, users
+from cairn.operators import offers, text_index, users
 from cairn.plans.market import SQL, deduped, num
 from cairn.registry import query
 from cairn.sources import tables
-from cairn.sources.staging import staged
+from cairn.sources.staging import folder, staged
 
 INDEX_SQL = """, countries AS (SELECT product_key, list_sort(list(DISTINCT country)) AS countries FROM dedup GROUP BY product_key),
 idx AS (SELECT market.product_key, p_name || ' ' || p_type AS title, p_brand AS set_name, p_type AS product_type, best_amount AS price, best_shipping AS ship, best_total AS total, best_shop AS shop, best_in_stock AS in_stock, discount_pct, shop_count, countries,
@@ -100,3 +100,15 @@ def rerank_overrides(spark: SparkSession, d: str) -> DataFrame:
     mine = watch.select("user_id").distinct().withColumn("_third", F.pmod(-F.col("user_id"), F.lit(3)).cast("int")).join(lengths, "_third").select("user_id", "country", (10 + F.col("user_id") % 50).cast(money.MONEY).alias("amount"))
     out = users.rerank(deduped(spark, d), watch, mine)
     return num(out.filter("rank = 1").select("user_id", "product_key", "shop_key", "total_dkk"), "total_dkk")
+
+
+@query("""WITH n AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 4, 2 + p_partkey % 6) AS name FROM part),
+t AS (SELECT p_partkey AS product_key, lower(p_name || ' ' || p_type || ' ' || p_brand) AS title FROM part)
+SELECT name, count(*) AS products, min(product_key) AS first FROM n JOIN t ON contains(title, lower(name)) GROUP BY name""")
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of names searched for in all titles by an index of their runs of letters: how many products have each, and the first."""
+    p = tables.table(spark, d, "part")
+    path = folder(spark, "index")
+    text_index.write(p.select(F.col("p_partkey").alias("product_key"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title")), path)
+    names = p.select(F.substring("p_name", (1 + F.col("p_partkey") % 4).cast("int"), (2 + F.col("p_partkey") % 6).cast("int")).alias("name"))
+    return text_index.search(spark, path, names).groupBy("name").agg(F.count("*").alias("products"), F.min("product_key").alias("first"))
