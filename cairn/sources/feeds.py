@@ -12,6 +12,7 @@ from cairn.functions import money, text
 
 NESTED = "shop_key string, path string, page int, products array<struct<id:bigint,handle:string,title:string,variants:array<struct<title:string,price:string,available:boolean>>>>"
 FLAT = "shop_key string, name string, permalink string, prices struct<price:string,currency_minor_unit:int,currency_code:string>, is_in_stock boolean, is_purchasable boolean, stock_availability struct<text:string>"
+LISTING = "shop_key string, page_id bigint, url string, html string"
 SETS = "id string, name string, releaseDate string"
 OFFERS = "shop_key string, title string, url string, amount decimal(18,2), currency string, in_stock boolean"
 
@@ -81,7 +82,13 @@ def conform(rows: DataFrame, shops: DataFrame, captured_at: Column) -> DataFrame
     return known.select("shop_key", "country", F.trim(text.unescape(F.col("title"))).alias("title"), "url", F.round("amount", 2).cast(money.MONEY).alias("amount"), F.upper(F.coalesce("currency", "_own")).alias("currency"), "in_stock", captured_at.cast("date").alias("captured_at"), F.lit(False).alias("stale"))
 
 
-READERS: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {"nested": (NESTED, nested), "flat": (FLAT, flat)}
+def listed(pages: DataFrame, shops: DataFrame) -> DataFrame:
+    """A row per block of listing pages with title, link and price, in the shop's own currency."""
+    rows = listing(pages).join(pages.select("page_id", "shop_key").distinct(), "page_id")
+    return rows.select("shop_key", "title", "url", "amount", F.lit(None).cast("string").alias("currency"), "in_stock")
+
+
+READERS: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {"nested": (NESTED, nested), "flat": (FLAT, flat), "listing": (LISTING, listed)}
 
 
 def read_feed(spark: SparkSession, kind: str, path: str, shops: DataFrame) -> DataFrame:

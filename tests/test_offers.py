@@ -127,6 +127,10 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "f.json").write_text("\n".join(map(json.dumps, flat)))
     got = feeds.conform(feeds.read_feed(spark, "flat", str(tmp_path / "f.json"), shops), shops, F.lit("2026-09-24"))
     assert sorted((r["title"], str(r["amount"]), r["currency"], r["in_stock"]) for r in got.collect()) == [("A", "123.45", "EUR", True), ("B", "500.00", "DKK", False)]
+    pages = [{"shop_key": "s", "page_id": 1, "url": "https://s.example/all?page=1", "html": '<li class="product"><h3><a href="/p/1">Box &amp; Co</a></h3><span class="price">1.299,50 kr</span></li><li class="product"><a href="x">Tin</a> 20 kr udsolgt</li><li class="product">no link 5 kr</li>'}, {"shop_key": "none", "page_id": 2, "url": "u", "html": "<p>nothing</p>"}]
+    (tmp_path / "l.json").write_text("\n".join(map(json.dumps, pages)))
+    got = feeds.conform(feeds.read_feed(spark, "listing", str(tmp_path / "l.json"), shops), shops, F.lit("2026-09-24"))
+    assert sorted((r["title"], r["url"], str(r["amount"]), r["currency"], r["in_stock"]) for r in got.collect()) == [("Box & Co", "https://s.example/p/1", "1299.50", "DKK", True), ("Tin", "https://s.example/x", "20.00", "DKK", False)]
     with pytest.raises(ValueError, match="no reader"):
         feeds.read_feed(spark, "other", "x", shops)
     with pytest.raises(ValueError, match="unknown shops: z"):
