@@ -56,6 +56,23 @@ def discard() -> int:
     return gone
 
 
+def mark() -> int:
+    """The number of folders named so far, for ``discard_since``."""
+    return len(_FOLDERS)
+
+
+def discard_since(begin: int) -> int:
+    """Deletes the folders named since ``begin`` but the last one, for when that is written and nothing else reads the others; tells their number."""
+    gone, last = 0, _FOLDERS[-1:] if len(_FOLDERS) > begin else []
+    for uri in _FOLDERS[begin:-1]:
+        fs, path = filesystem(uri)
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            fs.delete_dir(path)
+            gone += 1
+    _FOLDERS[begin:] = last
+    return gone
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage with a table in the shared folder; survives the loss of executors."""
     spark = df.sparkSession

@@ -32,3 +32,9 @@ def test_pipeline_of_odd_documents(spark, edge, empty, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = common.written(stage(spark, docs, sf), "stage")
         docs.count()
+
+
+def test_a_run_drops_what_it_no_longer_reads(spark, sf):
+    begin = common.mark()
+    assert corpus_pipeline.run(spark, sf).count() > 100
+    assert len(common._FOLDERS) - begin <= 2  # the last stage's documents, and its pieces
