@@ -47,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, begin = common.table(spark, sf_dir, "documents"), common.mark()
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard_since(begin)  # what the stage has staged, and the stage before: only this table is read on
     return STAGES[-1][1](spark, docs, sf_dir)
