@@ -128,13 +128,26 @@ def _labels(items: Column, bound: Column, limit: int) -> Column:
 
     def add(acc: Column, x: Column) -> Column:
         more = F.flatten(F.transform(acc, lambda s: F.transform(x["near"], lambda e: next_label(s, e))))
-        alive = F.filter(F.transform(more, grown), lambda s: s["cost"] - _sum(F.transform(s["key"], lambda k: k["may"])) + x["rest"] <= bound)
+        may = lambda n: _sum(F.transform(n["s"]["key"], lambda k: k["may"])) + n["may"]
+        close = F.filter(more, lambda n: n["cost"] - may(n) + x["rest"] <= bound)
+        alive = F.filter(F.transform(close, grown), lambda s: s["cost"] - _sum(F.transform(s["key"], lambda k: k["may"])) + x["rest"] <= bound)
         # sorted by label, then cost and picks: the first of each label lives
         best = _let(F.array_sort(alive), lambda t: F.filter(t, lambda s, i: (i == 0) | (F.get(t, i - 1)["key"] != s["key"])))
         return F.when(F.size(acc) <= limit, best)
 
-    found = F.aggregate(steps, start, add)
-    return _let(found, lambda t: F.when(F.size(t) <= limit, F.array_min(F.transform(t, lambda s: F.struct(s["cost"].alias("cost"), s["picks"].alias("picks"))))))
+    def run(near_: Column) -> Column:
+        # where one offer for each item is near enough, they are the answer
+        alone = F.transform(near_, lambda x: F.get(x["near"], F.lit(0)))
+        single = _let(alone, lambda es: F.struct(cost(F.transform(es, lambda e: e["o"]).cast(PICK)).alias("cost"), F.transform(es, lambda e: e["j"]).alias("picks")))
+        several = _let(F.aggregate(near_, start, add), lambda t: F.when(F.size(t) <= limit, F.array_min(F.transform(t, lambda s: F.struct(s["cost"].alias("cost"), s["picks"].alias("picks"))))))
+        return F.when(F.forall(near_, lambda x: F.size(x["near"]) == 1), single).otherwise(several)
+
+    return _let(steps, run)
+
+
+def _solved(items: Column, bound: Column, limit: int) -> Column:
+    """``_labels`` with the bound evaluated once."""
+    return _let(bound, lambda b: _labels(items, b, limit))
 
 
 def _charge(picks: Column, o: Column) -> Column:
@@ -187,8 +200,8 @@ def split(baskets: DataFrame, labels: int = LABELS, more: int = MORE_LABELS) ->
     items = F.col("items")
     chosen = lambda found: F.struct(F.lit("exact").alias("method"), found["cost"].alias("cost"), F.zip_with(items, found["picks"], lambda x, j: F.get(x["offers"], j)).cast(PICK).alias("picks"))
     known = lambda found: F.when(found.isNotNull(), chosen(found))
-    second = lambda near: F.coalesce(_let(_labels(items, near["cost"], more), known), F.struct(F.lit("local").alias("method"), near["cost"].alias("cost"), near["picks"].alias("picks")))
-    best = _let(_obvious(items), lambda starts: F.coalesce(_let(_labels(items, F.array_min(F.transform(starts, cost)), labels), known), _let(_improved(items, starts), second)))
+    second = lambda near: F.coalesce(_let(_solved(items, near["cost"], more), known), F.struct(F.lit("local").alias("method"), near["cost"].alias("cost"), near["picks"].alias("picks")))
+    best = _let(_obvious(items), lambda starts: F.coalesce(_let(_solved(items, F.array_min(F.transform(starts, cost)), labels), known), _let(_improved(items, starts), second)))
     out = baskets.withColumn("_best", best)
     return out.select("basket_id", F.col("_best.method").alias("method"), (F.col("_best.cost") / 100).cast(money.MONEY).alias("total"), F.col("_best.picks").alias("picks"))
 

@@ -84,11 +84,13 @@ def test_random_baskets(spark, labels):
         best = min(cost(c, shops) for c in itertools.product(*items))
         picks = [(o["shop"], o["price"] / 100) for o in got[b]["picks"]]
         assert abs(cost(picks, shops) - float(got[b]["total"])) < 1e-9
-        assert got[b]["method"] == ("exact" if labels else "local")
-        assert got[b]["total"] == best if labels else best <= got[b]["total"] <= plain_local_search(items, shops)
+        exact = got[b]["method"] == "exact"  # without labels only where one offer for each item is near enough
+        assert exact or not labels
+        assert got[b]["total"] == best if exact else best <= got[b]["total"] <= plain_local_search(items, shops)
         assert got[b]["total"] <= apart[b] and got[b]["total"] <= single.get(b, 10**9)
         cheapest = [min(i, key=lambda o: o[1]) for i in items]
         assert got[b]["total"] <= cost(cheapest, shops)
+    assert labels or {r["method"] for r in got.values()} == {"exact", "local"}
 
 
 def test_orders_list_items_by_subtotal(spark):
