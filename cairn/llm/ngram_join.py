@@ -34,6 +34,8 @@ from .components import components
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POLY = 0x100000001B3
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Pairs that are connected at a time, and cells of a table of classes by n-grams: a group of near copies has pairs by the square of its size.
+PAIRS, CELLS = 1 << 17, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -247,23 +249,30 @@ def _stars(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return label
 
 
-def _compared(tokens: np.ndarray, sizes: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one bucket whose sketches agree in enough places; buckets lie one after another."""
+def _compared(tokens: np.ndarray, sizes: np.ndarray, agree: int):
+    """Pairs of rows of one bucket whose sketches agree in enough places, some PAIRS at a time; buckets lie one after another."""
     rest = np.concatenate([np.arange(n, 0, -1) for n in sizes]) if len(sizes) else np.empty(0, int)
-    left, right, rows = [], [], np.arange(len(rest))
+    left, right, held, rows = [], [], 0, np.arange(len(rest))
     for d in range(1, int(sizes.max(initial=0))):
         rows = rows[rest[rows] > d]
         same = (tokens[rows] == tokens[rows + d]).sum(axis=1) >= agree
         left.append(rows[same])
         right.append(rows[same] + d)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
+        held += len(left[-1])
+        if held >= PAIRS:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
-def _crossed(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a row of ``left`` and one of ``right`` whose sketches agree in enough places."""
-    pairs = [np.nonzero((tokens[left[at : at + 64], None] == tokens[right][None]).sum(axis=2) >= agree) for at in range(0, len(left), 64)] if len(right) else []
-    found = [(left[a + 64 * i], right[b]) for i, (a, b) in enumerate(pairs)]
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
+def _crossed(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, agree: int):
+    """Pairs of a row of ``left`` and one of ``right`` whose sketches agree in enough places, PAIRS at a time at most."""
+    step, others = max(1, PAIRS // (len(right) + 1)), tokens[right]
+    for at in range(0, len(left), step):
+        same = np.stack([(others == t).sum(axis=1) >= agree for t in tokens[left[at : at + step]]])
+        a, b = np.nonzero(same)
+        yield left[at + a], right[b]
 
 
 def _bucket_edges(rows: DataFrame, params: Params) -> DataFrame:
@@ -282,12 +291,13 @@ def _bucket_edges(rows: DataFrame, params: Params) -> DataFrame:
             ids, tokens, label = t.column("id").to_numpy(), _tokens(t.column("sketch"), params.hashes), np.arange(t.num_rows)
             whole = key[1, starts] == key[2, starts]
             rows = np.flatnonzero(np.repeat(whole, sizes))
-            left, right = _compared(tokens[rows], sizes[whole], params.agree)
-            label = _stars(label, rows[left], rows[right])
+            for left, right in _compared(tokens[rows], sizes[whole], params.agree):
+                label = _stars(label, rows[left], rows[right])
             own = t.column("own").to_numpy()
             for at in np.flatnonzero(~whole):
                 rows = np.arange(starts[at], starts[at] + sizes[at])
-                label = _stars(label, *_crossed(tokens, rows[own[rows] == key[1, starts[at]]], rows[own[rows] == key[2, starts[at]]], params.agree))
+                for left, right in _crossed(tokens, rows[own[rows] == key[1, starts[at]]], rows[own[rows] == key[2, starts[at]]], params.agree):
+                    label = _stars(label, left, right)
             far = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], schema=EDGE)
 
@@ -441,18 +451,21 @@ def _linked(sets: list[np.ndarray], own: np.ndarray, i: int, j: int, threshold:
     code, row = code[order], row[order]
     rows_i, rows_j = np.flatnonzero(own == i), np.flatnonzero(own == j)
     common_grams = np.zeros((len(rows_i), len(rows_j)), np.int32)
-    for at in range(0, int(often.sum()), 2048):
-        lo, hi = np.searchsorted(code, (at, at + 2048))
-        dense = np.zeros((len(sets), min(2048, int(often.sum()) - at)), np.float32)
+    width = min(2048, max(64, CELLS // len(sets)))
+    for at in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(code, (at, at + width))
+        dense = np.zeros((len(sets), min(width, int(often.sum()) - at)), np.float32)
         dense[row[lo:hi], code[lo:hi] - at] = 1
+        others = dense[rows_j].T
         for top in range(0, len(rows_i), 512):
-            common_grams[top : top + 512] += (dense[rows_i[top : top + 512]] @ dense[rows_j].T).astype(np.int32)  # 2048 at most: exact
+            common_grams[top : top + 512] += (dense[rows_i[top : top + 512]] @ others).astype(np.int32)  # 2048 at most: exact
     # whole numbers, so that pairs at the threshold itself are links: common / union >= n / d
     n, d = Fraction(str(threshold)).limit_denominator(10**6).as_integer_ratio()
     count, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
-    for top in range(0, len(rows_i), 512):
-        part = rows_i[top : top + 512]
-        links = common_grams[top : top + 512].astype(np.int64) * (n + d) >= n * (sizes[part][:, None] + sizes[rows_j][None, :])
+    step = max(1, PAIRS // (len(rows_j) + 1))
+    for top in range(0, len(rows_i), step):
+        part = rows_i[top : top + step]
+        links = common_grams[top : top + step].astype(np.int64) * (n + d) >= n * (sizes[part][:, None] + sizes[rows_j][None, :])
         if i == j:
             links[np.arange(len(part)), np.arange(top, top + len(part))] = False
         count[part] += links.sum(axis=1)

@@ -81,6 +81,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
                 if with_ids:  # the pieces lie one after another in ids
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, bounds[-1]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 

@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -234,3 +237,47 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["id"]: r["component"] for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+class _Rows:
+    """Runs what mapInArrow is given over one batch."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def _peak(run):
+    """(result, MB) at the peak of what numpy and Python allocate."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("crossed", [False, True])
+def test_pairs_of_a_group_of_near_copies_are_not_held_at_once(crossed):
+    n, rng = (3000 if crossed else 4000), np.random.default_rng(1)
+    own = np.arange(n) % 2
+    sketches = np.tile(rng.integers(0, 2**32, 64).astype(np.uint32), (n, 1))
+    sketches[:, 0] = np.arange(n)
+    columns = {"key": np.zeros(n, int) if crossed else np.arange(n) // 1000, "i": np.zeros(n, int), "j": np.full(n, int(crossed)), "own": own, "id": np.arange(n), "sketch": [s.tobytes() for s in sketches]}
+    edges, most = _peak(lambda: ngram_join._bucket_edges(_Rows(pa.RecordBatch.from_pydict(columns)), ngram_join.Params()))
+    want = {(i, 0 if crossed else i // 1000 * 1000) for i in range(n)}
+    assert {e for b in edges for e in zip(b["a"].to_pylist(), b["b"].to_pylist())} == {(a, b) for a, b in want if a != b}
+    assert most < 40
+
+
+def test_blocks_of_near_copies_are_compared_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    base = np.arange(1, 61, dtype=np.uint64)
+    sets = [np.append(base, np.uint64(1000 + i)) for i in range(6000)]
+    (count, label), most = _peak(lambda: ngram_join._linked(sets, rng.permutation(np.arange(6000) % 2), 0, 1, 0.8))
+    assert (count == 3000).all() and not label.any()
+    assert most < 90
