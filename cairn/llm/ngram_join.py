@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .tokens import Encoder
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POLY = 0x100000001B3
@@ -149,6 +150,7 @@ def signatures(docs: DataFrame, params: Params) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("id", pa.int64()), ("grams", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches):
+        Encoder.forget()  # a worker may have packed another run's documents before
         shingles = Shingler(params.words)
         for whole in batches:
             for b in common.slices(whole, "text", 4 << 20):

@@ -7,6 +7,7 @@ distinct chunks: no Python object per word or per document.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -95,6 +96,15 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Gives back what this worker keeps from encoding, for a stage that doesn't encode."""
+        if cls._made:
+            cls._made.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 

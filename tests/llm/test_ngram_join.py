@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from cairn.llm import ngram_join
 from cairn.llm.components import components
+from cairn.llm.tokens import Encoder, default_tokenizer
 
 
 def shingles(text):
@@ -281,3 +282,10 @@ def test_blocks_of_near_copies_are_compared_in_bounded_memory():
     (count, label), most = _peak(lambda: ngram_join._linked(sets, rng.permutation(np.arange(6000) % 2), 0, 1, 0.8))
     assert (count == 3000).all() and not label.any()
     assert most < 90
+
+
+def test_a_worker_gives_back_its_encoder(spark):
+    Encoder.of(default_tokenizer())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_key": [2], "text": [b"a b c"]})
+    (made,) = ngram_join.signatures(_Rows(batch), ngram_join.Params())
+    assert made.num_rows == 1 and not Encoder._made
