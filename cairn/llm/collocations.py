@@ -6,16 +6,18 @@ their number: n-grams are counted inside distinct chunks, times that number. A c
 n-grams that begin before its overlap, so that each occurrence counts once.
 
 One row for each word that a chunk owns, the up to four words from there on, gives the counts of all
-n-grams: sorted, the rows that begin with a phrase stand together, and their sum is its count.
-Ranges of the order come from a sample of chunks, and rows of a beginning so common that it
-fills several ranges are dealt out over them; a phrase that goes over the end of a batch, or over ranges,
-is added up from its parts.
+n-grams. Rows are dealt out by their first word, or by more words where a sample of chunks says that
+the first ones are too common for one part. In its part a row has its place by one number, made
+of hashes of its first words, the first two and the first three: rows that begin with a phrase stand together,
+perhaps with others of the same hash, and are told apart by their words. A phrase that goes over the
+end of a batch, or over parts, is added up from its sums there.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from . import common
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 #: Words of a piece up to which it is one chunk; one in so many words begins a chunk in longer ones, and no chunk owns more than MOST.
 SHORT, TRIGGER, MOST = 16, 16, 256
-#: Rows at the ends of chunks, of three words at most, that are added up in memory before they are dealt out.
+#: Rows of three words at most, at the ends of chunks, or of four very common ones, that are added up in memory before they are dealt out.
 ROWS = 200_000
-#: Chunks in the sample for ranges, and bytes of a row by which it finds its range.
-SAMPLE, HEAD = 5_000, 16
+#: Chunks in the sample for common beginnings, and rows in it that make one.
+SAMPLE, COMMON = 5_000, 8
+#: Bits of a row's number behind those for its first one, two, three and four words.
+BEHIND = (40, 20, 0, 0)
 _UPPER, _ENDS = range(65, 91), b".,;:!?\n\x0b\x0c\r"
 #: A-Z to a-z, what ends a piece to line feeds, tabs to blanks.
 FLAT = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if b in _UPPER else b for b in range(256))
@@ -53,6 +57,14 @@ def parse(piece: bytes):
             begin = i
 
 
+def _clean(text: bytes) -> bytes:
+    """Pieces with line feeds between, one blank between words and none around them."""
+    text = text.translate(FLAT)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.replace(b"\n ", b"\n").replace(b" \n", b"\n").strip(b" ")
+
+
 def dictionary(docs: DataFrame) -> DataFrame:
     """(lang, chunk, owned, times): the distinct chunks of all texts by language."""
     out = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("owned", pa.int32()), ("times", pa.int64())])
@@ -60,149 +72,202 @@ def dictionary(docs: DataFrame) -> DataFrame:
     def each(batches):
         for whole in batches:
             for b in common.slices(whole, "text", 4 << 20):
-                counts: Counter = Counter()
+                pieces: dict[str, Counter] = {}
                 for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                    for piece in text.translate(FLAT).split(b"\n"):
-                        if b"  " in piece or piece[:1] == b" " or piece[-1:] == b" ":
-                            piece = b" ".join(piece.split(b" ")) if b"  " not in piece else b" ".join(w for w in piece.split(b" ") if w)
-                            piece = piece.strip(b" ")
-                        if piece:
-                            counts.update((lang, chunk, owned) for chunk, owned in parse(piece))
-                if counts:
-                    langs, chunks, owned = zip(*counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(owned, pa.int32()), pa.array(counts.values(), pa.int64())], schema=out)
+                    pieces.setdefault(lang, Counter()).update(_clean(text).split(b"\n"))
+                for lang, times in pieces.items():
+                    times.pop(b"", None)
+                    yield from owned(lang, times)
+
+    def owned(lang: str, times: Counter):
+        pieces, many = pa.array(times, pa.binary()), np.fromiter(times.values(), np.int64, len(times))
+        words = pc.count_substring(pieces, " ").to_numpy(zero_copy_only=False).astype(np.int32) + 1
+        short = words <= SHORT
+        parts: Counter = Counter()
+        for piece, n in zip(pieces.filter(pa.array(~short)).to_pylist(), many[~short].tolist()):
+            for part in parse(piece):
+                parts[part] += n
+        chunks, sizes = zip(*parts) if parts else ((), ())
+        for found in ((pieces.filter(pa.array(short)), words[short], many[short]), (chunks, sizes, list(parts.values()))):
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found[0]), pa.string()), *(pa.array(c, f.type) for c, f in zip(found, list(out)[1:]))], schema=out)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     return rows.mapInArrow(each, "lang string, chunk binary, owned int, times long").groupBy("lang", "chunk", "owned").agg(F.sum("times").alias("times"))
 
 
-def _gather(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """data[begin:end] of each pair, as binary values."""
+def _gather(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """data[begin:end] of each pair, as strings or binary values."""
     sizes = end - begin
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.repeat(begin - offsets[:-1], sizes) + np.arange(offsets[-1])
-    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
+    offsets = np.append(0, np.cumsum(sizes))
+    if offsets[-1] >= 1 << 31:
+        raise OverflowError("over 2 GB of words in one batch")
+    offsets = offsets.astype(np.int32)
+    at = np.repeat(begin.astype(np.int32) - offsets[:-1], sizes)
+    at += np.arange(offsets[-1], dtype=np.int32)
+    return pa.Array.from_buffers(kind, len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Data and offsets of a binary column."""
-    wide = column.cast(pa.large_binary())
-    _, offsets, data = wide.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    """Data and offsets of a string or binary column."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), bounds
 
 
-def _heads(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The first bytes of data[begin:end] of each pair, zeros behind; data goes on for so many bytes."""
-    at = np.arange(HEAD)
-    found = np.where(at < (end - begin)[:, None], data[begin[:, None] + at], 0).astype(np.uint8)
-    return np.ascontiguousarray(found).view(f"S{HEAD}").ravel()
+class _Hashed:
+    """64-bit hashes of any stretches of data, by sums over its beginnings."""
+
+    ODD = 0x9E3779B97F4A7C15
 
+    def __init__(self, data: np.ndarray):
+        powers = lambda of: np.cumprod(np.append(np.uint64(1), np.full(len(data), of, np.uint64)), dtype=np.uint64)
+        self.sums = np.append(np.uint64(0), np.cumsum((data + np.uint64(1)) * powers(self.ODD)[:-1], dtype=np.uint64))
+        self.back = powers(pow(self.ODD, -1, 1 << 64))
 
-def _starts(b: pa.RecordBatch) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """(lang, gram, times) of each owned word of the chunks, the grams' first bytes, and which have all four words."""
+    def __call__(self, begin: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        h = (self.sums[end] - self.sums[begin]) * self.back[begin] ^ seed
+        for shift in (31, 29):
+            h = (h ^ h >> np.uint64(shift)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(32)
+
+
+def _starts(b: pa.RecordBatch) -> tuple[pa.Table, Callable[[int, np.ndarray], np.ndarray], np.ndarray]:
+    """(lang, gram, times, near) of each owned word of the chunks, hash(words, rows) of so many first words of these rows, and how many words each row has. Rows are in order of near: those that begin alike stand together, for they are packed better so."""
     data, bounds = _bytes(b.column("chunk"))
     low, high = int(bounds[0]), int(bounds[-1])
-    data, bounds = np.concatenate([np.frombuffer(KEYED, np.uint8)[data[low:high]], np.zeros(HEAD, np.uint8)]), bounds - low
-    gaps = np.flatnonzero(data[: high - low] == 0)
+    data, bounds = np.frombuffer(KEYED, np.uint8)[data[low:high]], bounds - low
+    gaps = np.flatnonzero(data == 0)
     begin, end = np.sort(np.concatenate([bounds[:-1], gaps + 1])), np.sort(np.concatenate([bounds[1:], gaps]))
     first = np.searchsorted(begin, bounds)  # of each chunk, the first of its words
     chunk = np.repeat(np.arange(b.num_rows), np.diff(first))
+    coded, hashed = b.column("lang").dictionary_encode(), _Hashed(data)
+    seeds = np.array([zlib.crc32(lang.encode()) for lang in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()][chunk]
+    last = first[chunk + 1] - 1
+
+    def known(words: int, rows: np.ndarray) -> np.ndarray:
+        return hashed(begin[rows], end[np.minimum(rows + words - 1, last[rows])], seeds[rows])
+
     mine = np.flatnonzero(np.arange(len(begin)) - first[chunk] < b.column("owned").to_numpy()[chunk])
-    stop = first[chunk[mine] + 1]
-    last = np.minimum(mine + LONGEST, stop) - 1
+    half = np.uint64(32)
+    near = known(1, mine) >> half << half | known(2, mine) >> half
+    order = np.argsort(near)
+    mine, near = mine[order], near[order]
     owner = pa.array(chunk[mine])
-    table = pa.table([b.column("lang").take(owner), _gather(data, begin[mine], end[last]).cast(pa.binary()), b.column("times").take(owner)], names=["lang", "gram", "times"])
-    return table, _heads(data, begin[mine], end[last]), mine + LONGEST <= stop
+    words = np.minimum(last[mine] + 1 - mine, LONGEST)
+    table = pa.table([b.column("lang").take(owner), _gather(data, begin[mine], end[mine + words - 1], pa.string()), b.column("times").take(owner), pa.array(near)], names=["lang", "gram", "times", "near"])
+    return table, lambda n, rows: known(n, mine[rows]), words
 
 
-def _ranges(chunks: DataFrame, n: int) -> np.ndarray:
-    """Where n even ranges of the order of grams begin, by about SAMPLE chunks: one in so many, by a hash."""
+def _common(chunks: DataFrame, n: int) -> list[np.ndarray]:
+    """Hashes of the beginnings, of one to four words, that have over a quarter of one of n even parts of the rows, by about SAMPLE chunks: one in so many, by a hash."""
     one_in = max(1, chunks.count() // SAMPLE)
     few = chunks.filter(F.pmod(F.xxhash64("lang", "chunk", "owned"), F.lit(one_in)) == 0)
     rows = few.select("lang", "chunk", "owned", "times").limit(2 * SAMPLE).toArrow()
-    heads = [np.sort(_starts(b)[1]) for b in rows.combine_chunks().to_batches() if b.num_rows]
-    heads = np.sort(np.concatenate(heads)) if heads else np.empty(0, f"S{HEAD}")
-    return heads[np.arange(1, n) * len(heads) // n] if len(heads) else heads
+    found: list[list[np.ndarray]] = [[] for _ in range(LONGEST)]
+    for whole in rows.combine_chunks().to_batches():
+        for b in common.slices(whole, "chunk", 1 << 18):
+            _, known, words = _starts(b)
+            for size, own in enumerate(found, 1):
+                own.append(known(size, np.flatnonzero(words >= size)))
+    out = []
+    for own in found:
+        hashes, rows_of = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
+        out.append(hashes[rows_of >= max(COMMON, sum(map(len, found[0])) / (4 * n))])
+    return out
 
 
 def beginnings(chunks: DataFrame) -> DataFrame:
-    """(lang, gram, times, shared): the up to four words from each owned word on, zero bytes between, sorted in ranges. shared: rows of this beginning lie in other ranges, too."""
+    """(lang, gram, times, split, shared, place): the up to four words from each owned word on, zero bytes between, in order of place in each part. split: so many of its first words are common, alone and together, and what begins with them lies in several parts (shared)."""
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = chunks.sparkSession.sparkContext.broadcast(_ranges(chunks, n))  # 16 bytes for each range
-    out = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("gram", pa.binary()), ("times", pa.int64()), ("shared", pa.bool_())])
-
-    def placed(t: pa.Table, head: np.ndarray):
-        bounds = shared.value
-        part = np.searchsorted(bounds, head, "right")
-        many = np.zeros(len(part), bool)
-        if len(bounds) > 1:
-            at = np.flatnonzero(part > 1)
-            many[at] = (bounds[part[at] - 1] == head[at]) & (bounds[part[at] - 2] == head[at])
-            at = np.flatnonzero(many)
-            low = np.searchsorted(bounds, head[at], "left")
-            part[at] = low + np.arange(len(at)) % (part[at] - low + 1)
-        whole = pa.table([pa.array(part.astype(np.int32)), t.column("lang"), t.column("gram"), t.column("times"), pa.array(many)], schema=out)
-        yield from whole.combine_chunks().to_batches(20_000)
-
-    def added(ends: list[pa.Table]):
-        t = pa.concat_tables(ends).group_by(["lang", "gram"], use_threads=False).aggregate([("times", "sum")]).rename_columns(["lang", "gram", "times"])
-        data, bounds = _bytes(t.column("gram").combine_chunks())
-        yield from placed(t, _heads(np.concatenate([data, np.zeros(HEAD, np.uint8)]), bounds[:-1], bounds[1:]))
+    often = chunks.sparkSession.sparkContext.broadcast(_common(chunks, n))  # at most 4 n numbers for each number of words
+    out = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("gram", pa.string()), ("times", pa.int64()), ("split", pa.int32())])
+
+    def placed(t: pa.Table, known: Callable[[int, np.ndarray], np.ndarray], words: np.ndarray) -> pa.Table:
+        rows, part, split = np.arange(len(words)), np.empty(len(words), np.int32), np.zeros(len(words), np.int32)
+        for n_words, of in enumerate(often.value, 1):
+            rows = rows[words[rows] >= n_words]
+            h = known(n_words, rows)
+            part[rows] = h % np.uint64(n)
+            rows = rows[of[np.searchsorted(of[:-1], h)] == h] if len(of) else rows[:0]
+            split[rows] = n_words
+        return t.append_column("part", pa.array(part)).append_column("split", pa.array(split))
+
+    def sent(t: pa.Table):
+        yield from t.select(out.names).combine_chunks().to_batches(20_000)
+
+    def added(tables: list[pa.Table]) -> tuple[pa.Table, pa.Table]:
+        """Sums: of what stood once, and of what stood several times."""
+        t = pa.concat_tables(tables).group_by(["near", "lang", "gram"], use_threads=False).aggregate([("times", "sum"), ("part", "min"), ("split", "min"), ("times", "count")])
+        t = t.rename_columns(["near", "lang", "gram", "times", "part", "split", "rows"])
+        t = t.take(pa.array(np.argsort(t.column("near").to_numpy())))
+        again = pc.greater(t.column("rows"), 1)
+        return tuple(t.filter(which).select(tables[0].column_names) for which in (pc.invert(again), again))
 
     def each(batches):
-        ends, held = [], 0
-        for b in batches:
-            for at in range(0, b.num_rows, 10_000):
-                t, head, full = _starts(b.slice(at, 10_000))
-                yield from placed(t.filter(pa.array(full)), head[full])
-                ends.append(t.filter(pa.array(~full)))
-                held += ends[-1].num_rows
-                if held >= ROWS:
-                    yield from added(ends)
-                    ends, held = [], 0
+        held: list[pa.Table] = []
+        for whole in batches:
+            for b in common.slices(whole, "chunk", 1 << 18):
+                t, known, words = _starts(b)
+                t = placed(t, known, words)
+                few = pa.array((words < LONGEST) | (t.column("split").to_numpy() == LONGEST))
+                yield from sent(t.filter(pc.invert(few)))
+                held.append(t.filter(few))
+                if sum(map(len, held)) >= ROWS:
+                    once, again = added(held)
+                    yield from sent(once)
+                    held = [again]  # likely to come again
+                    if len(again) > ROWS // 2:
+                        yield from sent(again)
+                        held = []
         if held:
-            yield from added(ends)
+            for t in added(held):
+                yield from sent(t)
 
-    rows = chunks.select("lang", "chunk", "owned", "times").mapInArrow(each, "part int, lang string, gram binary, times long, shared boolean")
-    return rows.repartitionById(n, "part").drop("part").sortWithinPartitions("gram")
+    rows = chunks.select("lang", "chunk", "owned", "times").mapInArrow(each, "part int, lang string, gram string, times long, split int")
+    low = lambda words: F.xxhash64("lang", F.substring_index("gram", "\0", words)).bitwiseAND(F.lit((1 << 20) - 1))
+    place = F.shiftleft(F.xxhash64("lang", F.substring_index("gram", "\0", 1)), BEHIND[0]).bitwiseOR(F.shiftleft(low(2), BEHIND[1])).bitwiseOR(low(3))
+    return rows.repartitionById(n, "part").select("lang", "gram", "times", "split", (F.col("split") > 0).alias("shared"), place.alias("place")).sortWithinPartitions("place")
 
 
 def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of one to four words that stand ``least`` times, from ``beginnings``."""
     out = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
 
-    def sums(lang: str, grams: pa.Array, times: np.ndarray, shared: np.ndarray):
-        data, bounds = _bytes(grams)
-        begin, end = bounds[:-1], bounds[1:]
-        gaps = np.flatnonzero(data[: end[-1]] == 0)
-        gap = np.searchsorted(gaps, begin)
-        more = np.searchsorted(gaps, end) - gap
-        gaps = np.append(gaps, 0)
-        for words in range(1, LONGEST + 1):
-            rows = np.flatnonzero(more >= words - 1)
-            if not len(rows):
-                break
-            to = np.where(more[rows] == words - 1, end[rows], gaps[np.minimum(gap[rows] + words - 1, len(gaps) - 1)])
-            keys = _gather(data, begin[rows], to)
-            new = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))]) if len(rows) > 1 else np.zeros(1, np.int64)
-            f = np.add.reduceat(times[rows], new)
-            keep = (f >= least) | np.logical_or.reduceat(shared[rows], new)
-            keep[[0, -1]] = True  # these may go on in other batches
-            found = [k.translate(PLAIN).decode() for k in keys.take(pa.array(new[keep])).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array([words] * len(found), pa.int32()), pa.array(f[keep], pa.int64())], schema=out)
-
     def each(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             coded = b.column("lang").dictionary_encode()
-            codes, times, shared = coded.indices.to_numpy(), b.column("times").to_numpy(), b.column("shared").to_numpy(zero_copy_only=False)
-            for code, lang in enumerate(coded.dictionary.to_pylist()):
-                own = np.flatnonzero(codes == code)
-                yield from sums(lang, b.column("gram").take(pa.array(own)), times[own], shared[own])
-
-    parts = rows.mapInArrow(each, "lang string, phrase string, words int, f long")
+            langs, lang, times, split, place = coded.dictionary, coded.indices.to_numpy(), b.column("times").to_numpy(), b.column("split").to_numpy(), b.column("place").to_numpy()
+            data, bounds = _bytes(b.column("gram"))
+            begin, end = bounds[:-1], bounds[1:]
+            gaps = np.flatnonzero(data[: end[-1]] == 0)
+            gap = np.searchsorted(gaps, begin)
+            more = np.searchsorted(gaps, end) - gap
+            gaps, rows = np.append(gaps, 0), np.arange(b.num_rows)
+            for words in range(1, LONGEST + 1):
+                rows = rows[more[rows] >= words - 1]
+                if not len(rows):
+                    break
+                to = np.where(more[rows] == words - 1, end[rows], gaps[np.minimum(gap[rows] + words - 1, len(gaps) - 1)])
+                keys = _gather(data, begin[rows], to, pa.binary()).dictionary_encode()
+                pair = keys.indices.to_numpy().astype(np.int64) * len(langs) + lang[rows]
+                if len(keys.dictionary) * len(langs) > 8 * b.num_rows:
+                    names, pair = np.unique(pair, return_inverse=True)
+                else:
+                    names = np.arange(len(keys.dictionary) * len(langs))
+                f, keep = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+                np.add.at(f, pair, times[rows])
+                run = place >> BEHIND[words - 1]
+                keep[pair[np.isin(run[rows], run[[0, -1]]) | (split[rows] >= words)]] = True  # these may go on in other batches
+                keep |= f >= least
+                kept = np.flatnonzero(keep & (f > 0))
+                found = [k.translate(PLAIN).decode() for k in keys.dictionary.take(pa.array(names[kept] // len(langs))).to_pylist()]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(names[kept] % len(langs))), pa.array(found, pa.string()), pa.array([words] * len(found), pa.int32()), pa.array(f[kept], pa.int64())], schema=out)
+                rows = rows[keep[pair]]
+
+    parts = rows.select("lang", "gram", "times", "split", "place").mapInArrow(each, "lang string, phrase string, words int, f long")
     return parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
@@ -228,7 +293,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int
     A null text is empty, a null language is ``und``; repeated rows count each. Pieces without words give
     nothing, and an empty table no rows. Other columns of docs are not looked at, doc_id neither.
     """
-    chunks = common.written(dictionary(docs), "dictionary")
+    chunks = common.written(dictionary(docs), "dictionary", compression="zstd")
     counts = common.written(counted(beginnings(chunks), least), "counts")
     n = chunks.groupBy("lang").agg(F.sum(F.col("owned").cast("long") * F.col("times")).alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

@@ -73,11 +73,11 @@ def discard_since(begin: int) -> int:
     return gone
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage with a table in the shared folder; survives the loss of executors."""
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Cuts lineage with a table in the shared folder; survives the loss of executors. compression: of its Parquet files, Spark's own choice if none."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -83,6 +83,44 @@ def test_a_beginning_that_fills_ranges_is_dealt_out(spark):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_rows_are_sorted_by_one_number(spark, prose):
+    df = spark.createDataFrame([(l, t) for l, t in prose], "lang string, text string")
+    rows = collocations.beginnings(collocations.dictionary(df))
+    assert dict(rows.dtypes)["place"] == "bigint"
+    parts = [[r["place"] for r in part] for part in rows.select("place").rdd.glom().collect()]
+    assert sum(map(len, parts)) > 100 and all(part == sorted(part) for part in parts)
+    # one word, two words and three words each have their bits, and few meet there by chance
+    places = {}
+    for r in rows.select("lang", "gram", "place").distinct().collect():
+        for n, behind in zip((1, 2, 3), collocations.BEHIND):
+            places.setdefault((r["lang"], *r["gram"].split("\0")[:n], n), set()).add(r["place"] >> behind if len(r["gram"].split("\0")) >= n else None)
+    assert all(len(found - {None}) <= 1 for found in places.values())
+
+
+def test_phrases_that_meet_in_one_place(spark):
+    grams = [("en", "a\0x", 0), ("en", "b\0x", 0), ("de", "a\0x", 0), ("en", "c", 1 << 41)] * 40 + [("en", "d\0y\0z\0z", 1 << 42), ("en", "e\0y\0z\0z", 1 << 42)] * 29
+    rows = spark.createDataFrame([(l, g, 1, 0, p) for l, g, p in sorted(grams, key=lambda r: r[2])], "lang string, gram string, times long, split int, place long").coalesce(1)
+    for size in (3, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(tuple(r) for r in collocations.counted(rows).collect()) == [("de", "a", 1, 40), ("de", "a x", 2, 40), ("en", "a", 1, 40), ("en", "a x", 2, 40), ("en", "b", 1, 40), ("en", "b x", 2, 40), ("en", "c", 1, 40)]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_of_short_beginnings_are_added_in_portions(spark, prose, monkeypatch):
+    monkeypatch.setattr(collocations, "ROWS", 5)
+    df = spark.createDataFrame([(l, t) for l, t in prose], "lang string, text string")
+    assert got(df, least=3) == brute(prose, least=3)
+
+
+def test_beginnings_that_fill_a_quarter_of_a_part_are_common(spark):
+    df = spark.createDataFrame([("en", f"w{i % 20} x{i}") for i in range(400)], "lang string, text string")
+    chunks = collocations.dictionary(df)
+    assert [len(found) for found in collocations._common(chunks, 40)] == [20, 0, 0, 0]
+    assert [len(found) for found in collocations._common(chunks, 4)] == [0, 0, 0, 0]
+
+
 def test_each_occurrence_is_owned_once():
     rng = random.Random(1)
     for _ in range(200):
