@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import uuid
@@ -38,8 +39,9 @@ _FOLDERS: list[str] = []
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """URI of a folder of its own for one call, inside the shared folder. It stays until ``discard``."""
-    _FOLDERS.append(f"{shared_dir(spark)}/cairn-{label}-{uuid.uuid4().hex}")
-    return _FOLDERS[-1]
+    uri = f"{shared_dir(spark)}/cairn-{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append(uri)
+    return uri
 
 
 def discard() -> int:
@@ -73,12 +75,51 @@ def discard_since(begin: int) -> int:
     return gone
 
 
+def _write(df: DataFrame, path: str, compression: str | None) -> DataFrame:
+    df.write.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cuts lineage with a table in the shared folder; survives the loss of executors. compression: of its Parquet files, Spark's own choice if none."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, new_folder(df.sparkSession, label), compression)
+
+
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession):
+    """Queries of the session that end meanwhile give back their shuffle files then, not when the driver happens to collect its garbage.
+
+    For queries that are run once: one that runs again makes its shuffle files again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Steps:
+    """Tables that one call stages by ``written`` and gives up by ``drop`` as it goes on; what is not dropped stays until ``discard``."""
+
+    def __init__(self):
+        self.folders: dict[str, str] = {}
+
+    def written(self, df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+        """As the function of that name; the step's shuffle files go once it is written."""
+        self.folders[label] = new_folder(df.sparkSession, label)
+        with shuffles_end(df.sparkSession):
+            return _write(df, self.folders[label], compression)
+
+    def drop(self, *labels: str) -> None:
+        """Deletes tables of this call that nothing reads any more, its result included. One that pyarrow can't reach stays until ``discard``."""
+        for label in labels:
+            uri = self.folders.pop(label)
+            with contextlib.suppress(OSError, pa.ArrowException):
+                fs, path = filesystem(uri)
+                fs.delete_dir(path)
+                _FOLDERS.remove(uri)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

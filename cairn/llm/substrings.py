@@ -220,16 +220,23 @@ def crowded(distinct: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, found): of each document with words to remove its fragments, each with the windows of it that a smaller doc_id has, as bits."""
-    rows = common.written(passages(docs, common.written(recurring(docs), "runs")), "passages")
-    distinct = common.written(rows.groupBy("run", "fragment", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "fragments")
-    least = common.written(located(distinct, crowd), "least")
-    many = common.written(least.filter("fragment is null").select("run").distinct(), "crowds")
+    """(doc_id, found): of each document with words to remove its fragments, each with the windows of it that a smaller doc_id has, as bits.
+
+    A staged table: what the steps before have staged and shuffled is gone from disk as soon as no later step reads it.
+    """
+    steps = common.Steps()
+    rows = steps.written(passages(docs, steps.written(recurring(docs), "runs")), "passages", compression="zstd")
+    steps.drop("runs")
+    distinct = steps.written(rows.groupBy("run", "fragment", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "fragments", compression="zstd")
+    least = steps.written(located(distinct, crowd), "least")
+    many = steps.written(least.filter("fragment is null").select("run").distinct(), "crowds")
     least = least.unionByName(crowded(distinct.join(many, "run", "left_semi")))
     least = least.filter(F.exists("least", lambda a: a.isNotNull()))
     bits = sum((F.when(F.get("least", F.lit(j)) < F.col("doc_id"), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(WINDOW - RUN + 1)), F.lit(0))
     found = rows.select("run", "fragment", "doc_id").join(least, ["run", "fragment"]).select("doc_id", "fragment", bits.alias("bits")).filter("bits > 0")
-    return found.groupBy("doc_id").agg(F.collect_set(F.struct("fragment", "bits")).alias("found"))
+    found = steps.written(found.groupBy("doc_id").agg(F.collect_set(F.struct("fragment", "bits")).alias("found")), "found")
+    steps.drop("passages", "fragments", "least", "crowds")
+    return found
 
 
 def removed(words: Words, run: tuple, found: list[tuple[np.ndarray, np.ndarray] | None]) -> np.ndarray:

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from cairn.llm import substrings
+from cairn.llm import common, substrings
 from cairn.llm.words import Words
 
 SCHEMA = "doc_id long, text string, run long, found string"
@@ -82,6 +84,25 @@ def test_one_passage_in_all_documents(spark):
         assert got(frame(spark, rows), crowd=crowd) == brute(rows)
 
 
+def test_steps_give_back_their_disk(spark, texts):
+    def shuffles():
+        local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {p for d in local for p in Path(d.getAbsolutePath()).rglob("shuffle_*")}
+
+    shared = Path(common.filesystem(common.shared_dir(spark))[1])
+    folders, files, key = set(shared.iterdir()), shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = substrings.dedup(frame(spark, texts), crowd=3)
+    assert [p.name.split("-")[1] for p in set(shared.iterdir()) - folders] == ["found"]
+    for _ in range(50):  # files are deleted in the background
+        if not (left := shuffles() - files):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key) == "false"
+    for _ in range(2):  # what is left on disk is all that a result needs, however often it is computed
+        assert sorted((tuple(r) for r in df.collect()), key=str) == brute(texts)
+
+
 def test_kept_words(spark):
     a = " ".join(f"a{i}" for i in range(20))
     out = {r["doc_id"]: r["kept"] for r in substrings.dedup(frame(spark, [(1, a), (2, f"start {a}\nend")]), texts=True).collect()}
