@@ -138,6 +138,8 @@ def price_of(text: Column) -> Column:
 WINDOWS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
 #: An entity: a number, or a name; without a semicolon only the names that HTML knows so.
 ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+#: The same, with a semicolon always.
+CLOSED_ENTITY = ENTITY.replace(";?", ";")
 
 
 def _entity_table() -> dict[str, str]:
@@ -145,16 +147,19 @@ def _entity_table() -> dict[str, str]:
     return {f"&{name}": char for name, char in html5.items()}
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, closed: bool = False) -> Column:
     """Decodes HTML entities, each once: all names of HTML, and numbers of any code point.
 
     Only a text's own distinct entities are looked up, in one constant map. A number of no character gives
     the replacement character, and 128 to 159 what they mean in Windows-1252. A name without its semicolon is decoded where HTML
-    knows it so; an unknown name stays, but for the longest known beginning of it without a semicolon.
+    knows it so; an unknown name stays, but for the longest known beginning of it without a semicolon. ``closed`` decodes
+    entities with their semicolon alone: what a cut text ends in (``&amp``) stays as it is.
     """
     table = F.from_json(F.lit(json.dumps(_entity_table())), "map<string,string>")
 
     def named(e: Column) -> Column:
+        if closed:
+            return F.coalesce(table[e], e)
         # names without a semicolon have two letters at least: the longest beginning that is one
         sizes = F.sequence(F.length(e) - 1, F.lit(3), F.lit(-1))
         known = F.filter(F.transform(sizes, lambda n: F.substring(e, F.lit(1), n)), lambda x: table[x].isNotNull())
@@ -172,7 +177,7 @@ def unescape(text: Column) -> Column:
             F.when((code == 0) | (code > 0x10FFFF) | ((code >= 0xD800) & (code < 0xE000)), "\ufffd").when((code >= 128) & (code < 160), windows).when(code == 13, "\r").when(dropped, "").otherwise(big)
         )
 
-    return _replaced(text, ENTITY, lambda e: F.when(e.startswith("&#"), numbered(e)).otherwise(named(e)))
+    return _replaced(text, CLOSED_ENTITY if closed else ENTITY, lambda e: F.when(e.startswith("&#"), numbered(e)).otherwise(named(e)))
 
 
 def strip_tags(html: Column) -> Column:
