@@ -60,6 +60,8 @@ class Listing:
     price: tuple[str, ...] = (r'(?s)<span class="(?:productSpecialPrice|price)">(.*?)</span>', r"(?s)^(.*)$")
     # Markers of goods that are out of stock.
     sold_out: tuple[str, ...] = ("udsolgt", "ikke paa lager", "ikke på lager", "sold out", "out of stock", "restordre", "forudbestilling")
+    # Whether only entities with their semicolon are decoded.
+    closed: bool = False
 
 
 def listing(pages: DataFrame, patterns: Listing = Listing()) -> DataFrame:
@@ -70,10 +72,10 @@ def listing(pages: DataFrame, patterns: Listing = Listing()) -> DataFrame:
     found = [F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in patterns.blocks]
     blocks = F.coalesce(*(F.when(F.size(x) > 0, x) for x in found))
     rows = pages.select("page_id", F.col("url").alias("_page"), F.posexplode(blocks).alias("seq", "_block"))
-    clean = lambda c: F.trim(text.unescape(text.strip_tags(c)))
+    clean = lambda c: F.trim(text.unescape(text.strip_tags(c), patterns.closed))
     words = F.lower(clean(F.col("_block")))
     rows = rows.select("page_id", "seq", clean(first(F.col("_block"), patterns.title)).alias("title"), first(F.col("_block"), patterns.href).alias("_href"), text.price_of(clean(first(F.col("_block"), patterns.price))).alias("amount"), (~words.rlike(text.alternatives(patterns.sold_out))).alias("in_stock"), "_page")
-    return rows.filter((F.col("title") != "") & (F.col("_href") != "") & F.col("amount").isNotNull()).select("page_id", "seq", "title", text.absolute(text.unescape(F.col("_href")), F.col("_page")).alias("url"), "amount", "in_stock")
+    return rows.filter((F.col("title") != "") & (F.col("_href") != "") & F.col("amount").isNotNull()).select("page_id", "seq", "title", text.absolute(text.unescape(F.col("_href"), patterns.closed), F.col("_page")).alias("url"), "amount", "in_stock")
 
 
 def conform(rows: DataFrame, shops: DataFrame, captured_at: Column) -> DataFrame:

@@ -11,7 +11,7 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["entity_decode"])
+@pytest.mark.parametrize("name", ["entity_decode", "page_listing"])
 def test_entities_cut_at_the_end_of_a_title_stay(spark, tmp_path, name):
     rows = [(i, f"https://a.example/x/{i}", html) for i, html in PAGES]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
