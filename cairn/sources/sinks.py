@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,49 @@ from cairn.functions import money
 from cairn.sources import commits
 
 
+#: Runs that the log of last good snapshots holds before they are merged into one.
+RUNS = 8
+
+
 def write_last_good(offers: DataFrame, path: str) -> None:
-    """Replaces the snapshots of the shops that have offers, and no others."""
-    offers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shop_key").parquet(path)
+    """Replaces the snapshots of the shops that have offers, and no others.
+
+    Stored, they are a log: a run writes its rows as files of its own, as many as it has tasks and not one for each shop, and commits
+    the list of runs that count; of each shop the last run with it does. More than ``RUNS`` are merged into one. What a merge has
+    replaced goes at the next one, so that readers who have begun can end.
+    """
+    spark = offers.sparkSession
+    state, folder = commits.current(spark, path), commits.new_folder(path)
+    offers.write.parquet(folder)
+    if spark.read.parquet(folder).isEmpty():
+        return commits.drop(spark, folder)
+    state = commits.commit(spark, path, {"live": [*(state.content["live"] if state else []), folder.rpartition("/")[2]]}, state)
+    if len(state.content["live"]) > RUNS:
+        merged = commits.new_folder(path)
+        _last_runs(spark, path, state).write.parquet(merged)
+        kept = {merged.rpartition("/")[2], *state.content["live"]}
+        commits.commit(spark, path, {"live": [merged.rpartition("/")[2]]}, state)
+        for name in commits.children(spark, path):
+            if name.startswith("data-") and name not in kept:
+                commits.drop(spark, f"{path}/{name}")
+
+
+def _last_runs(spark: SparkSession, path: str, state: commits.Commit) -> DataFrame:
+    """Of each shop the rows of the last run that has it; a run's shops are read from their column alone."""
+    runs = [spark.read.parquet(f"{path}/{name}").withColumn("_run", F.lit(i)) for i, name in enumerate(state.content["live"])]
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
+    if len(runs) > 1:
+        last = rows.groupBy(F.col("shop_key").alias("_shop")).agg(F.max("_run").alias("_last"))
+        rows = rows.join(last, F.col("shop_key").eqNullSafe(F.col("_shop")) & (F.col("_run") == F.col("_last")), "left_semi")
+    return rows.drop("_run")
 
 
 def read_last_good(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("stale", F.lit(True))
+    """Each shop's last good snapshot, flagged stale."""
+    state = commits.current(spark, path)
+    if state is None:
+        raise FileNotFoundError(f"no run is committed under {path}")
+    return _last_runs(spark, path, state).withColumn("stale", F.lit(True))
 
 
 def nest(offers: DataFrame) -> DataFrame:
