@@ -55,17 +55,23 @@ def places(index: DataFrame, mode: str) -> DataFrame:
 def find(index: DataFrame, names: DataFrame) -> DataFrame:
     """(name, product_key): the product whose title is the name in either case, else the first that contains it.
 
-    An equality join finds the exact titles; only names without one are searched for as substrings.
+    Equal titles are one, with their first product. An equality join finds the exact titles; only names without one are searched
+    for as substrings, at the places of a title where their first letters stand.
     """
-    titles = index.select("product_key", F.lower("title").alias("_title"))
+    titles = index.groupBy(F.lower("title").alias("_title")).agg(F.min("product_key").alias("product_key"))
     wanted = names.select("name").distinct().withColumn("_name", F.lower("name"))
     exact = wanted.join(titles, F.col("_name") == F.col("_title")).groupBy("name").agg(F.min("product_key").alias("product_key"))
     rest = wanted.join(exact, "name", "left_anti")
-    # a title that contains the name has its first three letters among its own runs of one to three
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_title")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring("_title", i, n)))))
-    near = titles.filter(F.length("_title") > 0).withColumn("_run", F.explode(runs))
-    part = near.join(rest.withColumn("_run", F.substring("_name", 1, 3)), "_run").filter(F.col("_title").contains(F.col("_name"))).groupBy("name").agg(F.min("product_key").alias("product_key"))
-    return exact.unionByName(part)
+    places = titles.filter(F.length("_title") > 0).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_title"))))
+
+    def starting(n: int, size: Column) -> DataFrame:
+        """Names of that size, each with the products of titles that have its first n letters and then the rest."""
+        here = places.withColumn("_run", F.col("_title").substr(F.col("_at"), F.lit(n)))
+        return here.join(rest.filter(size).withColumn("_run", F.substring("_name", 1, n)), "_run").filter(F.col("_title").contains(F.col("_name"))).select("name", "product_key")
+
+    # names of one or two letters have no third
+    found = starting(3, F.length("_name") >= 3).unionByName(starting(2, F.length("_name") == 2)).unionByName(starting(1, F.length("_name") == 1))
+    return exact.unionByName(found.groupBy("name").agg(F.min("product_key").alias("product_key")))
 
 
 def merge_holdings(rows: DataFrame) -> DataFrame:
