@@ -240,6 +240,26 @@ def single_shop(offers: DataFrame, shops: DataFrame) -> DataFrame:
     return full.withColumn("total", total).groupBy("basket_id").agg(F.min(F.struct("total", "shop")).alias("b")).select("basket_id", "b.shop", "b.total")
 
 
+def single_shop_products(items: DataFrame, offers: DataFrame, shops: DataFrame) -> DataFrame:
+    """As ``single_shop``, from items (basket_id, product_key) and offers (product_key, offer_rank, shop, price), those of unknown shops left out.
+
+    A product's shops are 64 bits, each shop one by its hash; what the bits of a basket's products have in common tells
+    which offers can matter, and only those become rows. Whether a shop has every item is then counted.
+    """
+    rules = shops.select(F.col("shop_key").alias("shop"), "ship", "free_over")
+    known = offers.join(rules.select("shop"), "shop", "left_semi").groupBy("product_key", "shop").agg(F.min_by("price", "offer_rank").alias("price"))
+    bit = lambda shop: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(shop), F.lit(64)).cast("int"))
+    bits = known.groupBy("product_key").agg(F.bit_or(bit(F.col("shop"))).alias("_bits"))
+    rows = items.select("basket_id", "product_key")
+    able = rows.join(bits, "product_key").groupBy("basket_id").agg(F.bit_and("_bits").alias("_bits"), F.count("*").alias("_n")).filter("_bits <> 0")
+    products = known.groupBy("product_key").agg(F.collect_list(F.struct("shop", "price")).alias("_offers"))
+    near = rows.join(able, "basket_id").join(products, "product_key").select("basket_id", "_n", F.explode(F.filter("_offers", lambda o: bit(o["shop"]).bitwiseAND(F.col("_bits")) != 0)).alias("o"))
+    own = near.groupBy("basket_id", F.col("o.shop").alias("shop")).agg(F.sum("o.price").alias("sub"), F.count("*").alias("_has"), F.first("_n").alias("_n"))
+    full = own.filter("_has = _n").join(rules, "shop")
+    total = F.col("sub") + money.order_shipping(F.col("sub"), F.col("ship"), F.col("free_over"))
+    return full.withColumn("total", total).groupBy("basket_id").agg(F.min(F.struct("total", "shop")).alias("b")).select("basket_id", "b.shop", "b.total")
+
+
 def unavailable(items: DataFrame, offers: DataFrame) -> DataFrame:
     """Items that no shop has."""
     return items.join(offers.select("basket_id", "item_pos").distinct(), ["basket_id", "item_pos"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import money
 from cairn.operators import basket, offers
-from cairn.plans.market import SQL, deduped, num
+from cairn.plans.market import SQL, landed, num
 from cairn.registry import query
 from cairn.sources import tables
 
@@ -22,13 +22,15 @@ FEE = "CASE WHEN {1} IS NOT NULL AND {0} >= {1} THEN 0 ELSE coalesce({2}, 0) END
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    pairs = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_key")).distinct()
+    # dealt out by basket once: distinct items and their places need no other shuffle
+    pairs = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("product_key")).repartition("basket_id").distinct()
     return pairs.withColumn("item_pos", F.row_number().over(Window.partitionBy("basket_id").orderBy("product_key")))
 
 
 def product_offers(spark: SparkSession, d: str) -> DataFrame:
-    """Every product's offers in stock, in order of landed total."""
-    return offers.ranked(deduped(spark, d).filter("in_stock")).select("product_key", F.col("rank").alias("offer_rank"), F.col("shop_key").alias("shop"), F.col("amount_dkk").alias("price"))
+    """Every product's offers in stock, in order of landed total: one shuffle, by product, of what is in stock. A shop's best offer is in stock if any of its offers is."""
+    rows = landed(spark, d).filter("in_stock").repartition("product_key")
+    return offers.ranked(offers.one_per_shop(rows)).select("product_key", F.col("rank").alias("offer_rank"), F.col("shop_key").alias("shop"), F.col("amount_dkk").alias("price"))
 
 
 def basket_offers(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +61,7 @@ def basket_separately(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT basket_id, shop, sub + {FEE.format('sub', 'free_over', 'ship')} AS total FROM s JOIN n USING (basket_id) WHERE has = n)
 SELECT basket_id, shop, CAST(total AS DOUBLE) AS total FROM f QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY total, shop) = 1""")
 def basket_single_shop(spark: SparkSession, d: str) -> DataFrame:
-    return num(basket.single_shop(basket_offers(spark, d), rules(spark, d)), "total")
+    return num(basket.single_shop_products(items(spark, d), product_offers(spark, d), rules(spark, d)), "total")
 
 
 # item by item, without what can't come under the cost of taking every item where it is cheapest
