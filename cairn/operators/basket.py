@@ -44,13 +44,29 @@ def gather(offers: DataFrame, shops: DataFrame) -> DataFrame:
     return items.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("item_pos", "offers"))).alias("items"))
 
 
-def gather_products(items: DataFrame, offers: DataFrame, shops: DataFrame) -> DataFrame:
-    """As ``gather``, from items (basket_id, item_pos, product_key) and offers (product_key, offer_rank, shop, price): offers are gathered once for each product, and join as one array."""
+def gather_products(items: DataFrame, offers: DataFrame, shops: DataFrame, keep=None, empty: bool = False) -> DataFrame:
+    """As ``gather``, from items (basket_id, item_pos, product_key) and offers (product_key, offer_rank, shop, price): offers are gathered once for each product, and join as one array.
+
+    ``keep`` makes that array smaller before baskets get it: ``useful`` or ``first``. ``empty`` keeps baskets without any offer, with no items.
+    """
     cents = lambda c: (F.col(c) * 100).cast("bigint")
     known = offers.join(shops.select(F.col("shop_key").alias("shop"), cents("ship").alias("ship"), cents("free_over").alias("free_over")), "shop")
     own = F.struct(F.col("offer_rank").cast("int").alias("offer_rank"), F.col("shop").cast("bigint").alias("shop"), cents("price").alias("price"), "ship", "free_over")
     products = known.groupBy("product_key").agg(F.array_sort(F.collect_list(own)).cast(PICK).alias("offers"))
-    return items.join(products, "product_key").groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("item_pos", "offers"))).alias("items"))
+    products = products.withColumn("offers", keep(F.col("offers"))) if keep else products
+    rows = items.join(products, "product_key", "left" if empty else "inner")
+    return rows.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.when(F.col("offers").isNotNull(), F.struct("item_pos", "offers")))).alias("items"))
+
+
+def useful(offers: Column) -> Column:
+    """An item's offers without those that no cheapest split has, whatever else is in the basket.
+
+    Another offer in an offer's place costs at most its own price and fee, and gives back at least the offer's price less its shop's
+    fee, which the shop's other items may then have to pay. Offers for which that is a gain go. The cheapest one, and
+    the cheapest with its own fee, stay.
+    """
+    fee = lambda o: F.abs(F.coalesce(o["ship"], _zero()))
+    return _let(F.array_min(F.transform(offers, lambda o: o["price"] + fee(o))), lambda least: F.filter(offers, lambda o: F.coalesce(o["price"] - fee(o) <= least, F.lit(True))))
 
 
 def assignments(items: Column) -> Column:
@@ -191,18 +207,21 @@ def _improved(items: Column, starts: Column) -> Column:
     return F.array_min(F.transform(ends, lambda s, i: F.struct(s["cost"].alias("cost"), i.alias("i"), s["picks"].alias("picks"))))
 
 
+def _best(items: Column, labels: int, more: int) -> Column:
+    """(method, cost, picks) of a basket."""
+    chosen = lambda found: F.struct(F.lit("exact").alias("method"), found["cost"].alias("cost"), F.zip_with(items, found["picks"], lambda x, j: F.get(x["offers"], j)).cast(PICK).alias("picks"))
+    known = lambda found: F.when(found.isNotNull(), chosen(found))
+    second = lambda near: F.coalesce(_let(_solved(items, near["cost"], more), known), F.struct(F.lit("local").alias("method"), near["cost"].alias("cost"), near["picks"].alias("picks")))
+    return _let(_obvious(items), lambda starts: F.coalesce(_let(_solved(items, F.array_min(F.transform(starts, cost)), labels), known), _let(_improved(items, starts), second)))
+
+
 def split(baskets: DataFrame, labels: int = LABELS, more: int = MORE_LABELS) -> DataFrame:
     """(basket_id, method, total, picks) of ``gather``'s rows.
 
     method is exact, or local where too many labels lived for the exact search. Of equal exact
     totals the first assignment in order of items and offers wins.
     """
-    items = F.col("items")
-    chosen = lambda found: F.struct(F.lit("exact").alias("method"), found["cost"].alias("cost"), F.zip_with(items, found["picks"], lambda x, j: F.get(x["offers"], j)).cast(PICK).alias("picks"))
-    known = lambda found: F.when(found.isNotNull(), chosen(found))
-    second = lambda near: F.coalesce(_let(_solved(items, near["cost"], more), known), F.struct(F.lit("local").alias("method"), near["cost"].alias("cost"), near["picks"].alias("picks")))
-    best = _let(_obvious(items), lambda starts: F.coalesce(_let(_solved(items, F.array_min(F.transform(starts, cost)), labels), known), _let(_improved(items, starts), second)))
-    out = baskets.withColumn("_best", best)
+    out = baskets.withColumn("_best", _best(F.col("items"), labels, more))
     return out.select("basket_id", F.col("_best.method").alias("method"), (F.col("_best.cost") / 100).cast(money.MONEY).alias("total"), F.col("_best.picks").alias("picks"))
 
 

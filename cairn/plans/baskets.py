@@ -37,8 +37,8 @@ def basket_offers(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).join(product_offers(spark, d), "product_key").select("basket_id", "item_pos", "offer_rank", "shop", "price")
 
 
-def baskets(spark: SparkSession, d: str) -> DataFrame:
-    return basket.gather_products(items(spark, d), product_offers(spark, d), rules(spark, d))
+def baskets(spark: SparkSession, d: str, keep=basket.useful, empty: bool = False) -> DataFrame:
+    return basket.gather_products(items(spark, d), product_offers(spark, d), rules(spark, d), keep, empty)
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def basket_unavailable(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL + BASKET_SQL + f", c AS (SELECT basket_id, item_pos, count(*) AS n FROM bo GROUP BY ALL) SELECT basket_id, CASE WHEN round(product(n)) <= {EXACT} THEN 'exact' ELSE 'large' END AS method, count(*) AS items FROM c GROUP BY basket_id")
 def basket_method(spark: SparkSession, d: str) -> DataFrame:
     """Which baskets have few assignments enough to try all."""
-    return baskets(spark, d).select("basket_id", basket.method(F.col("items"), EXACT).alias("method"), F.size("items").cast("long").alias("items"))
+    return baskets(spark, d, None).select("basket_id", basket.method(F.col("items"), EXACT).alias("method"), F.size("items").cast("long").alias("items"))
 
 
 @query(SQL + BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, arg_min({{'shop': shop, 'price': price, 'ship': ship, 'free_over': free_over}}, (price, offer_rank)) AS f FROM bo GROUP BY ALL),
@@ -130,7 +130,7 @@ s AS (SELECT basket_id, shop, ship, free_over, string_agg(CAST(item AS VARCHAR),
 SELECT {ORDER_COLUMNS} FROM s""")
 def basket_cheapest_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders by shop if every item is bought where it is cheapest."""
-    return order_rows(basket.cheapest(baskets(spark, d)))
+    return order_rows(basket.cheapest(baskets(spark, d, None)))
 
 
 @query(SQL + BASKET_SQL + " SELECT basket_id, product_key FROM item WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.basket_id = item.basket_id AND bo.item_pos = item.item_pos AND shop % 4 = 0)")

@@ -46,3 +46,42 @@ def test_single_shops_shuffle_few_offers(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows < items.join(offers, "product_key").count()
+
+
+@pytest.mark.parametrize("spread", [1, 60, 250, 5_000])
+def test_splits_of_useful_offers_are_the_same(spark, spread):
+    items, offers, rules = tables(spark, 80, 30, 7, 5, spread, seed=spread)
+    whole, few = (basket.gather_products(items, offers, rules, keep) for keep in (None, basket.useful))
+    want, got = ({r["basket_id"]: r for r in basket.split(b).collect()} for b in (whole, few))
+    assert got == want and {r["method"] for r in got.values()} == {"exact"}
+    size = lambda b: sum(len(x["offers"]) for r in b.collect() for x in r["items"])
+    assert size(few) < size(whole) if spread > 200 else size(few) <= size(whole)
+
+
+def test_large_baskets_of_useful_offers_are_no_dearer(spark):
+    items, offers, rules = tables(spark, 30, 60, 14, 8, 500, seed=11, low=8, high=20)
+    whole, few = (basket.gather_products(items, offers, rules, keep) for keep in (None, basket.useful))
+    want, got = ({r["basket_id"]: r for r in basket.split(b, labels=200, more=400).collect()} for b in (whole, few))
+    for b, r in want.items():
+        assert got[b]["total"] == r["total"] if (got[b]["method"], r["method"]) == ("exact", "exact") else got[b]["total"] <= r["total"] or r["method"] == "exact"
+    count = lambda found: sum(r["method"] == "exact" for r in found.values())
+    assert count(got) >= count(want)
+
+
+@pytest.mark.parametrize("name, least", [("basket_exact", 2)])
+def test_baskets_shuffle_little(spark, monkeypatch, name, least):
+    """Bytes that exchanges write, beside those of a plan that gives each basket all its items' offers."""
+    from cairn.plans import baskets as plans
+
+    items, offers, rules = tables(spark, 300, 400, 60, 40, 100_000)
+    monkeypatch.setattr(plans, "items", lambda *_: items)
+    monkeypatch.setattr(plans, "product_offers", lambda *_: offers)
+    monkeypatch.setattr(plans, "rules", lambda *_: rules)
+    monkeypatch.setattr(plans, "basket_offers", lambda *_: items.join(offers, "product_key").select("basket_id", "item_pos", "offer_rank", "shop", "price"))
+    monkeypatch.setattr(plans, "offer_counts", lambda *_: offers.groupBy("product_key").count().withColumnRenamed("count", "n"), raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        whole = total(basket.gather_products(items, offers, rules), "Exchange", "shuffleBytesWritten")
+        assert total(getattr(plans, name)(spark, ""), "Exchange", "shuffleBytesWritten") < whole / least
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
