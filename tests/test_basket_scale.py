@@ -68,7 +68,7 @@ def test_large_baskets_of_useful_offers_are_no_dearer(spark):
     assert count(got) >= count(want)
 
 
-@pytest.mark.parametrize("name, least", [("basket_exact", 2)])
+@pytest.mark.parametrize("name, least", [("basket_exact", 2), ("basket_orders", 2)])
 def test_baskets_shuffle_little(spark, monkeypatch, name, least):
     """Bytes that exchanges write, beside those of a plan that gives each basket all its items' offers."""
     from cairn.plans import baskets as plans
