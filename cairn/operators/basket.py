@@ -284,8 +284,11 @@ def unavailable(items: DataFrame, offers: DataFrame) -> DataFrame:
     return items.join(offers.select("basket_id", "item_pos").distinct(), ["basket_id", "item_pos"], "left_anti")
 
 
-def summary(baskets: DataFrame, solved: DataFrame, apart: DataFrame) -> DataFrame:
-    """Per basket (empty ones too, with zeros): total, separately and saving."""
-    out = baskets.select("basket_id").distinct().join(solved.select("basket_id", "method", "total"), "basket_id", "left").join(apart, "basket_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast(money.MONEY)
-    return out.select("basket_id", F.coalesce("method", F.lit("empty")).alias("method"), zero("total").alias("total"), zero("separately").alias("separately"), (zero("separately") - zero("total")).cast(money.MONEY).alias("saving"))
+def summary(baskets: DataFrame) -> DataFrame:
+    """(basket_id, method, total, separately, saving) of ``gather``'s rows, those without items too, with zeros. One pass: what the items cost apart is told by the same offers."""
+    items, has = F.col("items"), F.size("items") > 0
+    alone = F.transform(items, lambda x: F.array_min(F.transform(x["offers"], lambda o: o["price"] + _fee(o["price"], o["ship"], o["free_over"]))))
+    rows = baskets.select("basket_id", F.when(has, _best(items, LABELS, MORE_LABELS)).alias("_best"), F.when(has, _sum(alone)).alias("_apart"))
+    amount = lambda c: (F.coalesce(c, _zero()) / 100).cast(money.MONEY)
+    total, apart = amount(F.col("_best.cost")), amount(F.col("_apart"))
+    return rows.select("basket_id", F.coalesce("_best.method", F.lit("empty")).alias("method"), total.alias("total"), apart.alias("separately"), (apart - total).cast(money.MONEY).alias("saving"))

@@ -95,7 +95,7 @@ SELECT basket_id, CASE WHEN total IS NULL THEN 'empty' ELSE 'exact' END AS metho
 FROM (SELECT DISTINCT basket_id FROM item) LEFT JOIN pick USING (basket_id) LEFT JOIN a USING (basket_id)""")
 def basket_split(spark: SparkSession, d: str) -> DataFrame:
     """Every basket's method, total, total bought separately and saving."""
-    return num(basket.summary(items(spark, d), solved(spark, d), basket.separately(basket_offers(spark, d), rules(spark, d))), "total", "separately", "saving")
+    return num(basket.summary(baskets(spark, d, empty=True)), "total", "separately", "saving")
 
 
 ORDER_COLUMNS = f"basket_id, shop, row_number() OVER (PARTITION BY basket_id ORDER BY sub DESC, shop) AS place, items, CAST(sub AS DOUBLE) AS subtotal, CAST({FEE.format('sub', 'free_over', 'ship')} AS DOUBLE) AS shipping, CAST(CASE WHEN ship > 0 AND sub < free_over THEN free_over - sub END AS DOUBLE) AS to_free_shipping"

@@ -68,7 +68,18 @@ def test_large_baskets_of_useful_offers_are_no_dearer(spark):
     assert count(got) >= count(want)
 
 
-@pytest.mark.parametrize("name, least", [("basket_exact", 2), ("basket_orders", 2)])
+def test_summary_of_one_pass(spark):
+    items, offers, rules = tables(spark, 80, 30, 7, 5, 250, low=1, high=3)
+    known = items.join(offers, "product_key").select("basket_id", "item_pos", "offer_rank", "shop", "price")
+    total_, apart = ({r["basket_id"]: r[1] for r in df.collect()} for df in (basket.split(basket.gather_products(items, offers, rules)).select("basket_id", "total"), basket.separately(known, rules)))
+    got = {r["basket_id"]: r for r in basket.summary(basket.gather_products(items, offers, rules, basket.useful, empty=True)).collect()}
+    assert set(got) == {r["basket_id"] for r in items.collect()} > set(total_)
+    for b, r in got.items():
+        want = (total_.get(b, 0), apart.get(b, 0))
+        assert (r["total"], r["separately"], r["saving"], r["method"]) == (*want, want[1] - want[0], "exact" if b in total_ else "empty")
+
+
+@pytest.mark.parametrize("name, least", [("basket_exact", 2), ("basket_orders", 2), ("basket_split", 2)])
 def test_baskets_shuffle_little(spark, monkeypatch, name, least):
     """Bytes that exchanges write, beside those of a plan that gives each basket all its items' offers."""
     from cairn.plans import baskets as plans
