@@ -69,6 +69,11 @@ def useful(offers: Column) -> Column:
     return _let(F.array_min(F.transform(offers, lambda o: o["price"] + fee(o))), lambda least: F.filter(offers, lambda o: F.coalesce(o["price"] - fee(o) <= least, F.lit(True))))
 
 
+def first(offers: Column) -> Column:
+    """The cheapest of an item's offers alone."""
+    return F.array(_first(offers)).cast(PICK)
+
+
 def assignments(items: Column) -> Column:
     """Number of assignments; at most 10 ** 12, so that it can't overflow."""
     return F.aggregate(items, F.lit(1).cast("bigint"), lambda a, x: F.least(F.lit(10**12).cast("bigint"), a * F.size(x["offers"])))

@@ -130,7 +130,7 @@ s AS (SELECT basket_id, shop, ship, free_over, string_agg(CAST(item AS VARCHAR),
 SELECT {ORDER_COLUMNS} FROM s""")
 def basket_cheapest_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders by shop if every item is bought where it is cheapest."""
-    return order_rows(basket.cheapest(baskets(spark, d, None)))
+    return order_rows(basket.cheapest(baskets(spark, d, basket.first)))
 
 
 @query(SQL + BASKET_SQL + " SELECT basket_id, product_key FROM item WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.basket_id = item.basket_id AND bo.item_pos = item.item_pos AND shop % 4 = 0)")

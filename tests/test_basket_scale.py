@@ -68,6 +68,12 @@ def test_large_baskets_of_useful_offers_are_no_dearer(spark):
     assert count(got) >= count(want)
 
 
+def test_cheapest_orders_of_first_offers_are_the_same(spark):
+    items, offers, rules = tables(spark, 80, 30, 7, 5, 20)
+    whole, few = (basket.cheapest(basket.gather_products(items, offers, rules, keep)) for keep in (None, basket.first))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, few.collect()))
+
+
 def test_summary_of_one_pass(spark):
     items, offers, rules = tables(spark, 80, 30, 7, 5, 250, low=1, high=3)
     known = items.join(offers, "product_key").select("basket_id", "item_pos", "offer_rank", "shop", "price")
@@ -79,7 +85,7 @@ def test_summary_of_one_pass(spark):
         assert (r["total"], r["separately"], r["saving"], r["method"]) == (*want, want[1] - want[0], "exact" if b in total_ else "empty")
 
 
-@pytest.mark.parametrize("name, least", [("basket_exact", 2), ("basket_orders", 2), ("basket_split", 2)])
+@pytest.mark.parametrize("name, least", [("basket_exact", 2), ("basket_orders", 2), ("basket_split", 2), ("basket_cheapest_orders", 2)])
 def test_baskets_shuffle_little(spark, monkeypatch, name, least):
     """Bytes that exchanges write, beside those of a plan that gives each basket all its items' offers."""
     from cairn.plans import baskets as plans
