@@ -113,6 +113,13 @@ def method(items: Column, exact: int = EXACT) -> Column:
     return F.when(assignments(items) <= exact, "exact").otherwise("large")
 
 
+def methods(items: DataFrame, counts: DataFrame, exact: int = EXACT) -> DataFrame:
+    """(basket_id, method, items) as ``method`` tells it, of items (basket_id, product_key) and the number ``n`` of each product's offers; products without any are left out."""
+    # a product of doubles is exact far beyond the bound, and never falls
+    rows = items.join(counts.filter("n > 0"), "product_key").groupBy("basket_id").agg(F.product(F.col("n").cast("double")).alias("_all"), F.count("*").alias("items"))
+    return rows.select("basket_id", F.when(F.col("_all") <= exact, "exact").otherwise("large").alias("method"), "items")
+
+
 def _zero() -> Column:
     return F.lit(0).cast("bigint")
 

@@ -41,6 +41,12 @@ def baskets(spark: SparkSession, d: str, keep=basket.useful, empty: bool = False
     return basket.gather_products(items(spark, d), product_offers(spark, d), rules(spark, d), keep, empty)
 
 
+def offer_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(product_key, n): shops that have each product in stock."""
+    pairs = tables.offers(spark, d).filter("in_stock").select("product_key", "shop_key").join(rules(spark, d).select("shop_key"), "shop_key", "left_semi")
+    return pairs.repartition("product_key").distinct().groupBy("product_key").agg(F.count("*").alias("n"))
+
+
 def rules(spark: SparkSession, d: str) -> DataFrame:
     """Shipping of each shop in base currency: published, else assumed for its country."""
     s = tables.shops(spark, d).join(tables.rates(spark), "currency").join(tables.assumed_shipping(spark, d), "country", "left")
@@ -121,7 +127,7 @@ def basket_unavailable(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL + BASKET_SQL + f", c AS (SELECT basket_id, item_pos, count(*) AS n FROM bo GROUP BY ALL) SELECT basket_id, CASE WHEN round(product(n)) <= {EXACT} THEN 'exact' ELSE 'large' END AS method, count(*) AS items FROM c GROUP BY basket_id")
 def basket_method(spark: SparkSession, d: str) -> DataFrame:
     """Which baskets have few assignments enough to try all."""
-    return baskets(spark, d, None).select("basket_id", basket.method(F.col("items"), EXACT).alias("method"), F.size("items").cast("long").alias("items"))
+    return basket.methods(items(spark, d), offer_counts(spark, d), EXACT)
 
 
 @query(SQL + BASKET_SQL + f""", c AS (SELECT basket_id, item_pos, arg_min({{'shop': shop, 'price': price, 'ship': ship, 'free_over': free_over}}, (price, offer_rank)) AS f FROM bo GROUP BY ALL),

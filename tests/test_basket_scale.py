@@ -85,7 +85,17 @@ def test_summary_of_one_pass(spark):
         assert (r["total"], r["separately"], r["saving"], r["method"]) == (*want, want[1] - want[0], "exact" if b in total_ else "empty")
 
 
-@pytest.mark.parametrize("name, least", [("basket_exact", 2), ("basket_orders", 2), ("basket_split", 2), ("basket_cheapest_orders", 2)])
+@pytest.mark.parametrize("exact", [1, 20, 100, 10**6])
+def test_methods_by_counts(spark, exact):
+    items, offers, rules = tables(spark, 80, 30, 7, 5, 250)
+    known = offers.join(rules, offers["shop"] == rules["shop_key"], "left_semi")
+    whole = basket.gather_products(items, offers, rules)
+    want = {r[0]: r[1:] for r in whole.select("basket_id", basket.method(whole["items"], exact), "items").collect()}
+    got = {r["basket_id"]: (r["method"], r["items"]) for r in basket.methods(items, known.groupBy("product_key").count().withColumnRenamed("count", "n"), exact).collect()}
+    assert got == {b: (m, len(i)) for b, (m, i) in want.items()}
+
+
+@pytest.mark.parametrize("name, least", [("basket_method", 3), ("basket_cheapest_orders", 2), ("basket_exact", 2), ("basket_split", 2), ("basket_orders", 2)])
 def test_baskets_shuffle_little(spark, monkeypatch, name, least):
     """Bytes that exchanges write, beside those of a plan that gives each basket all its items' offers."""
     from cairn.plans import baskets as plans
