@@ -104,6 +104,39 @@ def rerank(offers: DataFrame, watched: DataFrame, overrides: DataFrame) -> DataF
     return ranked(rows, ("user_id", "product_key"))
 
 
+def first_offers(offers: DataFrame, watched: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The offers of rank 1 by ``rerank``, with the user's own shipping and total: a row for each user and watched product that has offers.
+
+    Before products meet their users, only offers that can come first for some user stay: of the best stock, of those with a published
+    rate the first, and of each country's others the first by total and by price, for a user's own rate is the same for all of them.
+    They go as one array to the user's rates. Offers that are dealt out by product already aren't shuffled again; what is watched is, by product and by user.
+    """
+    place = F.when(F.col("in_stock"), 0).when(~F.col("in_stock"), 1).otherwise(2)
+    verified = F.coalesce("shipping_verified", F.lit(False))
+    own = F.struct(place.alias("place"), "seq", "shop_key", "country", verified.alias("verified"), "amount_dkk", "shipping_dkk")
+    no_own = F.lit(None).cast(money.MONEY)
+
+    def judged(o: Column, rate: Column) -> Column:
+        """An offer in front of which its order by a user's rate stands."""
+        shipping = ship_for(o["verified"], o["shipping_dkk"], rate, o["shipping_dkk"])
+        total = money.landed(o["amount_dkk"], shipping)
+        return F.struct(o["place"].alias("place"), total.isNull().alias("unpriced"), total.alias("total_dkk"), o["seq"].alias("seq"), shipping.alias("shipping_dkk"), o.alias("o"))
+
+    by_price = F.struct(F.col("_o.place"), F.col("_o.amount_dkk").isNull().alias("unpriced"), F.col("_o.amount_dkk"), F.col("_o.seq"), F.col("_o").alias("o"))
+    rows = offers.select("product_key", verified.alias("_verified"), F.when(~verified, F.col("country")).alias("_country"), own.alias("_o"))
+    near = rows.groupBy("product_key", "_verified", "_country").agg(F.min(judged(F.col("_o"), no_own))["o"].alias("_total"), F.min(by_price)["o"].alias("_price"))
+    firsts = near.groupBy("product_key").agg(F.collect_list("_total").alias("_a"), F.collect_list(F.when(~F.col("_verified") & (F.col("_price") != F.col("_total")), F.col("_price"))).alias("_b"))
+    both = firsts.select("product_key", F.concat("_a", "_b").alias("_all"))
+    products = both.select("product_key", F.filter("_all", lambda o: o["place"] == F.array_min(F.transform("_all", lambda x: x["place"]))).alias("_offers"))
+    seen = watched.select("user_id", "product_key").repartition("product_key").distinct().join(products, "product_key")
+    rates = overrides.groupBy("user_id").agg(F.collect_list(F.struct("country", "amount")).alias("_rates"))
+    # of several rates for one country the smallest comes first
+    rate = lambda o: F.array_min(F.transform(F.filter("_rates", lambda r: r["country"] == o["country"]), lambda r: r["amount"]))
+    best = F.array_min(F.transform("_offers", lambda o: judged(o, rate(o))))
+    out = seen.join(rates, "user_id", "left").select("user_id", "product_key", best.alias("_best"))
+    return out.select("user_id", "product_key", F.col("_best.o.shop_key").alias("shop_key"), F.col("_best.o.country").alias("country"), (F.col("_best.place") == 0).alias("in_stock"), F.col("_best.o.amount_dkk").alias("amount_dkk"), "_best.shipping_dkk", "_best.total_dkk")
+
+
 def search_index(stats: DataFrame, offers: DataFrame, titles: DataFrame) -> DataFrame:
     """One row per product: title, set, type, item price and shipping of the cheapest offer, its shop and stock, countries of all offers."""
     countries = offers.groupBy("product_key").agg(F.array_sort(F.collect_set("country")).alias("countries"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import money
 from cairn.operators import offers, text_index, users
-from cairn.plans.market import SQL, deduped, num
+from cairn.plans.market import SQL, deduped, landed, num
 from cairn.registry import query
 from cairn.sources import tables
 from cairn.sources.staging import folder, staged
@@ -95,11 +95,11 @@ SELECT user_id, product_key, shop_key, CAST(total AS DOUBLE) AS total_dkk FROM o
 def rerank_overrides(spark: SparkSession, d: str) -> DataFrame:
     """The first offer of each watched product when users bring their own shipping rates for some countries."""
     urgent = tables.table(spark, d, "orders").filter(F.col("o_orderpriority").startswith("1"))
-    watch = urgent.join(tables.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_key")).distinct()
+    watch = urgent.join(tables.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_key"))
     lengths = tables.table(spark, d, "nation").select(F.col("n_name").alias("country"), (F.length("n_name") % 3).alias("_third"))
-    mine = watch.select("user_id").distinct().withColumn("_third", F.pmod(-F.col("user_id"), F.lit(3)).cast("int")).join(lengths, "_third").select("user_id", "country", (10 + F.col("user_id") % 50).cast(money.MONEY).alias("amount"))
-    out = users.rerank(deduped(spark, d), watch, mine)
-    return num(out.filter("rank = 1").select("user_id", "product_key", "shop_key", "total_dkk"), "total_dkk")
+    mine = urgent.select(F.col("o_custkey").alias("user_id")).distinct().withColumn("_third", F.pmod(-F.col("user_id"), F.lit(3)).cast("int")).join(lengths, "_third").select("user_id", "country", (10 + F.col("user_id") % 50).cast(money.MONEY).alias("amount"))
+    out = users.first_offers(offers.one_per_shop(landed(spark, d).repartition("product_key")), watch, mine)
+    return num(out.select("user_id", "product_key", "shop_key", "total_dkk"), "total_dkk")
 
 
 @query("""WITH n AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 4, 2 + p_partkey % 6) AS name FROM part),
