@@ -13,6 +13,10 @@ from cairn.sources.staging import staged
 SORTS = {"set": ("set_order", False), "discount": ("discount_pct", True), "shops": ("shop_count", True), "price_asc": ("total", False), "price_desc": ("total", True)}
 
 
+#: Names searched for as substrings up to which they are broadcast to the titles' places.
+FEW_NAMES = 10_000
+
+
 def search(index: DataFrame, text: str = "", product_type: str | None = None, country: str | None = None, in_stock: bool = False, watchlist: DataFrame | None = None, language: str | None = None) -> DataFrame:
     """Faceted search: a substring of title or set name in either case, type, language, country of any offer, stock, watched products."""
     out = index
@@ -62,12 +66,13 @@ def find(index: DataFrame, names: DataFrame) -> DataFrame:
     wanted = names.select("name").distinct().withColumn("_name", F.lower("name"))
     exact = wanted.join(titles, F.col("_name") == F.col("_title")).groupBy("name").agg(F.min("product_key").alias("product_key"))
     rest = wanted.join(exact, "name", "left_anti")
+    near = F.broadcast if wanted.limit(FEW_NAMES + 1).count() <= FEW_NAMES else lambda df: df
     places = titles.filter(F.length("_title") > 0).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_title"))))
 
     def starting(n: int, size: Column) -> DataFrame:
         """Names of that size, each with the products of titles that have its first n letters and then the rest."""
         here = places.withColumn("_run", F.col("_title").substr(F.col("_at"), F.lit(n)))
-        return here.join(rest.filter(size).withColumn("_run", F.substring("_name", 1, n)), "_run").filter(F.col("_title").contains(F.col("_name"))).select("name", "product_key")
+        return here.join(near(rest.filter(size).withColumn("_run", F.substring("_name", 1, n))), "_run").filter(F.col("_title").contains(F.col("_name"))).select("name", "product_key")
 
     # names of one or two letters have no third
     found = starting(3, F.length("_name") >= 3).unionByName(starting(2, F.length("_name") == 2)).unionByName(starting(1, F.length("_name") == 1))
